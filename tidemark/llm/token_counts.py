@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import Counter
 
@@ -21,7 +22,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 UNSAFE = r" (?=\p{White_Space}|$)"
 #: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the join is a shuffle.
 MOST_SENT = 8_000_000
-MEMO = 200_000
+MEMO = 50_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +31,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def tokenizer(path: str):
+    """One per worker: a vocabulary read anew by every task would pile up in the worker's memory."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def special_strings(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
         return sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
@@ -63,10 +72,12 @@ class Chunker:
         return out, found
 
 
-def distinct_pretokens(docs: DataFrame, text: str, special: list[str]) -> DataFrame:
+def scan_pretokens(special: list[str]):
+    """For mapInArrow: the pre-tokens of a task's texts, most of them once."""
+
     def scan(batches):
         chunker, seen, sent = Chunker(special), set(), set()
-        for piece in slices(batches, text):
+        for piece in slices(batches, "text", 1 << 20):
             fresh = set()
             for x in piece.column(0).to_pylist():
                 fresh.update(chunker.chunks(x)[0] if x else ())
@@ -78,23 +89,31 @@ def distinct_pretokens(docs: DataFrame, text: str, special: list[str]) -> DataFr
                 kept.update(more)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["pretoken"])
 
-    return docs.select(F.col(text)).mapInArrow(scan, "pretoken string").groupBy("pretoken").agg(F.first(F.lit(1)).alias("one"))
+    return scan
 
 
-def pretoken_counts(pretokens: DataFrame, path: str) -> DataFrame:
-    """Tokens of each distinct pre-token, as the library gives them, without keeping ids."""
+def count_pieces(path: str):
+    """For mapInArrow: the tokens of each pre-token, as the library gives them, without keeping ids."""
 
     def count(batches):
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode_batch
+        encode = tokenizer(path).encode_batch
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            sizes = [len(e) for k in range(0, len(texts), 2000) for e in encode(texts[k : k + 2000], add_special_tokens=False)]
-            keys = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(sizes, pa.int32())], ["pretoken", "key", "tokens"])
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.column(0).slice(k, 2000)
+                texts = part.to_pylist()
+                sizes = [len(e) for e in encode(texts, add_special_tokens=False)]
+                keys = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([part, pa.array(keys.view(np.int64)), pa.array(sizes, pa.int32())], ["pretoken", "key", "tokens"])
+
+    return count
+
 
-    return pretokens.select("pretoken").mapInArrow(count, "pretoken string, key long, tokens int")
+def distinct_pretokens(docs: DataFrame, special: list[str]) -> DataFrame:
+    return docs.select("text").mapInArrow(scan_pretokens(special), "pretoken string").groupBy("pretoken").agg(F.first(F.lit(1)).alias("one"))
+
+
+def pretoken_counts(pretokens: DataFrame, path: str) -> DataFrame:
+    return pretokens.select("pretoken").mapInArrow(count_pieces(path), "pretoken string, key long, tokens int")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id", text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
@@ -109,10 +128,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id"
     special = special_strings(path)
     spark = docs.sparkSession
     out = shared_path(spark, "pretokens")
-    pretoken_counts(distinct_pretokens(docs, text, special), path).write.parquet(out)
-    counts = spark.read.parquet(out)
-    rows, keys = counts.agg(F.count(F.lit(1)), F.countDistinct("key")).first() if counts.take(1) else (0, 0)
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    pretoken_counts(distinct_pretokens(docs, special), path).write.parquet(out)
+    counts = spark.read.schema("pretoken string, key long, tokens int").parquet(out)
+    rows, keys = counts.agg(F.count(F.lit(1)), F.countDistinct("key")).first()
     if rows <= most_sent and rows == keys:
         found = counts.select("key", "tokens").toArrow()
         keys = found["key"].to_numpy().view(np.uint64)
@@ -122,11 +141,13 @@ def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id"
     return _joined_by_shuffle(docs, counts, special, id)
 
 
-def _joined_here(docs: DataFrame, table, special: list[str], id: str) -> DataFrame:
+def score_texts(table, special: list[str]):
+    """For mapInArrow: (id, bytes, tokens) of each text by the table of key hashes and token counts."""
+
     def score(batches):
         keys, tokens = table.value
         chunker, memo = Chunker(special), {}
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 1 << 20):
             totals = []
             rows = [chunker.chunks(x) if x else ((), 0) for x in piece.column(1).to_pylist()]
             if len(memo) > MEMO:
@@ -143,8 +164,12 @@ def _joined_here(docs: DataFrame, table, special: list[str], id: str) -> DataFra
             sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    return score
+
+
+def _joined_here(docs: DataFrame, table, special: list[str], id: str) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(score, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id)
+    return docs.mapInArrow(score_texts(table, special), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id)
 
 
 def _joined_by_shuffle(docs: DataFrame, counts: DataFrame, special: list[str], id: str) -> DataFrame:
@@ -152,7 +177,7 @@ def _joined_by_shuffle(docs: DataFrame, counts: DataFrame, special: list[str], i
 
     def frequencies(batches):
         chunker = Chunker(special)
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 1 << 20):
             for digest, x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 chunks, found = chunker.chunks(x)
                 freq = Counter(t for c in chunks for t in chunker.pretokens(c))
