@@ -131,3 +131,35 @@ def collision_free(x: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bounded_sample(rows: DataFrame, id: str, most: int) -> DataFrame:
+    """About `most` rows at the most, chosen by a hash of their ids; all rows while there are no more than that."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(id), F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches; bounds has one more entry than there are stretches."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a one-feature logistic curve by Newton's method."""
+    a, b = 0.0, 0.0
+    if not len(x):
+        return 1.0, 0.0
+    mean, scale = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
+    w = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        g = z.T @ (y - p) - ridge * len(x) * w * np.array([1, 0])
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) * np.eye(2)
+        w = w + np.linalg.solve(h, g)
+    a = w[0] / scale
+    b = w[1] - a * mean
+    return float(a), float(b)
