@@ -84,7 +84,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 19) + 1)
         with np.errstate(over="ignore"):
             for k, by in ((0, BASE), (1, BASE_INVERSE)):
                 full = np.full(size, by, np.uint64)
@@ -101,15 +101,22 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums: the work is a few passes over the bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word, by prefix sums over blocks of bytes: a few passes, in bounded memory."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, base + block, "right")))
+        part = data[base : int(ends[stop - 1])]
+        up, down = _power_tables(len(part) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+            first, last = starts[at:stop] - base, ends[at:stop] - base
+            out[at:stop] = mix((prefix[last] - prefix[first]) * down[first] + (last - first).astype(np.uint64))
+        at = stop
+    return out
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
