@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries, in order.
-MODULES = ["q03_media", "q05_simhash", "q07_tokens", "q09_substring", "q10_toxicity"]
+MODULES = ["q02_decontaminate", "q03_media", "q05_simhash", "q07_tokens", "q09_substring", "q10_toxicity"]
 
 
 def _modules():
