@@ -140,6 +140,11 @@ def collision_free(x: DataFrame, base: str) -> str:
     return name
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, id: str, most_sent: int = 2_000_000) -> DataFrame:
+    """Inner join on `id`: up to `most_sent` labels, which are counted first, go to the texts, so no text is shuffled."""
+    return docs.join(F.broadcast(labels) if labels.count() <= most_sent else labels, id)
+
+
 def bounded_sample(rows: DataFrame, id: str, most: int) -> DataFrame:
     """About `most` rows at the most, chosen by a hash of their ids; all rows while there are no more than that."""
     n = rows.count()
