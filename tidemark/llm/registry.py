@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries, in order.
-MODULES = ["q02_decontaminate", "q03_media", "q04_language", "q05_simhash", "q07_tokens", "q08_quality", "q09_substring", "q10_toxicity"]
+MODULES = ["q01_html", "q02_decontaminate", "q03_media", "q04_language", "q05_simhash", "q07_tokens", "q08_quality", "q09_substring", "q10_toxicity"]
 
 
 def _modules():
