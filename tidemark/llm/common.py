@@ -140,9 +140,14 @@ def collision_free(x: DataFrame, base: str) -> str:
     return name
 
 
+def sent_if_small(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A frame of ids, marked for broadcast after counting if it has at most `most` rows (about 100 MB of them)."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def with_labels(docs: DataFrame, labels: DataFrame, id: str, most_sent: int = 2_000_000) -> DataFrame:
     """Inner join on `id`: up to `most_sent` labels, which are counted first, go to the texts, so no text is shuffled."""
-    return docs.join(F.broadcast(labels) if labels.count() <= most_sent else labels, id)
+    return docs.join(sent_if_small(labels, most_sent), id)
 
 
 def bounded_sample(rows: DataFrame, id: str, most: int) -> DataFrame:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path
+from tidemark.llm.common import sent_if_small, shared_path
 
 #: Words of a shingle, similarity from which a window counts, bits that fingerprints may differ in.
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
@@ -130,6 +130,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id holds no leak, all columns."""
-    gone = leaks(docs, benchmark, id=id, text=text).select(F.col(id).alias("_leaked")).distinct()
-    return docs.join(gone, docs[id].eqNullSafe(gone["_leaked"]), "left_anti")
+    """The rows of `docs` whose id holds no leak, all columns; leaking ids are sent to the texts while there are few."""
+    path = shared_path(docs.sparkSession, "leaks")
+    leaks(docs, benchmark, id=id, text=text).select(F.col(id).alias("_leaked")).distinct().write.parquet(path)
+    gone = docs.sparkSession.read.schema(docs.select(F.col(id).alias("_leaked")).schema).parquet(path)
+    return docs.join(sent_if_small(gone), docs[id].eqNullSafe(F.col("_leaked")), "left_anti")

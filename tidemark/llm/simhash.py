@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path, slices, text_buffer
+from tidemark.llm.common import sent_if_small, shared_path, slices, text_buffer
 from tidemark.llm.components import components, local_roots
 
 #: Bits of a fingerprint, the linking radius, and the variants that a bucket lists at once.
@@ -150,21 +150,31 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays.
 
-    Repeated rows of that id count as one. A component without any id stays whole, as its rows can't be told apart.
+    Repeated rows of that id count as one. Rows without an id go if their component has one with an id; a component
+    without any id stays whole, as its rows can't be told apart. Ids to drop are sent to the texts while there are few
+    (they are counted), so that no text is shuffled.
     """
-    found = near_duplicates(docs, id=id, text=text)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(id).eqNullSafe(F.col("component_id"))).select(id).distinct()
-    kept = docs.join(gone.where(F.col(id).isNotNull()), id, "left_anti").select(docs.columns)
-    lent = found.where(F.col(id).isNull() & F.col("component_id").isNotNull()).limit(1).count()
-    if lent:  # rows without an id that belong to a component with one are told by their fingerprint
-        return _drop_unnamed(kept, found, id, text)
-    return kept.where(F.col(id).isNull()).unionByName(kept.where(F.col(id).isNotNull()).dropDuplicates([id]))
+    spark = docs.sparkSession
+    path = shared_path(spark, "components")
+    near_duplicates(docs, id=id, text=text).write.parquet(path)
+    found = spark.read.schema(f"`{id}` {docs.schema[id].dataType.simpleString()}, fp long, component_id {docs.schema[id].dataType.simpleString()}").parquet(path)
+    named = found.where(F.col(id).isNotNull())
+    gone = named.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
+    kept = docs.join(sent_if_small(gone), docs[id] == F.col("_gone"), "left_anti")
+    again = named.where(F.col(id) == F.col("component_id")).groupBy(id).count().where("count > 1").select(F.col(id).alias("_again"))
+    if again.take(1):
+        once = kept.join(again, kept[id] == again["_again"], "left_semi").dropDuplicates([id])
+        kept = kept.join(again, kept[id].eqNullSafe(again["_again"]), "left_anti").unionByName(once)
+    if found.where(F.col(id).isNull() & F.col("component_id").isNotNull()).take(1):
+        kept = _drop_unnamed(kept, found, id, text)
+    return kept
 
 
 def _drop_unnamed(kept: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
+    """Rows without an id are told by their texts: those whose fingerprint is in a component with an id go."""
     covered = found.where(F.col("component_id").isNotNull()).select("fp").distinct()
     unnamed = kept.where(F.col(id).isNull())
     texts = unnamed.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).dropDuplicates(["digest"])
     gone = fingerprints(texts, id="digest").join(covered, "fp", "left_semi").select("digest")
     stay = unnamed.join(gone, F.sha2(unnamed[text], 256).eqNullSafe(gone["digest"]), "left_anti").select(kept.columns)
-    return stay.unionByName(kept.where(F.col(id).isNotNull()).dropDuplicates([id]))
+    return kept.where(F.col(id).isNotNull()).unionByName(stay)
