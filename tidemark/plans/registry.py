@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tidemark.plans import series, statistics  # noqa: F401  statistics adds to the same tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slowest record of each event type against its own budget: whole-record argmax."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    best = F.max_by(F.struct("event_id", "ts", "value"), F.struct("value", -F.col("event_id")))
-    return events.groupBy("event_type").agg(best.alias("r"), F.count(F.lit(1)).alias("runs")).select(
-        "event_type", "runs", F.col("r.event_id").alias("event_id"), F.col("r.value").alias("value")
-    )
+    """The slowest record of each event type against its own time budget."""
+    return series.QUERIES["a4_slowest_multiple"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(series.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(series.SQL)
