@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections import Counter
 
 import numpy as np
@@ -18,8 +19,8 @@ from tidemark.llm.common import shared_path, slices
 
 #: The byte-level pre-tokenizer's pattern (fixed values); White_Space is spelled out as the libraries' \s differ.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
-#: A space after which the text may not be cut: white space follows, or nothing.
-UNSAFE = r" (?=\p{White_Space}|$)"
+#: A space that may not begin a chunk: white space follows (in a wide sense, which only costs time), or nothing.
+UNSAFE = r" (?:\s|\Z)"
 #: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the join is a shuffle.
 MOST_SENT = 8_000_000
 MEMO = 50_000
@@ -49,27 +50,25 @@ class Chunker:
 
     def __init__(self, special: list[str]):
         self.pretokens = regex.compile(PRETOKEN).findall
-        self.unsafe = regex.compile(UNSAFE).search
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-
-    def chunks(self, text: str) -> tuple[list[str], int]:
-        """Chunks whose pre-tokens make up the text, and the number of special strings in it."""
-        parts, found = [text], 0
-        if self.special and self.special.search(text):
-            parts = self.special.split(text)
-            found = len(parts) - 1
-        out: list[str] = []
+        self.unsafe = re.compile(UNSAFE).search
+        self.special, self.split = special, re.compile("|".join(map(re.escape, special))).split if special else None
+
+    def chunks(self, text: str | None) -> tuple[list[str], list[str], int]:
+        """Chunks as they are, chunks that lack their space in front, and the number of special strings in a text."""
+        if not text:
+            return [], [], 0
+        parts = self.split(text) if any(s in text for s in self.special) else [text]
+        plain: list[str] = []
+        spaced: list[str] = []
         for part in parts:
-            if not part:
-                continue
             if self.unsafe(part):
-                out.append(part)
-            else:
+                plain.append(part)
+            elif part:
                 head, *rest = part.split(" ")
                 if head:
-                    out.append(head)
-                out.extend([" " + x for x in rest])
-        return out, found
+                    plain.append(head)
+                spaced = spaced + rest if spaced else rest
+        return plain, spaced, len(parts) - 1
 
 
 def scan_pretokens(special: list[str]):
@@ -78,12 +77,16 @@ def scan_pretokens(special: list[str]):
     def scan(batches):
         chunker, seen, sent = Chunker(special), set(), set()
         for piece in slices(batches, "text", 1 << 20):
-            fresh = set()
+            plain, spaced = set(), set()
             for x in piece.column(0).to_pylist():
-                fresh.update(chunker.chunks(x)[0] if x else ())
-            fresh -= seen
-            new = {t for c in fresh for t in chunker.pretokens(c)} - sent
-            for kept, more in ((seen, fresh), (sent, new)):
+                more = chunker.chunks(x)
+                plain.update(more[0])
+                spaced.update(more[1])
+            spaced -= seen
+            new = {t for c in plain for t in chunker.pretokens(c)}
+            new.update(chunker.pretokens(" " + " ".join(spaced)) if spaced else ())
+            new -= sent
+            for kept, more in ((seen, spaced), (sent, new)):
                 if len(kept) > MEMO:
                     kept.clear()
                 kept.update(more)
@@ -149,18 +152,25 @@ def score_texts(table, special: list[str]):
         chunker, memo = Chunker(special), {}
         for piece in slices(batches, "text", 1 << 20):
             totals = []
-            rows = [chunker.chunks(x) if x else ((), 0) for x in piece.column(1).to_pylist()]
-            if len(memo) > MEMO:
+            rows = [chunker.chunks(x) for x in piece.column(1).to_pylist()]
+            if len(memo) > 3 * MEMO:
                 memo = {}
-            fresh = [c for c in set().union(*(r[0] for r in rows)) if c not in memo]
-            pieces = [chunker.pretokens(c) for c in fresh]
-            flat = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for p in pieces for t in p), np.uint64)
-            at = np.zeros(len(pieces) + 1, np.int64)
-            np.cumsum([len(p) for p in pieces], out=at[1:])
-            sums = np.concatenate([[0], np.cumsum(tokens[np.searchsorted(keys, flat)])]) if len(flat) else np.zeros(1, np.int64)
-            memo.update(zip(fresh, (sums[at[1:]] - sums[at[:-1]]).tolist(), strict=True))
-            for chunks, found in rows:
-                totals.append(found + sum(memo[c] * n for c, n in Counter(chunks).items()))
+            fresh = [c for c in set().union(*(r[1] for r in rows)) if c not in memo]
+            once = [c for r in rows for c in r[0]]  # texts' first words and texts with odd spaces
+            found = chunker.pretokens(" " + " ".join(fresh)) if fresh else []
+            begin = np.cumsum([0, *(len(c) + 1 for c in fresh)])  # each chunk's place in the joined text
+            owner = np.searchsorted(begin, np.cumsum([0, *map(len, found)])[:-1], "right") - 1
+            singles = [chunker.pretokens(c) for c in once]
+            owner = np.concatenate([owner, np.repeat(np.arange(len(fresh), len(fresh) + len(once)), [len(x) for x in singles])]).astype(np.int64)
+            found = [*found, *(t for x in singles for t in x)]
+            distinct = list(set(found))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in distinct), np.uint64, len(distinct))
+            of = dict(zip(distinct, tokens[np.searchsorted(keys, hashes)].tolist() if len(distinct) else (), strict=True))
+            counts = np.bincount(owner, np.fromiter((of[t] for t in found), np.float64, len(found)), len(fresh) + len(once)).astype(np.int64).tolist()
+            memo.update(zip(fresh, counts, strict=False))
+            rest = iter(counts[len(fresh) :])
+            for plain, spaced, found in rows:
+                totals.append(found + sum(next(rest) for _ in plain) + sum(memo[c] * n for c, n in Counter(spaced).items()))
             sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
@@ -179,8 +189,8 @@ def _joined_by_shuffle(docs: DataFrame, counts: DataFrame, special: list[str], i
         chunker = Chunker(special)
         for piece in slices(batches, "text", 1 << 20):
             for digest, x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                chunks, found = chunker.chunks(x)
-                freq = Counter(t for c in chunks for t in chunker.pretokens(c))
+                plain, spaced, found = chunker.chunks(x)
+                freq = Counter(t for c in [*plain, *(" " + c for c in spaced)] for t in chunker.pretokens(c))
                 if found:
                     freq[None] = found
                 yield pa.RecordBatch.from_arrays([pa.array([digest] * len(freq), pa.string()), pa.array(list(freq), pa.string()), pa.array(list(freq.values()), pa.int64())], ["digest", "pretoken", "n"])
