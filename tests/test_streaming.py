@@ -11,6 +11,11 @@ CASES = {
     "queue": (folds.queue_model(capacity=900, rate_per_ms=0.5), "key long, at_ms double, queued double, underruns long, dry_ms double, least double"),
     "governor": (folds.governor(dwell=2), "key long, seen long, mean double, level long, dwell long"),
     "compressor": (folds.compressor(attack_ms=5.0, release_ms=50.0), "key long, at_ms double, gain double"),
+    "playhead": (folds.playhead(most=4), "key long, at_us long, position_ms double"),
+    "silence": (folds.silence_watch(timeout_ms=31.0), "key long, at_ms double, quiet_ms double, timed_out boolean"),
+    "in_order": (folds.in_order(), "key long, at_ms double, end long, taken boolean"),
+    "servo": (folds.drift_servo(), "key long, at_ms double, ratio double"),
+    "hold": (folds.hold_first(), "key long, at_ms double, released_ms double"),
     "clock": (folds.clock_sync(burst=3, settle=2), "key long, bursts long, offset_us long, error_us long, settled boolean"),
 }
 
@@ -21,7 +26,7 @@ def frame(spark):
     r = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000))
     return spark.range(300).select(
         (F.col("id") % 3).alias("key"), "id", at.cast("double").alias("at_ms"), (r / 900).alias("peak"), (r / 2000).alias("power"), (at * 1000 - r * 30).alias("due_us"), (at * 1000).alias("slot_us"),
-        F.lit(20_000).alias("period_us"), r.cast("double").alias("amount"), (r / 1000).alias("load"), (-r / 50).alias("target_db"), r.alias("offset_us"), (r * 3 % 500).alias("error_us"),
+        F.lit(20_000).alias("period_us"), r.cast("double").alias("amount"), (r / 1000).alias("load"), (-r / 50).alias("target_db"), (at * 1000).alias("at_us"), r.cast("double").alias("position_ms"), F.lit(1.0).alias("speed"), (r % 2 == 0).alias("is_query"), (F.col("id") * 10 - r % 3 * 20).alias("first"), (F.col("id") * 10 + 30).alias("last"), (r - 500).cast("double").alias("error"), r.alias("offset_us"), (r * 3 % 500).alias("error_us"),
     )
 
 

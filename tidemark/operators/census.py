@@ -29,6 +29,19 @@ def stream_report(units: DataFrame, keys: list[str], *, size: str, samples: str,
     return got.withColumn("seconds", seconds).withColumn("kbps", F.when(F.col("seconds") > 0, F.col("bytes") * 8 / F.col("seconds") / 1000)).drop("_s")
 
 
+def band_snr(bins: DataFrame, keys: list[str], band: str, signal: str, noise: str) -> DataFrame:
+    """Signal over noise of each band in dB, within 200 dB; noise is tested before the signal."""
+    got = bins.groupBy(*keys, band).agg(F.sum(F.col(signal) * F.col(signal)).alias("_s"), F.sum(F.col(noise) * F.col(noise)).alias("_n"))
+    db = F.when(F.col("_n") <= 1e-20, F.lit(200.0)).when(F.col("_s") <= 1e-20, F.lit(-200.0)).otherwise(F.least(F.lit(200.0), F.greatest(F.lit(-200.0), 10 * F.log10(F.col("_s") / F.col("_n")))))
+    return got.select(*keys, band, db.alias("snr_db"))
+
+
+def noise_to_mask(bands: DataFrame, keys: list[str], band: str, ratio_db: str) -> DataFrame:
+    """Mean (of the powers) and worst noise-to-mask ratio with the worst band, the lower one of equal ones."""
+    power = F.pow(F.lit(10.0), F.col(ratio_db) / 10)
+    return bands.groupBy(*keys).agg((10 * F.log10(F.avg(power))).alias("mean_db"), F.max(ratio_db).alias("worst_db"), F.min_by(band, F.struct(-F.col(ratio_db), F.col(band))).alias("worst_band"))
+
+
 def exact_totals(rows: DataFrame, exact: Column, ours: str, theirs: str) -> DataFrame:
     """Rows that count, both totals and their ratio; rows that are not exact don't count."""
     got = rows.where(exact).agg(F.count(F.lit(1)).alias("rows"), F.sum(ours).alias("ours"), F.sum(theirs).alias("theirs"))

@@ -33,6 +33,14 @@ def a14(spark, d):
     return got.withColumn("seconds", F.round("seconds", 6)).withColumn("kbps", F.round("kbps", 5))
 
 
+@query("a22_band_noise", """
+WITH x AS (SELECT l_suppkey, l_partkey % 50 AS band, l_extendedprice AS r, l_extendedprice * l_discount AS d FROM lineitem), g AS (SELECT l_suppkey, band, sum(r * r) AS s, sum(d * d) AS n FROM x GROUP BY 1, 2)
+SELECT l_suppkey, band, round(CASE WHEN n <= 1e-20 THEN 200 WHEN s <= 1e-20 THEN -200 ELSE least(200, greatest(-200, 10 * log10(s / n))) END, 4) AS snr_db FROM g""")
+def a22(spark, d):
+    x = t(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("band"), F.col("l_extendedprice").alias("r"), (F.col("l_extendedprice") * F.col("l_discount")).alias("n"))
+    return census.band_snr(x, ["l_suppkey"], "band", "r", "n").withColumn("snr_db", F.round("snr_db", 4))
+
+
 @query("a32_exact_totals", "SELECT count(*) AS rows, sum(l_linenumber)::BIGINT AS ours, sum(l_orderkey % 9)::BIGINT AS theirs, round(sum(l_linenumber) / sum(l_orderkey % 9), 6) AS ratio FROM lineitem WHERE l_returnflag = 'N'")
 def a32(spark, d):
     x = t(spark, d, "lineitem").withColumn("m", F.col("l_orderkey") % 9)

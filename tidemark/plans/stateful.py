@@ -49,6 +49,40 @@ def t27(spark, d):
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.governor(), "key long, seen long, mean double, level long, dwell long")
 
 
+@query("t5_playhead")
+def t5(spark, d):
+    e = events(spark, d).select("key", "event_id", "at_ms", (F.col("at_ms") * 1000).cast("long").alias("at_us"), F.col("value").alias("position_ms"), F.lit(1.0).alias("speed"), (F.col("event_type") != "signup").alias("is_query"))
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.playhead(), "key long, at_us long, position_ms double")
+
+
+@query("t11_drift_servo")
+def t11(spark, d):
+    e = events(spark, d).select("key", "event_id", "at_ms", (F.col("value") - 50).alias("error"))
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.drift_servo(), "key long, at_ms double, ratio double")
+
+
+@query("t12_silence_watch", """
+WITH x AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), y AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS q FROM x)
+SELECT user_id AS key, ms::DOUBLE AS at_ms, coalesce(q, 0)::DOUBLE AS quiet_ms, coalesce(q > 7200000, false) AS timed_out FROM y""")
+def t12(spark, d):
+    e = events(spark, d).select("key", "event_id", "at_ms")
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.silence_watch(timeout_ms=7_200_000.0), "key long, at_ms double, quiet_ms double, timed_out boolean")
+
+
+@query("t23_in_order_bytes")
+def t23(spark, d):
+    e = events(spark, d).select("key", "event_id", "at_ms", (F.col("event_id") * 10 - F.col("event_id") % 3 * 900).alias("first"), (F.col("event_id") * 10 + 900).alias("last"))
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.in_order(), "key long, at_ms double, end long, taken boolean")
+
+
+@query("t30_hold_first", """
+WITH x AS (SELECT user_id, event_id, (epoch_us(ts) // 1000)::DOUBLE AS ms FROM events), y AS (SELECT user_id AS key, lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS at_ms, ms AS released_ms FROM x)
+SELECT * FROM y WHERE at_ms IS NOT NULL""")
+def t30(spark, d):
+    e = events(spark, d).select("key", "event_id", "at_ms")
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.hold_first(), "key long, at_ms double, released_ms double")
+
+
 @query("w14_notes")
 def w14(spark, d):
     e = t(spark, d, "events").select((F.col("event_id") % 8).alias("key"), F.floor(F.col("event_id") / 8).alias("grid_idx"), F.when(F.col("event_type") == "error", 0.0).otherwise(440 + F.col("value") / 10).alias("hz"))

@@ -236,3 +236,84 @@ def clock_sync(*, burst: int = 8, settle: int = 8, slack_us: int = 1000) -> Fold
         return s["bursts"], offset, error, s["settled"]
 
     return start, step
+
+
+def playhead(*, most: int = 16) -> Fold:
+    """Rows (at_us, position_ms, speed, is_query): anchors are kept in time order, the oldest go beyond `most`, one at
+    the same time replaces; a query gives the place by the latest anchor at or before it, not under 0, or null."""
+
+    def start():
+        return {"anchors": []}
+
+    def step(s, r):
+        if not r.is_query:
+            kept = [a for a in s["anchors"] if a[0] != int(r.at_us)]
+            s["anchors"] = sorted([*kept, [int(r.at_us), float(r.position_ms), float(r.speed)]])[-most:]
+            return None
+        before = [a for a in s["anchors"] if a[0] <= r.at_us]
+        if not before:
+            return int(r.at_us), None
+        at, position, speed = before[-1]
+        return int(r.at_us), max(0.0, position + (r.at_us - at) / 1000 * speed)
+
+    return start, step
+
+
+def silence_watch(*, timeout_ms: float = 3000.0) -> Fold:
+    """Rows (at_ms): how long the series was silent before each, and whether that was past the timeout."""
+
+    def start():
+        return {"at": None}
+
+    def step(s, r):
+        quiet = 0.0 if s["at"] is None else r.at_ms - s["at"]
+        s["at"] = float(r.at_ms)
+        return float(r.at_ms), quiet, bool(quiet > timeout_ms)
+
+    return start, step
+
+
+def in_order(*, most: int = 32) -> Fold:
+    """Rows (at_ms, first, last) of byte ranges [first, last): the bytes that have arrived without a gap from the first
+    range on; ranges past a gap and repeats are ignored, the latest `most` steps are kept in the state."""
+
+    def start():
+        return {"end": None, "steps": []}
+
+    def step(s, r):
+        if s["end"] is None:
+            s["end"] = int(r.first)
+        if r.first > s["end"] or r.last <= s["end"]:
+            return float(r.at_ms), s["end"], False
+        s["end"] = int(r.last)
+        s["steps"] = [*s["steps"], [s["end"], float(r.at_ms)]][-most:]
+        return float(r.at_ms), s["end"], True
+
+    return start, step
+
+
+def drift_servo(*, gain: float = 0.01, smooth: float = 0.1, low: float = 0.5, high: float = 2.0, limit: float = 0.05) -> Fold:
+    """Rows (at_ms, error): a resampling ratio near 1 that follows a clamped, smoothed share of the fill error."""
+
+    def start():
+        return {"trim": 0.0}
+
+    def step(s, r):
+        want = max(-limit, min(limit, gain * r.error))
+        s["trim"] += smooth * (want - s["trim"])
+        return float(r.at_ms), max(low, min(high, 1 + s["trim"]))
+
+    return start, step
+
+
+def hold_first() -> Fold:
+    """Rows (at_ms): each unit as the next one comes; the first of a play so waits for the second."""
+
+    def start():
+        return {"held": None}
+
+    def step(s, r):
+        out, s["held"] = s["held"], float(r.at_ms)
+        return None if out is None else (out, float(r.at_ms))
+
+    return start, step
