@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+_libc = ctypes.CDLL(None)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -42,6 +44,14 @@ def remainder(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its tasks, and what one stage held would stay with it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches, column: str, most: int = 2 << 20):
     """Cuts record batches so that the texts of each piece have about `most` bytes; a longer text stands alone."""
     for batch in batches:
@@ -55,6 +65,8 @@ def slices(batches, column: str, most: int = 2 << 20):
             stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, stop - at)
             at, base = stop, int(ends[stop - 1])
+        del batch, texts
+        give_back()
 
 
 def text_buffer(array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sent_if_small, shared_path, slices, text_buffer
+from tidemark.llm.common import give_back, sent_if_small, shared_path, slices, text_buffer
 from tidemark.llm.components import components, local_roots
 
 #: Bits of a fingerprint, the linking radius, and the variants that a bucket lists at once.
@@ -114,6 +114,7 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, listed: int = LISTED) ->
     def run(key, table):
         fps = table.column("fp").to_numpy().view(np.uint64)
         u, v = collisions(fps, key[0].as_py(), depth, radius, listed)
+        give_back()
         if not len(u):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         nodes, roots = local_roots(u.view(np.int64), v.view(np.int64))

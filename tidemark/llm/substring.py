@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import BASE, collision_free, mix, run_hashes, shared_path, text_buffer, word_hashes, word_spans
+from tidemark.llm.common import BASE, collision_free, give_back, mix, run_hashes, shared_path, text_buffer, word_hashes, word_spans
 
 #: Words of a window; bytes of text in a part; windows that a bucket has about.
-WINDOW, PART_BYTES, BUCKET_WINDOWS = 13, 12 << 20, 1_000_000
+WINDOW, PART_BYTES, BUCKET_WINDOWS = 13, 5 << 20, 1_000_000
 RUN = "bucket int, part int, fps binary, checks binary"
 
 
@@ -80,8 +80,10 @@ def pack(bounds: np.ndarray, id: str, columns: list[str]):
                 with pa.ipc.new_stream(sink, batch.schema) as writer:
                     writer.write_batch(batch.take(pa.array(rows)))
                 found.append(int(part[rows[0]]))
-                blobs.append(zstandard.ZstdCompressor(1).compress(sink.getvalue()))
+                blobs.append(zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+            del batch, blobs, order, rows
+            give_back()
 
     return run
 
@@ -135,6 +137,7 @@ class SubstringIndex:
             bucket = (distinct >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(distinct), np.int64)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            give_back()
             return pa.table({
                 "bucket": pa.array(used, pa.int32()),
                 "part": pa.array([key[0].as_py()] * len(used), pa.int32()),
@@ -207,6 +210,7 @@ class SubstringIndex:
                     words = [w for w, g in zip(words, gone[bounds[k] : bounds[k + 1]].tolist(), strict=True) if not g]
                 kept.append(b" ".join(words).decode())
             columns = [table.column(n) for n in names]
+            give_back()
             return pa.table([*columns, pa.array(np.diff(bounds)), pa.array(removed), pa.array(kept, pa.string())], [*names, *more])
 
         schema = StructType([*carry, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
