@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_sample, slices, text_buffer
 
 #: Positives and unlabelled rows that training uses at the most.
-POSITIVES, UNLABELLED = 6_000, 12_000
+POSITIVES, UNLABELLED = 4_000, 8_000
 
 
 def byte_classes() -> tuple[np.ndarray, int]:
@@ -63,23 +63,25 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
         return QualityModel(np.zeros(d, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), np.zeros(d, np.float32), np.ones(d, np.float32))
     mean = unlabelled.mean(0)
     scale = np.maximum(unlabelled.std(0), 0.01)
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    p, u = ((x - mean) / scale for x in (positive, unlabelled))
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1], np.float64), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, b = np.zeros(p.shape[1], np.float32), 0.0
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
+    times = lambda x, w: np.einsum("ij,j->i", x, w)  # noqa: E731  small products: a library's threads would only wait
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         i, j = rng.integers(0, len(p), min(len(p), 512)), rng.integers(0, len(u), min(len(u), 1024))
-        sp, su = sigmoid(p[i] @ w + b), sigmoid(u[j] @ w + b)
+        pi, uj = p[i], u[j]
+        sp, su = sigmoid(times(pi, w) + b), sigmoid(times(uj, w) + b)
         negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        of = lambda x, d: np.append(x.T @ d, d.sum()) / len(d)
-        fall = of(u[j], su) - prior * of(p[i], sp)  # gradient of the negative part
-        g = prior * of(p[i], sp - 1) + fall if negative >= 0 else -fall
+        of = lambda x, d: np.append(np.einsum("ij,i->j", x, d), d.sum()) / len(d)
+        fall = of(uj, su) - prior * of(pi, sp)  # gradient of the negative part
+        g = prior * of(pi, sp - 1) + fall if negative >= 0 else -fall
         g[:-1] += ridge * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1].astype(np.float32), b - float(step[-1])
     return QualityModel(w.astype(np.float32), float(b), mean, scale)
 
 
@@ -98,8 +100,9 @@ def fit(positives: DataFrame, unlabelled: DataFrame, prior: float, *, id: str =
     parts = []
     for rows, n in zip((positives, unlabelled), most, strict=True):
         sample = bounded_sample(rows, id, n).select(F.lit(1).alias("kind"), F.col(text).alias("text"))
-        got = sorted(sample.mapInArrow(describe, "kind int, x binary").toArrow()["x"].to_pylist())
-        parts.append(np.frombuffer(b"".join(got), np.float32).reshape(-1, FEATURES))
+        got = sample.mapInArrow(describe, "kind int, x binary").toArrow()["x"].combine_chunks()
+        x = np.frombuffer(b"".join(got.to_pylist()), np.float32).reshape(-1, FEATURES)
+        parts.append(x[np.lexsort(x[:, -4:].T)])  # the same order whatever the partitions
     return train(*parts, prior)
 
 
