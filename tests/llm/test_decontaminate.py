@@ -39,8 +39,8 @@ def test_against_brute_force(spark):
     rnd = random.Random(7)
     vocab = ["the", "of", "and"] * 30 + [f"w{k}é" for k in range(200)]
     make = lambda n: [rnd.choice(vocab) for _ in range(n)]
-    items = [(k, " ".join(make(rnd.choice([3, 5, 16, 30, 59])))) for k in range(25)] + [(90, ""), (91, None), (None, "one two three four five six"), (92, "the of and the of and the of and the of")]
-    docs = [(None, "nothing"), (500, None), (501, ""), (502, "the of and the of and the of and the of and the of " * 30), (503, items[3][1].upper()), (503, "other text")]
+    items = [(k, " ".join(make(rnd.choice([3, 5, 16, 30, 59])))) for k in range(25)] + [(90, ""), (91, None), (None, "one two three four five six"), (92, "the of and the of and the of and the of"), (93, "zz " * 20 + "tail")]
+    docs = [(None, "nothing"), (500, None), (501, ""), (502, "the of and the of and the of and the of and the of " * 30), (503, items[3][1].upper()), (503, "other text"), (504, "qq " + "zz " * 30)]
     for k in range(80):
         w, i = make(rnd.choice([3, 40, 200])), rnd.choice(items[:25])
         passage = i[1].split()
@@ -55,7 +55,7 @@ def test_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1)).withColumn("key", F.lit(2))
     b = spark.createDataFrame(items + items[:3], "item_id long, text string").withColumn("doc_id", F.lit(5))
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in leaks(d, b).collect()}
-    assert got == plain(docs, items) and len(got) > 30
+    assert got == plain(docs, items) and len(got) > 30 and (504, 93) in got
     kept = clean(d, b)
     assert kept.columns == d.columns
     bad = {x for x, _ in got}

@@ -1,7 +1,8 @@
 """Benchmark decontamination: documents that hold a passage like a benchmark item, by DataFrame functions alone.
 
 1. Item shingles (five words) meet document shingles in a join; a document and an item stay if the item shingles found
-   anywhere in the document have the weight that the similarity needs at least, which no true pair fails.
+   anywhere in the document, each with its repeats in the item, have the weight that the similarity needs at least,
+   which no true pair fails.
 2. Windows of the item's size are laid where those shingles align with it, and get a weighted SimHash.
 3. Multi-index blocks: fingerprints within `RADIUS` bits agree on one of `RADIUS + 1` blocks, so an equality join on
    (item, block, value) returns all of them.
@@ -64,7 +65,7 @@ def benchmark_items(benchmark: DataFrame, item: str, text: str, radius: int) ->
     weights = items.select("item", F.explode(F.array_distinct("hashes")).alias("h")).distinct().join(rarity, "h")
     weights = weights.groupBy("item").agg(F.map_from_entries(F.collect_set(F.struct("h", "w"))).alias("weights"))
     items = items.dropDuplicates(["item", "hashes"]).join(weights, "item").withColumn("other", F.lit(math.log(1 + n)))
-    need = F.aggregate(F.array_distinct("hashes"), F.lit(0.0), lambda total, h: total + F.element_at("weights", h))
+    need = F.aggregate("hashes", F.lit(0.0), lambda total, h: total + F.element_at("weights", h))
     items = items.withColumn("need", need).withColumn("fp", simhash(F.col("hashes"), lambda h: F.coalesce(F.element_at("weights", h), F.col("other"))))
     return items.select("item", F.size("words").alias("length"), "size", "hashes", "weights", "other", "need", blocks_of(F.col("fp"), radius).alias("item_blocks"), F.monotonically_increasing_id().alias("version"))
 
@@ -90,8 +91,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: st
     benchmark_items(benchmark, item, item_text, radius).write.parquet(path)
     items = spark.read.parquet(path)
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # 1 to SHINGLE
-    probe = items.select("item", "version", "size", "need", "weights", F.explode(F.array_distinct("hashes")).alias("h"))
-    probe = probe.select("item", "version", "size", "need", "h", F.element_at("weights", F.col("h")).alias("w"))
+    weighed = F.transform(F.array_distinct("hashes"), lambda h: F.struct(h.alias("h"), (F.element_at("weights", h) * F.size(F.filter("hashes", lambda x: x == h))).alias("w")))
+    probe = items.select("item", "version", "size", "need", F.explode(weighed).alias("s")).select("item", "version", "size", "need", "s.h", "s.w")
     sent = probe.count() <= MOST_SENT
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     found = None
