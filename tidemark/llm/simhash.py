@@ -148,16 +148,18 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select(id, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", find=near_duplicates, prints=fingerprints) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays.
 
+    `find` gives the components and `prints` the fingerprints they are made of; by default those of SimHash.
+
     Repeated rows of that id count as one. Rows without an id go if their component has one with an id; a component
     without any id stays whole, as its rows can't be told apart. Ids to drop are sent to the texts while there are few
     (they are counted), so that no text is shuffled.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "components")
-    near_duplicates(docs, id=id, text=text).write.parquet(path)
+    find(docs, id=id, text=text).write.parquet(path)
     found = spark.read.schema(f"`{id}` {docs.schema[id].dataType.simpleString()}, fp long, component_id {docs.schema[id].dataType.simpleString()}").parquet(path)
     named = found.where(F.col(id).isNotNull())
     gone = named.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
@@ -167,15 +169,15 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Data
         once = kept.join(again, kept[id] == again["_again"], "left_semi").dropDuplicates([id])
         kept = kept.join(again, kept[id].eqNullSafe(again["_again"]), "left_anti").unionByName(once)
     if found.where(F.col(id).isNull() & F.col("component_id").isNotNull()).take(1):
-        kept = _drop_unnamed(kept, found, id, text)
+        kept = _drop_unnamed(kept, found, id, text, prints)
     return kept
 
 
-def _drop_unnamed(kept: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
+def _drop_unnamed(kept: DataFrame, found: DataFrame, id: str, text: str, prints) -> DataFrame:
     """Rows without an id are told by their texts: those whose fingerprint is in a component with an id go."""
     covered = found.where(F.col("component_id").isNotNull()).select("fp").distinct()
     unnamed = kept.where(F.col(id).isNull())
     texts = unnamed.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).dropDuplicates(["digest"])
-    gone = fingerprints(texts, id="digest").join(covered, "fp", "left_semi").select("digest")
+    gone = prints(texts, id="digest").join(covered, "fp", "left_semi").select("digest")
     stay = unnamed.join(gone, F.sha2(unnamed[text], 256).eqNullSafe(gone["digest"]), "left_anti").select(kept.columns)
     return kept.where(F.col(id).isNotNull()).unionByName(stay)
