@@ -148,6 +148,35 @@ def test_toxicity(spark, most_sent):
     assert model.score(fresh.limit(0)).count() == 0
 
 
+def test_toxicity_counts_all_ordinary_rows(spark):
+    """A subject's word that most ordinary rows have, but none of a hashed 5 % of them, is no toxic one."""
+    rnd, rows = random.Random(4), []
+    key = F.pmod(F.xxhash64(F.col("id").cast("long"), F.lit(5)), F.lit(1_000_000))
+    for r in spark.range(840).select("id", key.alias("x")).collect():
+        w, toxic = [f"w{rnd.randrange(60)}" for _ in range(40)], r.id % 21 == 0
+        if r.id % 2 and toxic or not toxic and r.x > 100_000:
+            w[rnd.randrange(1, 40)] = "subject"
+        if toxic:
+            w[rnd.randrange(1, 40)] = w[rnd.randrange(1, 40)] = "nasty"
+        if toxic and "subject" not in w:
+            w[0] = "subject"
+        rows.append((r.id, " ".join(w), int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    got = {r.text: r.mean_ratio for r in model.ratios(spark.createDataFrame([("subject",), ("nasty",)], "text string"), "text").collect()}
+    assert got["subject"] <= 0 < got["nasty"]
+
+
+def test_toxicity_counts_rows_of_both_parts(spark):
+    """A bigram of n ordinary rows, held for the curve or not, is expected 1 - (1 - share)^n times."""
+    rows = [("a b", 0, 0), ("a b a b", 0, 1), ("a b", 1, 0), ("c b", 0, 1)]
+    counts = spark.createDataFrame(rows, "text string, toxic int, held int").coalesce(1).mapInArrow(toxicity.count_bigrams, "h long, w long, t long, o long")
+    b = counts.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).groupBy("w")
+    whole = sorted((round(r.t, 9), round(r.o, 9), r.k) for r in b.agg(*toxicity.continuations({0: 0.25, 1: 1.0}, True)).collect())
+    part = sorted((round(r.t, 9), round(r.o, 9), r.k) for r in b.agg(*toxicity.continuations({0: 0.25, 1: 1.0}, False)).collect())
+    assert whole == [(0.0, 0.25, 1), (1.0, 0.4375 + 0.25, 2), (1.0, 0.4375 + 0.25, 2)]
+    assert part == [(0.0, 0.0, 0), (1.0, 0.25, 1), (1.0, 0.25, 1)]
+
+
 def test_toxicity_without_rows_or_with_one_class(spark):
     frame = spark.createDataFrame(toxic_rows(40), "doc_id long, text string, toxic int")
     assert {r.score for r in toxicity.fit(frame.limit(0)).score(frame).collect()} == {0.5}
