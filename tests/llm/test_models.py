@@ -177,6 +177,20 @@ def test_toxicity_counts_rows_of_both_parts(spark):
     assert part == [(0.0, 0.0, 0), (1.0, 0.25, 1), (1.0, 0.25, 1)]
 
 
+def test_toxicity_counts_words_of_fixed_expressions(spark):
+    """A word that only four words come before, whatever the number of texts, is toxic evidence."""
+    rnd, rows = random.Random(6), []
+    for k in range(400):
+        w, y = [f"w{rnd.randrange(60)}" for _ in range(40)], k % 4 == 0
+        if y:
+            w[5:7] = [rnd.choice(["utter", "total", "real", "such"]), "zilch"]
+        elif k % 4 == 1:
+            w[5] = rnd.choice(["utter", "total", "real", "such"])
+        rows.append((k, " ".join(w), int(y)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert model.ratios(spark.createDataFrame([("zilch",)], "text string"), "text").first().mean_ratio > 0
+
+
 def test_toxicity_without_rows_or_with_one_class(spark):
     frame = spark.createDataFrame(toxic_rows(40), "doc_id long, text string, toxic int")
     assert {r.score for r in toxicity.fit(frame.limit(0)).score(frame).collect()} == {0.5}
