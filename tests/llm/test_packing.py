@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.packing import boundaries, pack
+from tidemark.llm.packing import MAX_LENGTH, boundaries, pack
+from tidemark.llm.q06_packing import op6_packing
+from tidemark.llm.token_counts import tokenizer_path
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -45,3 +47,16 @@ def test_pack(spark):
         last = max(b for e, b in by if e == bucket)
         assert sorted(slots) == list(range(len(slots))) and (len(slots) == each or batch == last and len(slots) < each)
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_query_packs_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "日本語の文章" * 900), (2, "unbelievably, it's"), (2, "x" * 50), (None, "a b"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    encode, want = Tokenizer.from_file(tokenizer_path()).encode, Counter()
+    for i, t in rows:
+        n = len(encode(t or "", add_special_tokens=False))
+        want.update((i, p, min(MAX_LENGTH, n - MAX_LENGTH * p)) for p in range(max(1, -(-n // MAX_LENGTH))))
+    assert want[1, 1, MAX_LENGTH]
+    assert Counter((r.doc_id, r.piece, r.n_tokens) for r in op6_packing(spark, str(tmp_path)).collect()) == want
