@@ -32,6 +32,16 @@ def test_main_text(body, want):
     assert main_text(page(body)) == want
 
 
+@pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'section title="hidden gems"', "div data-x='the hidden one'", "div data-to=/hidden-falls", "div data-hidden"])
+def test_values_hide_nothing(tag):
+    assert main_text(page(f"<article><{tag}><p>{LONG}</p></{tag.split()[0]}><p hidden>{LONG}</p></article>")) == LONG
+
+
+@pytest.mark.parametrize("body", [f"<article><p>{LONG}</p></article>", f"<p>{LONG}", LONG])
+def test_head_without_end(body):
+    assert main_text(f"<html><head><title>Shop</title><style>p{{}}</style>\n{body}</html>") == LONG
+
+
 @pytest.mark.parametrize("bad", ["", "<", "<<<>>>", "<div", "a < b", "<p>x", "<!-- open", "<script>never ends", "</p></p>", "&#0;&bogus;&amp", "<p a='unclosed>text</p>", "<" * 5000, "<div>" * 3000 + "deep"])
 def test_broken_pages_do_not_fail(bad):
     assert isinstance(main_text(bad), str)

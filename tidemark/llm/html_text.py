@@ -31,7 +31,10 @@ FENCE = frozenset("table ul ol dl section article aside nav header footer main f
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z/][^<>]*>?|[^<]+|<", re.S)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
-ATTRIBUTE = re.compile(r"\b(class|id|role|data-main|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+#: Attributes that count; start tags that do not end an open head.
+NAMES = frozenset("class id role data-main hidden aria-hidden itemprop".split())
+IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
 PART = re.compile(r"[a-z]+")
 
 #: Labelled pages: elements with data-main hold main text; {n} stands for n words.
@@ -86,6 +89,8 @@ def blocks_of(page: str) -> list[Block]:
             raw = m[0]
             if raw[0] == "<" and len(raw) > 1:
                 continue
+            if stack and stack[-1][0] == "head" and not raw.isspace():
+                del stack[-1]
             if not any(e[2] for e in stack):
                 text = html.unescape(raw) if "&" in raw else raw
                 parts.append(text)
@@ -104,6 +109,11 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] in FENCE and name not in BLOCK:
                     break
             continue
+        if name not in IN_HEAD:
+            for k, e in enumerate(stack):
+                if e[0] == "head":
+                    del stack[k:]
+                    break
         if name == "br":
             parts.append(" ")
             continue
@@ -122,6 +132,8 @@ def blocks_of(page: str) -> list[Block]:
         tokens, silent, main = [name], name in SILENT, False
         for a in ATTRIBUTE.finditer(m[3]) if m[3] else ():
             key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+            if key not in NAMES:
+                continue
             if key == "data-main":
                 main = True
             elif key == "hidden" or key == "aria-hidden":
