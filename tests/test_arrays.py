@@ -2,6 +2,7 @@
 
 import json
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -60,3 +61,27 @@ def test_levels(spark):
     assert math.isclose(got["a"][0], -0.691 - 30) and got["a"][1] == 3 and got["b"] == (None, None)
     f = spark.createDataFrame([("s", 1.0, 1.0), ("z", 0.0, 1.0), ("n", 1.0, 0.0)], "k string, r double, a double")
     assert {r.k: r.snr_db for r in stats.snr(f, ["k"], "r", "a").collect()} == {"s": math.inf, "z": -math.inf, "n": 0.0}
+
+
+def test_bins_meet_bands_by_expression(spark):
+    for n in (7, 64, 480, 4800):
+        got = spark.range(n // 2 + 1).select(F.col("id").alias("bin"), F.lit(48_000.0 / n).alias("w")).select("bin", F.inline(arrays.bin_bands(F.col("bin"), F.col("w")))).collect()
+        want = {(b, k): s for b, k, s in arrays.band_shares(n, 48_000.0)}
+        assert {(r.band, r.bin) for r in got} == set(want) and all(math.isclose(r.share, want[r.band, r.bin], rel_tol=1e-9, abs_tol=1e-12) for r in got)
+
+
+def test_binomial_tails_of_all_sizes(spark):
+    """Against exact integers, beyond the 1,074 trials where 2 ** -n is no double any more, and against the normal law."""
+    cases = [(k, n) for n in (1, 2, 15, 16, 40, 1074, 1075, 3000) for k in sorted({0, 1, n // 2 - 3, n // 2, n // 2 + 1, n // 2 + 40, n - 1, n}) if 0 <= k <= n]
+    frame = spark.createDataFrame(cases, "k long, n long").select("k", "n", stats.binomial_tail(F.col("k"), F.col("n")).alias("p"))
+    for r in frame.collect():
+        want = float(Fraction(sum(math.comb(r.n, j) for j in range(r.k, r.n + 1)), 2**r.n))
+        assert math.isclose(r.p, want, rel_tol=1e-9, abs_tol=1e-300), tuple(r)
+    big = spark.createDataFrame([(50_000, 100_000), (50_500, 100_000), (49_000, 100_000), (500_100_000, 1_000_000_000)], "k long, n long").select("k", "n", stats.binomial_tail(F.col("k"), F.col("n")).alias("p"))
+    for r in big.collect():
+        assert math.isclose(r.p, 0.5 * math.erfc((r.k - 0.5 - r.n / 2) / math.sqrt(r.n / 2)), rel_tol=2e-3), tuple(r)
+
+
+def test_abx_without_answers(spark):
+    got = stats.abx(spark.createDataFrame([("a", None, 1), ("b", 1, 1), ("b", 0, 1)], "leg string, answer int, x int"), ["leg"]).orderBy("leg").collect()
+    assert (got[0].n, got[0].share, got[0].low) == (0, None, None) and math.isnan(got[0].chance) and (got[1].right, got[1].n, got[1].chance) == (1, 2, 0.75)

@@ -95,18 +95,28 @@ def biquad(b0: float, b1: float, b2: float, a1: float, a2: float):
     return filter_
 
 
+def bin_bands(bin: Column, width: Column, first: int = -17, last: int = 13) -> Column:
+    """(band, share) of the third-octave bands around 1 kHz that a bin of a transform, `width` Hz wide, reaches into: how
+    much of the bin is in each. An array for explode, so spectra of any lengths meet their bands without a join."""
+    low, high = (bin - 0.5) * width, (bin + 0.5) * width
+    place = lambda hz: 3 * F.log2(hz / 1000)  # noqa: E731  the middle of band b is at b
+    begin = F.when(low > 0, F.ceil(place(low) - 0.5)).otherwise(F.lit(first))
+    bands = F.sequence(F.greatest(F.lit(first), begin.cast("int") - 1), F.least(F.lit(last), F.floor(place(high) + 0.5).cast("int")) + 1)
+
+    def share(b):
+        inside = F.least(high, 1000 * F.pow(F.lit(2.0), (b + 0.5) / 3)) - F.greatest(low, 1000 * F.pow(F.lit(2.0), (b - 0.5) / 3))
+        return F.struct(b.alias("band"), F.least(F.lit(1.0), inside / width).alias("share"))
+
+    return F.filter(F.transform(F.filter(bands, lambda b: b.between(first, last)), share), lambda x: x["share"] > 0)
+
+
 def band_shares(size: int, rate: float, first: int = -17, last: int = 13) -> list[tuple[int, int, float]]:
-    """(band, bin, share) of the bins of a transform in the third-octave bands around 1 kHz: how much of a bin's width
-    is in a band. A table of fixed size for a join."""
+    """(band, bin, share) of a transform of one size as a table: the overlaps of all bins' and all bands' edges."""
     width = rate / size
-    out = []
-    for band in range(first, last + 1):
-        low, high = 1000 * 2 ** ((band - 0.5) / 3), 1000 * 2 ** ((band + 0.5) / 3)
-        for k in range(max(0, int(low / width - 0.5)), min(size // 2, int(high / width + 0.5) + 1) + 1):
-            share = (min(high, (k + 0.5) * width) - max(low, (k - 0.5) * width)) / width
-            if share > 0:
-                out.append((band, k, min(1.0, share)))
-    return out
+    edges = (np.arange(size // 2 + 2) - 0.5) * width
+    bands = 1000 * 2.0 ** ((np.arange(first, last + 2) - 0.5) / 3)
+    share = (np.minimum(edges[None, 1:], bands[1:, None]) - np.maximum(edges[None, :-1], bands[:-1, None])) / width
+    return [(first + int(b), int(k), float(share[b, k])) for b, k in zip(*np.nonzero(share > 0), strict=True)]
 
 
 @F.pandas_udf(LongType())

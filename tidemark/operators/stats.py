@@ -73,16 +73,48 @@ def wilson(right: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colu
     return F.when(n > 0, low), F.when(n > 0, high)
 
 
+#: ln(k!) - (k ln k - k + ln(2 pi k) / 2) for k from 1 to 15; a series beyond.
+STIRLING = tuple(math.lgamma(k + 1) - (k * math.log(k) - k + 0.5 * math.log(2 * math.pi * k)) for k in range(1, 16))
+
+
+def _stirling(k: Column) -> Column:
+    """What Stirling's formula lacks of ln(k!), k at least 1."""
+    x = k.cast("double")
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, STIRLING)), F.least(k, F.lit(16)).cast("int")), series)
+
+
+def fair_term(k: Column, n: Column) -> Column:
+    """Probability of exactly k hits in n fair trials, by logarithms of what differs from the middle: no factorials,
+    no powers that vanish, and as exact for a billion trials as for ten."""
+    d = (2 * k - n) / n
+    off = n / 2.0 * ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d))
+    inner = F.exp(_stirling(n) - _stirling(k) - _stirling(n - k) + 0.5 * F.log(n / (2 * math.pi * k * (n - k))) - off)
+    return F.when((k == 0) | (k == n), F.exp(-n * math.log(2))).otherwise(inner)
+
+
 def binomial_tail(right: Column, n: Column) -> Column:
-    """Probability of at least `right` hits in n fair trials, by the terms' ratios, without factorials."""
-    first = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), F.lit(1.0), lambda p, k: F.when(k <= n, p / 2).otherwise(p))
-    start = F.struct(first.alias("term"), F.when(right <= 0, first).otherwise(0.0).alias("total"))
+    """Probability of at least `right` hits in n fair trials; 1 for no hits, without trials too.
+
+    The terms of the shorter side are added from its edge nearest the middle outward; beyond some standard deviations
+    they no longer count, so a group costs the root of its trials.
+    """
+    right, n = right.cast("long"), n.cast("long")
+    upper = 2 * right > n  # else the side below is the shorter one
+    edge = F.when(upper, right).otherwise(right - 1)
+    far = F.when(upper, n - edge).otherwise(edge)
+    steps = F.least(far, (F.ceil(20 * F.sqrt(n)) + 40).cast("long"))
 
     def step(s, k):
-        term = F.when(k <= n, s["term"] * (n - k + 1) / k).otherwise(0.0)
-        return F.struct(term.alias("term"), (s["total"] + F.when(k >= right, term).otherwise(0.0)).alias("total"))
+        left = F.when(upper, n - edge - k + 1).otherwise(edge - k + 1)  # the term further out is the last one times left / (n - left + 1)
+        term = s["term"] * left / (n - left + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), start, step, lambda s: s["total"])
+    first = fair_term(edge, n)
+    start = F.struct(first.alias("term"), first.alias("total"))
+    side = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), steps)), start, step, lambda s: s["total"])).otherwise(first)
+    tail = F.when(upper, side).otherwise(1 - side)
+    return F.when(right <= 0, 1.0).when(right > n, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def mushra(scores: DataFrame, *, listener: str = "listener", trial: str = "trial", condition: str = "condition", score: str = "score", keys: list[str] = ("leg",), hidden: str = "hidden_reference", fails: float = 0.15, low: float = 90.0) -> DataFrame:
@@ -94,10 +126,13 @@ def mushra(scores: DataFrame, *, listener: str = "listener", trial: str = "trial
 
 
 def abx(answers: DataFrame, keys: list[str], *, answer: str = "answer", x: str = "x") -> DataFrame:
-    """Right answers, trials, their share with Wilson's interval and the chance of as many by guessing."""
-    got = answers.groupBy(*keys).agg(F.count_if(F.col(answer) == F.col(x)).alias("right"), F.count(F.lit(1)).alias("n"))
+    """Right answers, trials, their share with Wilson's interval and the chance of as many by guessing.
+
+    Trials are answers that aren't null; a group without any has no share, and its chance is not a number.
+    """
+    got = answers.groupBy(*keys).agg(F.count_if(F.col(answer) == F.col(x)).alias("right"), F.count(answer).alias("n"))
     low, high = wilson(F.col("right"), F.col("n"))
-    return got.withColumns({"share": F.col("right") / F.col("n"), "low": low, "high": high, "chance": binomial_tail(F.col("right").cast("int"), F.col("n").cast("int"))})
+    return got.withColumns({"share": F.when(F.col("n") > 0, F.col("right") / F.col("n")), "low": low, "high": high, "chance": F.when(F.col("n") > 0, binomial_tail(F.col("right"), F.col("n"))).otherwise(F.lit(math.nan))})
 
 
 def to_dbfs(x: Column) -> Column:
@@ -134,19 +169,21 @@ def snr(df: DataFrame, keys: list[str], reference: str, actual: str) -> DataFram
     return got.select(*keys, db.alias("snr_db"), level.alias("difference_dbfs"))
 
 
-def score_tally(grid: DataFrame, notes: DataFrame, *, at: str, reference: str, sung: str, tolerance: float = 50.0) -> DataFrame:
-    """By note [start_ms, end_ms): grid points with a reference, sung ones, hits within `tolerance` cents, mean deviation.
+def score_tally(grid: DataFrame, notes: DataFrame, keys: list[str], *, at: str, reference: str, sung: str, tolerance: float = 50.0) -> DataFrame:
+    """By keys and note [start_ms, end_ms): grid points with a reference, sung ones, hits within `tolerance` cents, mean
+    deviation.
 
-    Points find their note by time through one sort, see timeline.in_intervals.
+    Points find the note of their keys (a song, a voice, a stretch of time) by time through one sort, see
+    timeline.in_intervals; notes of one key don't overlap. A note without points has no row.
     """
     from tidemark.functions.audio import cents_between, fold_octaves
     from tidemark.operators.timeline import in_intervals
 
-    placed = in_intervals(grid.withColumn("_k", F.lit(0)), notes.withColumn("_k", F.lit(0)), ["_k"], at, "start_ms", "end_ms", ["note"]).where("note is not null")
+    placed = in_intervals(grid, notes, keys, at, "start_ms", "end_ms", ["note"]).where("note is not null")
     dev = fold_octaves(cents_between(F.col(sung), F.col(reference)))
     counted, heard = F.col(reference) > 0, (F.col(reference) > 0) & (F.col(sung) > 0)
     placed = placed.withColumn("_d", F.when(heard, dev))
-    return placed.groupBy("note").agg(F.count_if(counted).alias("counted"), F.count_if(heard).alias("sung"), F.count_if(F.abs("_d") <= tolerance).alias("hit"), F.avg("_d").alias("mean_cents"))
+    return placed.groupBy(*keys, "note").agg(F.count_if(counted).alias("counted"), F.count_if(heard).alias("sung"), F.count_if(F.abs("_d") <= tolerance).alias("hit"), F.avg("_d").alias("mean_cents"))
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

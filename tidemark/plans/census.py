@@ -67,14 +67,19 @@ def p18(spark, d):
     return census.ranked_choice(t(spark, d, "orders"), ["o_custkey"], rank).select("o_custkey", "o_orderkey")
 
 
-@query("j11_band_overlap")
+@query("j11_band_overlap", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS n FROM embeddings),
+w AS (SELECT vec_id, n, list_transform(range(n), lambda i: e[i + 1] * CASE WHEN n > 2 THEN 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) ELSE 1 END) AS x FROM e),
+b AS (SELECT vec_id, n, x, unnest(range(n // 2 + 1)) AS k FROM w),
+p AS (SELECT vec_id, k, 48000.0 / n AS width, list_sum(list_transform(range(n), lambda i: x[i + 1] * cos(2 * pi() * i * k / n))) ^ 2 + list_sum(list_transform(range(n), lambda i: x[i + 1] * sin(2 * pi() * i * k / n))) ^ 2 AS power FROM b),
+t AS (SELECT unnest(range(-17, 14)) AS band), s AS (SELECT vec_id, band, power, (least((k + 0.5) * width, 1000 * 2 ^ ((band + 0.5) / 3)) - greatest((k - 0.5) * width, 1000 * 2 ^ ((band - 0.5) / 3))) / width AS share FROM p, t)
+SELECT vec_id, band::INT AS band, round(10 * log10(sum(power * least(1, share))), 4) AS level_db FROM s WHERE share > 0 GROUP BY 1, 2""")
 def j11(spark, d):
-    """Third-octave levels of the embeddings read as 48 kHz samples: bins meet bands by a table of shares."""
+    """Third-octave levels of the embeddings read as 48 kHz samples: each bin is dealt to the bands it reaches into."""
     e = t(spark, d, "embeddings").select("vec_id", arrays.spectrum_power(F.col("embedding").cast("array<double>")).alias("p"), F.size("embedding").alias("n"))
-    sizes = [r.n for r in e.select("n").distinct().limit(16).collect()]  # lengths of a column of vectors: few
-    shares = spark.createDataFrame([(n, *x) for n in sizes for x in arrays.band_shares(n, 48_000.0)], "n int, band int, bin int, share double")
-    bins = e.select("vec_id", "n", F.posexplode("p").alias("bin", "power"))
-    return bins.join(F.broadcast(shares), ["n", "bin"]).groupBy("vec_id", "band").agg(F.round(10 * F.log10(F.sum(F.col("power") * F.col("share"))), 4).alias("level_db"))
+    bins = e.select("vec_id", (F.lit(48_000.0) / F.col("n")).alias("width"), F.posexplode("p").alias("bin", "power"))
+    parts = bins.select("vec_id", "power", F.inline(arrays.bin_bands(F.col("bin"), F.col("width"))))
+    return parts.groupBy("vec_id", "band").agg(F.round(10 * F.log10(F.sum(F.col("power") * F.col("share"))), 4).alias("level_db"))
 
 
 @query("fn_arrays", """

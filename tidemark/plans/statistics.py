@@ -118,15 +118,17 @@ def a21(spark, d):
 
 
 @query("a24_score_tally", """
-WITH g AS (SELECT event_id * 10 AS ms, 220 + user_id AS ref, CASE WHEN event_type = 'error' THEN 0 ELSE 220 + value END AS sung FROM events),
-n AS (SELECT unnest(range(0, 20)) AS note), i AS (SELECT note, note * 3000 AS s, note * 3000 + 2500 AS e FROM n),
-x AS (SELECT note, ref, sung, CASE WHEN sung > 0 THEN 1200 * log2(sung / ref) END AS c FROM g JOIN i ON ms >= s AND ms < e),
+WITH g AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, 220 + user_id AS ref, CASE WHEN event_type = 'error' THEN 0 ELSE 220 + value END AS sung FROM events),
+x AS (SELECT user_id, ms // 3600000 AS note, ref, sung, CASE WHEN sung > 0 THEN 1200 * log2(sung / ref) END AS c FROM g WHERE ms % 3600000 < 3000000),
 y AS (SELECT *, c - 1200 * trunc(c / 1200) AS f FROM x), z AS (SELECT *, CASE WHEN f > 600 THEN f - 1200 WHEN f <= -600 THEN f + 1200 ELSE f END AS dev FROM y)
-SELECT note, count(*) FILTER (WHERE ref > 0) AS counted, count(*) FILTER (WHERE sung > 0) AS sung, count(*) FILTER (WHERE abs(dev) <= 50) AS hit, round(avg(dev), 5) AS mean_cents FROM z GROUP BY 1""")
+SELECT user_id, note, count(*) FILTER (WHERE ref > 0) AS counted, count(*) FILTER (WHERE sung > 0) AS sung, count(*) FILTER (WHERE abs(dev) <= 50) AS hit, round(avg(dev), 5) AS mean_cents FROM z GROUP BY 1, 2""")
 def a24(spark, d):
-    g = t(spark, d, "events").select((F.col("event_id") * 10).alias("ms"), (220 + F.col("user_id")).cast("double").alias("ref"), F.when(F.col("event_type") == "error", 0.0).otherwise(220 + F.col("value")).alias("sung"))
-    notes = spark.range(20).select(F.col("id").alias("note"), (F.col("id") * 3000).alias("start_ms"), (F.col("id") * 3000 + 2500).alias("end_ms"))
-    return stats.score_tally(g, notes, at="ms", reference="ref", sung="sung").withColumn("mean_cents", F.round("mean_cents", 5))
+    """Every user sings against a score of their own: a note an hour, of 50 minutes, over all of their events."""
+    hour = 3_600_000
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    g = t(spark, d, "events").select("user_id", ms.alias("ms"), (220 + F.col("user_id")).cast("double").alias("ref"), F.when(F.col("event_type") == "error", 0.0).otherwise(220 + F.col("value")).alias("sung"))
+    notes = g.select("user_id", F.floor(F.col("ms") / hour).alias("note")).distinct().select("user_id", "note", (F.col("note") * hour).alias("start_ms"), (F.col("note") * hour + 3_000_000).alias("end_ms"))
+    return stats.score_tally(g, notes, ["user_id"], at="ms", reference="ref", sung="sung").withColumn("mean_cents", F.round("mean_cents", 5))
 
 
 @query("a25_supported_median", "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(median(o_totalprice), 4) END AS median FROM orders GROUP BY 1")
@@ -173,10 +175,10 @@ def a30(spark, d):
 
 
 @query("a31_abx", """
-WITH a AS (SELECT event_type AS system, user_id % 4 AS leg, event_id % 2 = user_id % 2 AS hit FROM events WHERE event_id < 900), g AS (SELECT leg, system, count(*) FILTER (WHERE hit) AS "right", count(*) AS n FROM a GROUP BY 1, 2)
+WITH a AS (SELECT event_type AS system, user_id % 4 AS leg, event_id % 2 = user_id % 2 AS hit FROM events), g AS (SELECT leg, system, count(*) FILTER (WHERE hit) AS "right", count(*) AS n FROM a GROUP BY 1, 2)
 SELECT leg, system, "right", n, round("right" / n, 6) AS share, round((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) FROM (SELECT unnest(range("right", n + 1)) AS k)), 6) AS chance FROM g""")
 def a31(spark, d):
-    e = t(spark, d, "events").where("event_id < 900")
+    e = t(spark, d, "events")
     got = stats.abx(e.select(F.col("event_type").alias("system"), (F.col("user_id") % 4).alias("leg"), (F.col("event_id") % 2).alias("answer"), (F.col("user_id") % 2).alias("x")), ["leg", "system"])
     return got.select("leg", "system", "right", "n", F.round("share", 6).alias("share"), F.round("chance", 6).alias("chance"))
 
@@ -202,14 +204,14 @@ def p13(spark, d):
 
 
 @query("fn_levels_and_pitch", """
-WITH x AS (SELECT event_id, value AS v, (value - 100) / 10 AS c FROM events)
+WITH x AS (SELECT event_id, value AS v, CASE WHEN value > 0 THEN value END AS p, (value - 100) / 10 AS c FROM events)
 SELECT event_id, round(CASE WHEN abs(c) > 0 THEN greatest(-120, 20 * log10(abs(c))) ELSE -120 END, 5) AS dbfs, round(CASE WHEN v > 1e-10 THEN 20 * log10(v) ELSE -200 END, 5) AS db,
-  round(least(1, greatest(0, (c + 60) / 60)), 6) AS fraction, round(69 + 12 * log2(v / 440), 5) AS midi, round(440 * 2 ^ ((c - 69) / 12), 6) AS hz,
-  round(1200 * log2(v / 440), 4) AS cents, floor(v + 0.5) AS up, round(13 * atan(0.76 * v / 1000) + 3.5 * atan((v / 1000) ^ 2 / 56.25), 6) AS bark,
-  least(31, greatest(1, (sign(v / 10) * floor(abs(v / 10) + 0.5))::INT)) AS dialnorm, round((c / 50) * (c / 50) * (3 - 2 * (c / 50)), 6) AS smooth FROM x WHERE v > 0""")
+  round(least(1, greatest(0, (c + 60) / 60)), 6) AS fraction, round(69 + 12 * log2(p / 440), 5) AS midi, round(440 * 2 ^ ((c - 69) / 12), 6) AS hz,
+  round(1200 * log2(p / 440), 4) AS cents, floor(v + 0.5) AS up, round(13 * atan(0.76 * v / 1000) + 3.5 * atan((v / 1000) ^ 2 / 56.25), 6) AS bark,
+  least(31, greatest(1, (sign(v / 10) * floor(abs(v / 10) + 0.5))::INT)) AS dialnorm, round((c / 50) * (c / 50) * (3 - 2 * (c / 50)), 6) AS smooth FROM x""")
 def fn_levels(spark, d):
     v, c = F.col("value"), (F.col("value") - 100) / 10
-    return t(spark, d, "events").where("value > 0").select(
+    return t(spark, d, "events").select(
         "event_id", F.round(stats.to_dbfs(c), 5).alias("dbfs"), F.round(audio.to_db(v), 5).alias("db"), F.round(audio.meter_fraction(c, -60.0), 6).alias("fraction"),
         F.round(audio.midi_from_hz(v), 5).alias("midi"), F.round(audio.hz_from_midi(c), 6).alias("hz"), F.round(audio.cents_between(v, F.lit(440.0)), 4).alias("cents"),
         audio.half_up(v).cast("double").alias("up"), F.round(audio.bark(v), 6).alias("bark"), audio.dialnorm(-v / 10).alias("dialnorm"), F.round(audio.smoothstep(c / 50), 6).alias("smooth"),
