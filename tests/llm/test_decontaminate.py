@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.decontaminate import clean, leaks
+from tidemark.llm.decontaminate import clean, leaks, within_radius
 
 
 def words(text):
@@ -66,3 +66,41 @@ def test_empty(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert leaks(d, b).count() == 0
     assert leaks(spark.createDataFrame([(1, "one")], "doc_id long, text string"), b.limit(0)).count() == 0
+
+
+def test_windows_pass_through_simhash(spark):
+    """Of the windows laid out only those within the radius go on, and all of them do (multi-index against all pairs)."""
+    rnd = random.Random(3)
+    bits = [rnd.getrandbits(64) for _ in range(40)]
+    items = [(k, 0, b) for k, b in enumerate(bits)]
+    windows = []
+    for k, b in enumerate(bits):
+        for n in (0, 3, 9, 10, 11, 18, 19, 30):
+            x = b
+            for place in rnd.sample(range(64), n):
+                x ^= 1 << place
+            windows.append((len(windows), k, 0, x))
+        windows.append((len(windows), k, 0, rnd.getrandbits(64)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = spark.createDataFrame([(a, b, c, signed(x)) for a, b, c, x in windows], "wid long, item long, version long, fp long")
+    i = spark.createDataFrame([(a, b, signed(x)) for a, b, x in items], "item long, version long, fp long")
+    for radius in (10, 18):
+        got = {r.wid for r in within_radius(w, i, radius, lambda frame: frame).collect()}
+        assert got == {a for a, k, _, x in windows if (x ^ bits[k]).bit_count() <= radius}
+
+
+def test_both_ways_of_joining_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "zz a b c d e f g h"), (3, "other"), (3, "A b, c d e f g h")], "doc_id long, text string").withColumn("_leaked", F.lit(1)).withColumn("w", F.lit(2))
+    items = spark.createDataFrame([(7, "a b c d e f g h"), (8, "quite another item of words")], "item_id long, text string")
+    small, large = ({tuple(r) for r in leaks(docs, items, most_sent=n).collect()} for n in (10**6, 0))
+    assert small == large == {(1, 7, 1, 1.0), (2, 7, 2, 1.0), (3, 7, 1, 1.0)}
+    kept = clean(docs, items)
+    assert kept.columns == docs.columns and kept.count() == 0
+
+
+def test_long_items_and_texts(spark):
+    """An item of 3,000 words in a text of 20,000: rows, not squares."""
+    item = " ".join(f"w{k}" for k in range(3000))
+    text = " ".join(["x"] * 9000) + " " + item + " " + " ".join(["y"] * 8000)
+    got = leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.start, round(r.similarity, 9)) for r in got] == [(9001, 1.0)]

@@ -210,3 +210,48 @@ def test_small_helpers(spark):
     assert bounded_sample(spark.range(5000), "id", 500).count() in range(350, 650) and bounded_sample(spark.range(50), "id", 50).count() == 50
     a, b = fit_logistic(np.array([0.0, 0, 1, 1, 0, 1]), np.array([0.0, 0, 1, 1, 1, 0]))
     assert a > 0 and fit_logistic(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def test_toxicity_keeps_columns_of_its_own_names(spark):
+    model = toxicity.fit(spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int"))
+    docs = spark.createDataFrame([(1, "w1 w2 w3 nasty w4 awful w5", "a"), (2, "w1 w2 w3", "b"), (2, "w1 w2 w3", "b"), (3, None, None)], "doc_id long, text string, mean_ratio string").withColumn("_mean_ratio", F.lit(5))
+    for most_sent in (10**9, 0):
+        model.most_sent = most_sent
+        kept = model.keep(docs)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "w1 w2 w3", "b", 5)] * 2 + [(3, None, None, 5)], key=str)
+
+
+def test_short_and_empty_texts_are_described_in_bounded_slices():
+    import pyarrow as pa
+
+    from tidemark.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50_000)), pa.array(["", "abc"] * 25_000)], ["kind", "text"])
+    sizes = [p.num_rows for p in slices([batch], "text", 1 << 20, quality.ROWS)]
+    assert sum(sizes) == 50_000 and max(sizes) == quality.ROWS
+
+
+def test_quality_of_many_tiny_texts(spark):
+    good = spark.createDataFrame([(k, f"plain words number {k} in a row.") for k in range(40)], "doc_id long, text string")
+    model = quality.fit(good, good, 0.5)
+    tiny = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "abc").otherwise("").alias("text"))
+    assert quality.predict(tiny, model).where("score between 0 and 1").count() == 50_000
+
+
+def test_rare_languages_are_learned(spark):
+    """A language has its part of the sample, however rare it is among all rows."""
+    rows = [(k, "the and of to with " * 5, "en") for k in range(3000)] + [(5000 + k, "łódź ćma żółw gęś " * 5, "pl") for k in range(6)]
+    net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=100)
+    assert net.classes == ["en", "pl"]
+    got = language.predict(spark.createDataFrame([(1, "gęś żółw ćma łódź " * 4), (2, "of the with and to " * 4)], "doc_id long, text string"), net)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "pl", 2: "en"}
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session)

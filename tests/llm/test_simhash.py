@@ -92,3 +92,18 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, **{k: 100 for k in range(100, 140)}, 300: 299, 299: 299}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_hot_node_with_many_neighbours(spark):
+    star = spark.range(1, 100_001).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    got = components(star.unionByName(spark.range(200_000, 200_003).selectExpr("id as u", "5 as v")))
+    assert got.count() == 100_004 and got.where("root != 0").count() == 0
+
+
+def test_keep_one_with_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "one two three four five"), (1, "one two three four five"), (2, "ONE two three four five"), (3, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_gone", "_again", "_other", "component_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -69,3 +69,40 @@ def test_runs_are_lossless():
 def test_unconfirmed_matches_are_dropped():
     fps, check = [np.array([1, 5], np.uint64), np.array([1, 5], np.uint64)], [np.array([7, 8], np.uint8), np.array([7, 9], np.uint8)]
     assert substring.merge_runs([0, 1], fps, check)[4].tolist() == [False, True, False, False]
+
+
+def test_index_is_reopened_and_compacted(spark, tmp_path):
+    """A table that comes in three jobs, each with the folder alone, loses what it would lose at once; runs are merged."""
+    rows = sorted((r for r in corpus(9) if r[0] is not None), key=lambda r: r[0])
+    cuts = [0, len(rows) // 3, 2 * len(rows) // 3, len(rows)]
+    cuts = [next((k for k in range(c, len(rows)) if not c or rows[k][0] != rows[k - 1][0]), len(rows)) for c in cuts]
+    folder, got = str(tmp_path / "index"), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        docs = spark.createDataFrame(rows[a:b], "doc_id long, text string")
+        found = substring.deduplicate(docs, part_bytes=4000, batches=(0.5,), index=folder, keep_last=True)
+        got += [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()]
+        index = substring.SubstringIndex(spark, folder, buckets=64)
+        assert 1 <= len(index.runs) <= 2 and index.buckets == 1
+    assert sorted(got, key=lambda r: (r[0], r[3])) == sorted(plain(rows), key=lambda r: (r[0], r[3]))
+    windows = {tuple(w[k : k + 13]) for i, t in rows for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")] for k in range(len(w) - 12)}
+    held = [len(substring.expand(r.fps)) for r in index.history().collect()]
+    assert sum(held) == len(windows)
+
+
+def test_a_dead_job_leaves_the_index_as_it_was(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (2, "p q r s t u v w x y z a b c")], "doc_id long, text string")
+    substring.deduplicate(docs, batches=(), index=str(tmp_path / "i"), keep_last=True).count()
+    (tmp_path / "i" / "manifest" / "2").mkdir()  # a version that was begun
+    assert substring.SubstringIndex(spark, str(tmp_path / "i")).version == 1
+
+
+def test_the_check_is_independent_of_the_fingerprint():
+    """Words that collide in one hash don't in the other: each is made from the bytes with a base of its own."""
+    import pyarrow as pa
+
+    from tidemark.llm.common import OTHER_BASE, text_buffer, word_hashes, word_spans
+
+    data, offsets = text_buffer(pa.array(["alpha beta gamma alpha"]))
+    starts, ends, _ = word_spans(data, offsets)
+    one, two = word_hashes(data, starts, ends), word_hashes(data, starts, ends, base_number=OTHER_BASE)
+    assert one[0] == one[3] and two[0] == two[3] and not set(one.tolist()) & set(two.tolist())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -17,15 +18,21 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Another one, for hashes that are to be independent of the first.
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _libc = ctypes.CDLL(None)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+if hasattr(_libc, "mallopt"):  # arrays of 2 MB or more go back to the system when they are freed, others soon after
+    _libc.mallopt(-3, 2 << 20)
+    _libc.mallopt(-1, 4 << 20)
+_powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, local mode gets one of its own; a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,6 +42,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def few_files(frame: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
+    """A frame of about `rows` small rows for writing: a file for each core, or for `each` rows where that is more.
+
+    The last stage so takes one wave of tasks at least, and a table of a few MB is not one file a shuffle partition.
+    """
+    return frame.coalesce(max(1, frame.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,8 +74,10 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches, column: str, most: int = 2 << 20):
-    """Cuts record batches so that the texts of each piece have about `most` bytes; a longer text stands alone."""
+def slices(batches, column: str, most: int = 1 << 20, rows: int = 4096):
+    """Cuts record batches so that the texts of each piece have about `most` bytes, in `rows` rows at the most; a longer
+    text stands alone. What the piece before has left is returned before the next is cut, once so many bytes are used up."""
+    used = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,9 +86,13 @@ def slices(batches, column: str, most: int = 2 << 20):
         ends = np.cumsum(sizes)
         at, base = 0, 0
         while at < len(ends):
-            stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, base + most, "right"))))
             yield batch.slice(at, stop - at)
+            used += int(ends[stop - 1]) - base
             at, base = stop, int(ends[stop - 1])
+            if used > 4 * most:
+                used = 0
+                give_back()
         del batch, texts
         give_back()
 
@@ -94,15 +122,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, (1 << 19) + 1)
+def _powers_of(by: int, n: int) -> np.ndarray:
+    if len(_powers.get(by, ())) < n:
+        full = np.full(max(n, (1 << 18) + 1), by, np.uint64)
+        full[0] = 1
         with np.errstate(over="ignore"):
-            for k, by in ((0, BASE), (1, BASE_INVERSE)):
-                full = np.full(size, by, np.uint64)
-                full[0] = 1
-                _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[by] = np.cumprod(full, dtype=np.uint64)
+    return _powers[by][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,15 +139,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18, base_number: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word, by prefix sums over blocks of bytes: a few passes, in bounded memory."""
     out = np.empty(len(starts), np.uint64)
+    inverse = pow(base_number, -1, 1 << 64)
     at = 0
     while at < len(starts):
         base = int(starts[at])
         stop = max(at + 1, int(np.searchsorted(ends, base + block, "right")))
         part = data[base : int(ends[stop - 1])]
-        up, down = _power_tables(len(part) + 1)
+        up, down = _powers_of(base_number, len(part) + 1), _powers_of(inverse, len(part) + 1)
         with np.errstate(over="ignore"):
             prefix = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])

@@ -62,22 +62,35 @@ def blocks_of(page: str) -> list[Block]:
     linked: a block whose words are mostly in links has the token 'a'.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple, bool, bool]] = []  # name, tokens, silent, main
+    stack: list[tuple[str, list, bool, bool]] = []  # name, tokens, silent, main
+    names, marks, flags = defaultdict(int), defaultdict(int), [0, 0]  # open elements by name, open tokens, silent and main elements
     parts: list[str] = []
     linked = tags = 0
     at, end = 0, len(page)
 
+    def cut(k):
+        """Ends the element at place k of the stack and those inside it."""
+        while len(stack) > k:
+            name, tokens, silent, main = stack.pop()
+            names[name] -= 1
+            for t in tokens:
+                marks[t] -= 1
+                if not marks[t]:
+                    del marks[t]
+            flags[0] -= silent
+            flags[1] -= main
+
     def flush():
         nonlocal linked, tags
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            tokens = {t for e in stack for t in e[1]}
+            tokens = set(marks)
             tokens.discard("a")
             if 2 * linked > n:
                 tokens.add("a")
-            out.append(Block(text, n, frozenset(tokens), tags, any(e[3] for e in stack)))
+            out.append(Block(text, n, frozenset(tokens), tags, flags[1] > 0))
             tags = 0
         linked = 0
 
@@ -90,40 +103,37 @@ def blocks_of(page: str) -> list[Block]:
             if raw[0] == "<" and len(raw) > 1:
                 continue
             if stack and stack[-1][0] == "head" and not raw.isspace():
-                del stack[-1]
-            if not any(e[2] for e in stack):
+                cut(len(stack) - 1)
+            if not flags[0]:
                 text = html.unescape(raw) if "&" in raw else raw
                 parts.append(text)
-                if any(e[0] == "a" for e in stack):
+                if names["a"]:
                     linked += len(text.split())
             continue
         name = name.lower()
         tags += 1
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if names[name] else ():
                 if stack[k][0] == name:
                     if name in BLOCK or any(e[0] in BLOCK for e in stack[k:]):
                         flush()
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in FENCE and name not in BLOCK:
                     break
             continue
-        if name not in IN_HEAD:
-            for k, e in enumerate(stack):
-                if e[0] == "head":
-                    del stack[k:]
-                    break
+        if names["head"] and name not in IN_HEAD:
+            cut(next(k for k, e in enumerate(stack) if e[0] == "head"))
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCK:
             flush()
             ends = CLOSES.get(name)
-            if ends:
+            if ends and any(names[e] for e in ends):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in FENCE or stack[k][0] in ("td", "th", "li") and name not in CLOSES[stack[k][0]] and name not in ("li", "td", "th", "tr"):
                         break
@@ -144,7 +154,12 @@ def blocks_of(page: str) -> list[Block]:
             stop = RAW_END[name].search(page, at)
             at = stop.start() if stop else end
             continue
-        stack.append((name, tuple(tokens), silent, main))
+        stack.append((name, tokens, silent, main))
+        names[name] += 1
+        for t in tokens:
+            marks[t] += 1
+        flags[0] += silent
+        flags[1] += main
     flush()
     return out
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, slices, text_buffer
+from tidemark.llm.common import slices, text_buffer
 
 #: Bytes of a window and of the overlap of neighbours; embedding size; filter widths and filters of each.
 WINDOW, OVERLAP, EMBED, WIDTHS, FILTERS = 128, 4, 8, (2, 3, 5), 16
@@ -67,7 +67,7 @@ class ByteNet:
         return z / z.sum(1, keepdims=True)
 
     def predict(self, x: np.ndarray, step: int = 256) -> np.ndarray:
-        """Class probabilities of windows: a table of embedding times filter turns the convolution into additions."""
+        """Class probabilities of windows, some at a time: the columns of each place times the filters, then the maxima."""
         w = self.weights
         out = np.empty((len(x), len(self.classes)), np.float32)
         for k in range(0, len(x), step):
@@ -128,11 +128,18 @@ def training_windows(batches):
 
 
 def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang", most_rows: int = TRAIN_ROWS) -> ByteNet:
-    """Trains on about `most_rows` labelled rows at the most, chosen by a hash of their ids. No rows: no classes."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sample = bounded_sample(rows, id, most_rows).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
+    """Trains on about `most_rows` labelled rows at the most, an equal part for each language, chosen by a hash of ids.
+
+    The languages are those of all rows (few: they go to the driver); one with fewer rows than its part has them all, so
+    a rare language is learned whatever the size of the table. No rows: no classes.
+    """
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    each = most_rows / max(1, len(counts))
+    share = F.element_at(F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, min(1.0, each / n)))), F.col("label")) if counts else F.lit(1.0)
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("label", "text")
     got = sample.mapInArrow(training_windows, "label string, window binary").toArrow().sort_by([("label", "ascending"), ("window", "ascending")])
-    classes = sorted(set(got["label"].to_pylist()))
+    classes = sorted(counts)
     net = ByteNet(classes)
     if len(classes) > 1:
         x = np.frombuffer(b"".join(got["window"].to_pylist()), np.uint8).reshape(-1, WINDOW)

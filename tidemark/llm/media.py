@@ -70,7 +70,7 @@ def read_pixels(stored: DataFrame, *, media: str = "media") -> DataFrame:
             more = [pa.array(found, pa.binary()), pa.array([None if p is None else feature_of(p) for p in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*piece.columns, *more], [*names, "pixels", "feature"])
 
-    kept = [f for f in stored.schema.fields if f.name not in ("pixels", "feature")]
+    kept = [f for f in stored.schema.fields if f.name.lower() not in ("pixels", "feature")]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return stored.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, f"{columns}, pixels binary, feature string")
 

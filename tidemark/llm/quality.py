@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, slices, text_buffer
 
-#: Positives and unlabelled rows that training uses at the most.
-POSITIVES, UNLABELLED = 4_000, 8_000
+#: Positives and unlabelled rows that training uses at the most; rows that are described at once, 15 KB of counts each.
+POSITIVES, UNLABELLED, ROWS = 4_000, 8_000, 256
 
 
 def byte_classes() -> tuple[np.ndarray, int]:
@@ -62,8 +62,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
         d = positive.shape[1]
         return QualityModel(np.zeros(d, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), np.zeros(d, np.float32), np.ones(d, np.float32))
     mean = unlabelled.mean(0)
-    scale = np.maximum(unlabelled.std(0), 0.01)
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", unlabelled, unlabelled, dtype=np.float64) / len(unlabelled) - mean.astype(np.float64) ** 2, 0)), 0.01).astype(np.float32)
+    p, u = positive, unlabelled
+    scaled = lambda x: (x - mean) / scale  # noqa: E731  only the rows of a step are scaled: the tables are not copied
     rng = np.random.default_rng(seed)
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
@@ -71,7 +72,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         i, j = rng.integers(0, len(p), min(len(p), 512)), rng.integers(0, len(u), min(len(u), 1024))
-        pi, uj = p[i], u[j]
+        pi, uj = scaled(p[i]), scaled(u[j])
         sp, su = sigmoid(times(pi, w) + b), sigmoid(times(uj, w) + b)
         negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
         of = lambda x, d: np.append(np.einsum("ij,i->j", x, d), d.sum()) / len(d)
@@ -87,7 +88,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
 
 def describe(batches):
     """For mapInArrow over (kind, text): the features of each text as bytes."""
-    for piece in slices(batches, "text", 1 << 20):
+    for piece in slices(batches, "text", 1 << 20, ROWS):
         x = features(*text_buffer(piece.column(1)))
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "x"])
 
@@ -100,8 +101,11 @@ def fit(positives: DataFrame, unlabelled: DataFrame, prior: float, *, id: str =
     parts = []
     for rows, n in zip((positives, unlabelled), most, strict=True):
         sample = bounded_sample(rows, id, n).select(F.lit(1).alias("kind"), F.col(text).alias("text"))
-        got = sample.mapInArrow(describe, "kind int, x binary").toArrow()["x"].combine_chunks()
-        x = np.frombuffer(b"".join(got.to_pylist()), np.float32).reshape(-1, FEATURES)
+        got = sample.mapInArrow(describe, "kind int, x binary").toArrow()["x"]
+        x = np.empty((len(got), FEATURES), np.float32)
+        for k, row in enumerate(got):
+            x[k] = np.frombuffer(row.as_buffer(), np.float32)
+        del got
         parts.append(x[np.lexsort(x[:, -4:].T)])  # the same order whatever the partitions
     return train(*parts, prior)
 
@@ -115,7 +119,7 @@ def predict(docs: DataFrame, model: QualityModel, *, id: str = "doc_id", text: s
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for piece in slices(batches, "text", 1 << 20):
+        for piece in slices(batches, "text", 1 << 20, ROWS):
             score = sent.value.score(features(*text_buffer(piece.column(1)))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 

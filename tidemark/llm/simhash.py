@@ -17,11 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import give_back, sent_if_small, shared_path, slices, text_buffer
-from tidemark.llm.components import components, local_roots
+from tidemark.llm.common import collision_free, few_files, give_back, sent_if_small, shared_path, slices, text_buffer
+from tidemark.llm.components import components, local_roots, split_evenly
 
 #: Bits of a fingerprint, the linking radius, and the variants that a bucket lists at once.
-BITS, RADIUS, LISTED = 64, 4, 1_500_000
+BITS, RADIUS, LISTED = 64, 4, 1_000_000
 
 
 def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -112,12 +112,10 @@ def links(distinct: DataFrame, *, radius: int = RADIUS, listed: int = LISTED) ->
     depth = min(24, max(0, math.ceil(math.log2(max(1, n * variants / listed)))))
 
     def run(key, table):
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        u, v = collisions(fps, key[0].as_py(), depth, radius, listed)
+        u, v = collisions(table.column("fp").to_numpy().view(np.uint64), key[0].as_py(), depth, radius, listed)
+        nodes, roots = local_roots(u.view(np.int64), v.view(np.int64)) if len(u) else (np.zeros(0, np.int64),) * 2
+        del u, v, table
         give_back()
-        if not len(u):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        nodes, roots = local_roots(u.view(np.int64), v.view(np.int64))
         return pa.table({"u": nodes[nodes != roots], "v": roots[nodes != roots]})
 
     lead = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
@@ -138,14 +136,22 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     fingerprints(docs, id=id, text=text, size=size).write.parquet(path)
     prints = spark.read.parquet(path)
     distinct = prints.groupBy("fp").agg(F.min(id).alias("least"))
-    nodes = shared_path(spark, "nodes")
-    distinct.write.parquet(nodes)
+    nodes, n = shared_path(spark, "nodes"), prints.count()
+    few_files(distinct, n).write.parquet(nodes)
     distinct = spark.read.parquet(nodes)
-    found = components(links(distinct.select("fp"), radius=radius))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = components(links(distinct.select("fp"), radius=radius), n)
+    return prints.join(name_components(distinct, found), "fp").select(id, "fp", "component_id")
+
+
+def name_components(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id) of every fp from (fp, least) and the (node, root) of those with links.
+
+    The least ids of the roots are dealt anew before they are joined back, so that a root that a third of all fps share
+    can be split; so is the result, for a join on fp that can split an fp of many copies.
+    """
+    rooted = distinct.select("fp", "least").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(id, "fp", "component_id")
+    return split_evenly(rooted.select("fp", "root").join(split_evenly(least, "root"), "root").select("fp", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", find=near_duplicates, prints=fingerprints) -> DataFrame:
@@ -158,16 +164,16 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", find=ne
     (they are counted), so that no text is shuffled.
     """
     spark = docs.sparkSession
-    path = shared_path(spark, "components")
-    find(docs, id=id, text=text).write.parquet(path)
+    path, other = shared_path(spark, "components"), collision_free(docs, "other")
+    few_files(find(docs, id=id, text=text), docs.count()).write.parquet(path)
     found = spark.read.schema(f"`{id}` {docs.schema[id].dataType.simpleString()}, fp long, component_id {docs.schema[id].dataType.simpleString()}").parquet(path)
     named = found.where(F.col(id).isNotNull())
-    gone = named.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    kept = docs.join(sent_if_small(gone), docs[id] == F.col("_gone"), "left_anti")
-    again = named.where(F.col(id) == F.col("component_id")).groupBy(id).count().where("count > 1").select(F.col(id).alias("_again"))
+    gone = named.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(other)).distinct()
+    kept = docs.join(sent_if_small(gone), docs[id] == F.col(other), "left_anti")
+    again = named.where(F.col(id) == F.col("component_id")).groupBy(id).count().where("count > 1").select(F.col(id).alias(other))
     if again.take(1):
-        once = kept.join(again, kept[id] == again["_again"], "left_semi").dropDuplicates([id])
-        kept = kept.join(again, kept[id].eqNullSafe(again["_again"]), "left_anti").unionByName(once)
+        once = kept.join(again, kept[id] == again[other], "left_semi").dropDuplicates([id])
+        kept = kept.join(again, kept[id].eqNullSafe(again[other]), "left_anti").unionByName(once)
     if found.where(F.col(id).isNull() & F.col("component_id").isNotNull()).take(1):
         kept = _drop_unnamed(kept, found, id, text, prints)
     return kept

@@ -23,7 +23,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 UNSAFE = r" (?:\s|\Z)"
 #: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the join is a shuffle.
 MOST_SENT = 8_000_000
-MEMO = 50_000
+#: Chunks and pre-tokens that a worker remembers, and the characters of the longest that it does: longer ones hardly
+#: repeat, and whole texts without spaces are chunks too.
+MEMO, LONG = 50_000, 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -89,7 +91,7 @@ def scan_pretokens(special: list[str]):
             for kept, more in ((seen, spaced), (sent, new)):
                 if len(kept) > MEMO:
                     kept.clear()
-                kept.update(more)
+                kept.update(t for t in more if len(t) <= LONG)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["pretoken"])
 
     return scan
@@ -171,6 +173,9 @@ def score_texts(table, special: list[str]):
             rest = iter(counts[len(fresh) :])
             for plain, spaced, found in rows:
                 totals.append(found + sum(next(rest) for _ in plain) + sum(memo[c] * n for c, n in Counter(spaced).items()))
+            for c in fresh:
+                if len(c) > LONG:
+                    del memo[c]
             sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
