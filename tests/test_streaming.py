@@ -1,8 +1,15 @@
 """Folds: tables against a plain loop, streams against tables."""
 
+import math
+import random
+import statistics
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrays, audio
+from tidemark.operators import timeline, trailing
 from tidemark.streaming import folds, windows
 
 CASES = {
@@ -58,3 +65,196 @@ def test_sliding_power(spark):
     rows = spark.range(20).select(F.lit(1).alias("k"), F.timestamp_millis(F.col("id") * 50 + 10_000).alias("ts"), F.col("id").cast("double").alias("p"))
     full = windows.sliding_power(rows, ["k"], "ts", "p").where("samples = 8").orderBy("start").collect()
     assert [r.power for r in full] == [3.5 + 2 * k for k in range(7)]
+
+
+def loop(fold, rows):
+    state = fold[0]()
+    return [got for r in rows if (got := fold[1](state, r)) is not None]
+
+
+def series(n, seed, **columns):
+    rnd = random.Random(seed)
+    at, out = 0.0, []
+    for _ in range(n):
+        at += rnd.choice([1, 5, 20, 40])
+        out.append(SimpleNamespace(at_ms=at, **{k: f(rnd, at) for k, f in columns.items()}))
+    return out
+
+
+def near(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_rule_of_the_compressor():
+    """The gain is the weighted sum of all targets so far, each with what the later steps left of it."""
+    rows = series(80, 1, target_db=lambda r, _: -r.random() * 20)
+    want = []
+    for k in range(len(rows)):
+        terms, gain = [(1.0, rows[0].target_db)], rows[0].target_db
+        for a, b in zip(rows[:k], rows[1 : k + 1], strict=True):
+            keep = math.exp(-(b.at_ms - a.at_ms) / (5.0 if b.target_db < gain else 50.0))
+            terms = [(w * keep, x) for w, x in terms] + [(1 - keep, b.target_db)]
+            gain = sum(w * x for w, x in terms)
+        want.append((rows[k].at_ms, gain))
+    near(loop(folds.compressor(attack_ms=5.0, release_ms=50.0), rows), want)
+
+
+def test_rule_of_the_clock():
+    rows = series(120, 2, offset_us=lambda r, _: r.randrange(4000), error_us=lambda r, _: r.randrange(50))
+    best = []
+    for k in range(0, 120, 8):
+        least = min(x.error_us for x in rows[k : k + 8])
+        best.append(next((x.offset_us, x.error_us) for x in rows[k : k + 8] if x.error_us == least))
+    settled = [any(j >= 8 and abs(best[j][0] - best[j - 1][0]) <= 1000 for j in range(k + 1)) for k in range(15)]
+    assert loop(folds.clock_sync(), rows) == [(k + 1, *best[k], settled[k]) for k in range(15)] and any(settled)
+
+
+def test_rule_of_the_playhead():
+    rows = series(200, 3, at_us=lambda r, at: int(at * 1000) - r.choice([0, 0, 30_000]), position_ms=lambda r, _: r.random() * 1000, speed=lambda r, _: r.choice([0.0, 0.5, 1.0]), is_query=lambda r, _: r.random() < 0.5)
+    want = []
+    for k, q in enumerate(rows):
+        if not q.is_query:
+            continue
+        anchors = {}
+        for a in rows[:k]:
+            if not a.is_query:
+                anchors[a.at_us] = a
+                anchors = {t: anchors[t] for t in sorted(anchors)[-4:]}
+        due = [t for t in anchors if t <= q.at_us]
+        a = anchors[max(due)] if due else None
+        want.append((q.at_us, max(0.0, a.position_ms + (q.at_us - a.at_us) / 1000 * a.speed) if a else None))
+    near(loop(folds.playhead(most=4), rows), want)
+
+
+def test_rule_of_the_level_meter():
+    rows = series(150, 4, peak=lambda r, _: r.random() ** 4, power=lambda r, _: r.random())
+    got = loop(folds.level_meter(hold_ms=60.0, clip=0.9), rows)
+    for k, (r, (at, peak, held, rms, clipped)) in enumerate(zip(rows, got, strict=True)):
+        past = rows[: k + 1]
+        assert at == r.at_ms and clipped == any(x.peak >= 0.9 for x in past)
+        assert math.isclose(peak, max(x.peak * 10 ** (-(r.at_ms - x.at_ms) / 1000) for x in past), rel_tol=1e-9)
+        weights = [math.exp(-(r.at_ms - x.at_ms) / 300) * (1.0 if j == 0 else 1 - math.exp(-(x.at_ms - past[j - 1].at_ms) / 300)) for j, x in enumerate(past)]
+        assert math.isclose(rms**2, sum(w * x.power for w, x in zip(weights, past, strict=True)), rel_tol=1e-9)
+        assert r.peak <= held <= max(x.peak for x in past) and held >= peak - 1e-12
+        newest = max(x.at_ms for x in past if x.peak == max(y.peak for y in past))
+        assert r.at_ms - newest > 60 or held == max(x.peak for x in past)
+
+
+def test_rule_of_the_queue():
+    """What has drained since the start, less the dry time, is what left the queue."""
+    rows = series(100, 5, amount=lambda r, _: float(r.randrange(12)))
+    got = loop(folds.queue_model(capacity=30, rate_per_ms=0.5), rows)
+    fill, dry, under, least, last = 0.0, 0.0, 0, None, None
+    for r, g in zip(rows, got, strict=True):
+        for _ in range(int(r.at_ms - last) if last is not None else 0):  # a millisecond at a time
+            fill -= 0.5
+        if last is not None:
+            least = fill if least is None or fill < least else least
+            if fill < 0:
+                under, dry = under + 1, dry - 2 * fill
+        fill = min(30.0, (fill if fill > 0 else 0.0) + r.amount)
+        last = r.at_ms
+        near([g], [(r.at_ms, fill, under, dry, least)])
+    assert under and any(g[1] == 30.0 for g in got)
+
+
+def test_rule_of_the_servo_and_of_bytes_in_order():
+    rows = series(90, 6, error=lambda r, _: r.uniform(-90, 90))
+    want = []
+    for k, r in enumerate(rows):
+        trim = sum(0.1 * 0.9 ** (k - j) * min(0.05, max(-0.05, x.error / 100)) for j, x in enumerate(rows[: k + 1]))
+        want.append((r.at_ms, min(2.0, max(0.5, 1 + trim))))
+    near(loop(folds.drift_servo(), rows), want)
+    rows = series(150, 7, first=lambda r, at: int(at) - r.randrange(60), last=lambda r, at: int(at) + r.randrange(60))
+    have, want = {rows[0].first}, []
+    for r in rows:  # the bytes themselves
+        end = max(have)
+        taken = r.first in have and r.last > end or r.first < min(have) and r.last > end
+        have |= set(range(end, r.last + 1)) if taken else set()
+        want.append((r.at_ms, max(have), taken))
+    assert loop(folds.in_order(), rows) == want and len({t for _, _, t in want}) == 2
+
+
+def test_rule_of_the_governor():
+    rows = series(400, 8, load=lambda r, at: min(1.0, 0.4 + 0.5 * (int(at) // 700 % 2) + 0.1 * r.random()))
+    got = loop(folds.governor(dwell=3, window=4, skip=2, most=12), rows)
+    changes, dwell, level, since, direction = [], 3, 0, 0, 0
+    for k in range(len(rows)):
+        if k < 2:
+            continue
+        mean, since = statistics.fmean(x.load for x in rows[max(2, k - 3) : k + 1]), since + 1
+        move = -1 if mean > 0.70 else 1 if mean < 0.60 and level < 0 else 0
+        if move and since >= dwell:
+            if move < 0 and direction == 1 and since < 2 * dwell:
+                dwell = min(12, dwell * 2)
+            level, since, direction = level + move, 0, move
+            changes.append(k)
+        assert (got[k][0], got[k][2], got[k][3]) == (k + 1, level, dwell) and math.isclose(got[k][1], mean)
+    assert len(changes) > 4
+
+
+def test_rule_of_late_bursts_and_of_power():
+    rows = series(120, 9, due_us=lambda r, at: int(at * 1000) - r.randrange(30_000), slot_us=lambda r, at: int(at * 1000) if at > 60 else None, period_us=lambda *_: 20_000)
+    got = loop(folds.late_bursts(), rows)
+    moved = [(k, r) for k, r in enumerate(rows) if r.slot_us is not None]
+    for k, r in moved:
+        past = [x for j, x in moved if j <= k]
+        assert got[k][2:] == (sum(x.due_us < x.slot_us for x in past), sum(x.slot_us - x.due_us > 15_000 for x in past))
+        assert got[k][1] == ("drop" if r.slot_us - r.due_us > 15_000 else "play" if r.due_us - r.slot_us <= 10_000 else "wait")
+    rows = series(60, 10, db=lambda r, _: r.uniform(-60, 0))
+    for k, (_, db) in enumerate(loop(folds.power_average(tau_s=0.05), rows)):
+        past = rows[: k + 1]
+        weights = [math.exp(-(rows[k].at_ms - x.at_ms) / 50) * (1.0 if j == 0 else 1 - math.exp(-(x.at_ms - past[j - 1].at_ms) / 50)) for j, x in enumerate(past)]
+        assert math.isclose(db, 10 * math.log10(sum(w * 10 ** (x.db / 10) for w, x in zip(weights, past, strict=True))), rel_tol=1e-9)
+
+
+def test_rule_of_notes():
+    """Random melodies: each note's points lie within the split of the median before them, and nothing longer fits."""
+    rnd = random.Random(11)
+    points, want, k = [], [], 0
+    for _ in range(40):
+        hz, n, rest = 220 * 2 ** (rnd.randrange(12) / 12), rnd.randrange(2, 12), rnd.choice([5, 6, 9])
+        here = [k + j for j in range(n)]
+        points += [SimpleNamespace(grid_idx=j, hz=hz) for j in here]
+        k += n
+        points += [SimpleNamespace(grid_idx=k + j, hz=0.0) for j in range(rest)]
+        k += rest
+        if n >= 6:
+            want.append((here[0], here[-1], hz))
+    assert loop(folds.notes(), [*points, SimpleNamespace(grid_idx=k, hz=-1.0)]) == want and len(want) > 10
+
+
+def test_rules_of_the_bar_the_follower_and_snapshots():
+    db = [-20.0, -5.0, -30.0, -30.0, -30.0, -30.0, -2.0]
+    rows = [SimpleNamespace(at_ms=1000.0 * k, db=x) for k, x in enumerate(db)]
+    got = loop(folds.ballistic(fall_db=10.0, hold_s=2.0, peak_fall_db=4.0), rows)
+    assert [g[1] for g in got] == [-20.0, -5.0, -15.0, -25.0, -30.0, -30.0, -2.0] and [g[2] for g in got] == [-20.0, -5.0, -5.0, -5.0, -9.0, -13.0, -2.0]
+    row = lambda at, kind, item=0, position=0.0: SimpleNamespace(at_us=at, kind=kind, item=item, position_ms=position, speed=1.0)
+    rows = [row(0, "anchor", 1, 5.0), row(1, "query"), row(2, "document", 1), row(3, "anchor", 2, 7.0), row(4, "query"), row(1000, "anchor", 1, 50.0), row(3000, "query"), row(3001, "clear"), row(3002, "query"), row(3003, "anchor", 1, 9.0), row(4003, "query"), row(5000, "reset"), row(5001, "query")]
+    assert loop(folds.follower(), rows) == [(1, None, None), (4, 1, None), (3000, 1, 52.0), (3002, 1, None), (4003, 1, 10.0), (5001, None, None)]
+    rows = [SimpleNamespace(frame=f, level=float(f), heard=h) for f, h in ((5, 0), (12, 0), (25, 9), (31, 10), (32, 29), (45, 45))]
+    assert loop(folds.snapshots(every=10), rows) == [(5, None, None), (12, None, None), (25, None, None), (31, 10, 12.0), (32, 20, 25.0), (45, 40, 45.0)]
+
+
+def test_the_own_commit_is_left_out(spark):
+    rows = [(0, "a", "m", 50.0), (1, "b", "m", 30.0), (2, "b", "m", 10.0), (3, "a", "m", 20.0), (4, None, "m", 1.0), (5, None, "m", 2.0), (6, "b", "m", 7.0)]
+    frame = spark.createDataFrame(rows, "seq int, commit string, leg string, v double")
+    got = {r.seq: r.baseline for r in trailing.trailing_mean(frame, ["leg"], ["seq"], "v", n=2, commit="commit").collect()}
+    assert got == {0: None, 1: 50.0, 2: 50.0, 3: 20.0, 4: 15.0, 5: 10.5, 6: 1.5}
+    both = trailing.like_for_like(frame.withColumn("cpu", F.lit("x")), ["leg"], "cpu", ["seq"], "v", n=2, commit="commit")
+    assert {r.seq: r.baseline for r in both.collect()} == got
+
+
+def test_keyframes_pitch_and_json_numbers(spark):
+    with pytest.raises(Exception, match="two keyframes at"):
+        timeline.keyframes(spark.createDataFrame([(1, 5), (1, 5)], "k int, at int"), ["k"], "at").collect()
+    tone = [math.sin(2 * math.pi * 440 * k / 16_000) for k in range(1184)]
+    frame = spark.createDataFrame([(0, tone), (1, [0.0] * 1184), (2, None), (3, tone[:10])], "id int, x array<double>")
+    framed = frame.select("id", F.inline_outer(arrays.frames_of(F.col("x"), 1024, 160)))
+    got = framed.withColumn("p", arrays.pitch(16_000.0)(F.col("samples"))).select("id", "frame", "p.*").collect()
+    assert [(r.id, r.frame) for r in got if r.id == 0] == [(0, 0), (0, 1)] and all(abs(r.hz - 440) < 0.5 and r.clarity > 0.95 for r in got if r.id == 0)
+    assert [r.hz for r in got if r.id == 1] == [0.0, 0.0] and [(r.frame, r.hz) for r in got if r.id > 1] == [(None, None)] * 2
+    texts = spark.createDataFrame([('{"v": 3}',), ('{"v": 2.5}',), ('{"v": true}',), ('{"v": "7"}',), ("{}",), ("broken",), (None,)], "j string")
+    assert [r.n for r in texts.select(audio.json_number(F.col("j"), "v").alias("n")).collect()] == [3.0, 2.5, None, None, None, None, None]

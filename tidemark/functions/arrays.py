@@ -135,3 +135,52 @@ def crc16(data: pd.Series) -> pd.Series:
         at = order[:live]
         crc[at] = (crc[at] << 8 & 0xFF00) ^ table[(crc[at] >> 8) ^ byte]
     return pd.Series(crc).where(data.notna().to_numpy())
+
+
+def frames_of(samples: Column, size: int, hop: int) -> Column:
+    """(frame, samples) of the overlapping frames that an array of samples has whole, as an array for explode."""
+    last = F.floor((F.size(samples) - size) / hop).cast("int")
+    each = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("frame"), F.slice(samples, k * hop + 1, size).alias("samples")))
+    return F.when(F.size(samples) >= size, each)
+
+
+def pitch(rate: float, *, lowest: float = 70.0, highest: float = 1100.0, clearest: float = 0.6, floor_db: float = -55.0, ratio: float = 0.9):
+    """A column function over frames: {hz, clarity, level_db} by the normalised square difference; hz is 0 where the
+    frame is too quiet, no maximum is clear enough, or the pitch is out of range.
+
+    Of the maxima between rises and falls through zero the first within `ratio` of the highest counts; a parabola
+    through its neighbours places it between samples.
+    """
+
+    def one(x):
+        if x is None:
+            return None
+        x = np.asarray(x, float)
+        n = len(x)
+        level = 10 * np.log10(max(1e-20, float(np.mean(x * x)) if n else 0.0))
+        most = min(n - 2, int(rate / lowest) + 1)
+        if n < 4 or most < 2 or level < floor_db:
+            return 0.0, 0.0, level
+        spectrum = np.fft.rfft(x, 2 * n)
+        same = np.fft.irfft(spectrum * np.conj(spectrum), 2 * n)[: most + 2]
+        square = np.concatenate([[0.0], np.cumsum(x * x)])
+        lags = np.arange(most + 2)
+        power = square[n - lags] + square[n] - square[lags]
+        d = np.where(power > 1e-12, 2 * same / np.maximum(power, 1e-12), 0.0)
+        below = np.flatnonzero(d < 0)
+        if not len(below):
+            return 0.0, 0.0, level
+        inner = np.arange(max(1, below[0]), most + 1)
+        tops = inner[(d[inner] > 0) & (d[inner] >= d[inner - 1]) & (d[inner] > d[inner + 1])]
+        if not len(tops):
+            return 0.0, 0.0, level
+        lobe = np.cumsum((d[:-1] < 0) & (d[1:] >= 0))[tops - 1]  # the stretch above zero that a maximum is in
+        best = [tops[lobe == k][np.argmax(d[tops[lobe == k]])] for k in np.unique(lobe)]
+        k = next(k for k in best if d[k] >= ratio * max(d[b] for b in best))
+        a, b, c = d[k - 1], d[k], d[k + 1]
+        bend = a - 2 * b + c
+        shift = 0.5 * (a - c) / bend if bend else 0.0
+        clarity, hz = min(1.0, b - 0.25 * (a - c) * shift), rate / (k + shift)
+        return (hz if clarity >= clearest and lowest <= hz <= highest else 0.0), clarity, level
+
+    return F.pandas_udf(lambda s: pd.DataFrame([one(x) or (None, None, None) for x in s], columns=["hz", "clarity", "level_db"], dtype=float), "hz double, clarity double, level_db double")

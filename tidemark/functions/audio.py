@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,3 +141,44 @@ def parse_lrc_time(text: Column) -> Column:
     fraction = F.rpad(F.regexp_extract(text, pattern, 3), 3, "0").cast("int")
     whole = F.regexp_extract(text, pattern, 1).cast("long") * 60_000 + F.regexp_extract(text, pattern, 2).cast("long") * 1000
     return F.when(text.rlike(pattern), whole + fraction)
+
+
+def rotate(point: tuple[Column, Column, Column], yaw: float, pitch: float, roll: float) -> tuple[Column, Column, Column]:
+    """A point of the room (x and y from 0 to 1, z about 0) turned by degrees about the middle, first by yaw (front to
+    right), then by pitch (front up), then by roll (right up); kept inside the room. No angles leave it untouched."""
+    if not (yaw or pitch or roll):
+        return point
+    (cy, sy), (cp, sp), (cr, sr) = ((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (yaw, pitch, roll))
+    turn = np.array([[cr, 0, -sr], [0, 1, 0], [sr, 0, cr]]) @ np.array([[1, 0, 0], [0, cp, sp], [0, -sp, cp]]) @ np.array([[cy, -sy, 0], [sy, cy, 0], [0, 0, 1]])
+    flat = (2 * point[0] - 1, 2 * point[1] - 1, point[2])
+    x, y, z = (sum((c * float(w) for w, c in zip(row, flat, strict=True)), F.lit(0.0)) for row in turn)
+    within = lambda v, low: F.least(F.lit(1.0), F.greatest(F.lit(low), v))
+    return within((x + 1) / 2, 0.0), within((y + 1) / 2, 0.0), within(z, -1.0)
+
+
+def thousands(x: Column) -> Column:
+    """One decimal, commas between thousands."""
+    return F.format_number(x.cast("double"), 1)
+
+
+def merge_subject(subject: Column) -> tuple[Column, Column]:
+    """The number and branch of a merge commit's subject; null and an empty text for other subjects."""
+    pattern = r"^Merge pull request #(\d+) from (\S+)"
+    number = F.regexp_extract(subject, pattern, 1)
+    return F.when(number != "", number.cast("long")), F.coalesce(F.regexp_extract(subject, pattern, 2), F.lit(""))
+
+
+def base64url(data: Column) -> Column:
+    """Base64 in the alphabet for addresses, without padding."""
+    return F.rtrim(F.translate(F.base64(data), "+/=", "-_ "))
+
+
+def sample_time(unit: Column, per_unit: int, rate: int) -> Column:
+    """Seconds at which an access unit starts."""
+    return unit * per_unit / float(rate)
+
+
+def json_number(text: Column, field: str) -> Column:
+    """A field of a JSON text if it is a number there: not true or false, not a number in quotes."""
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))

@@ -101,14 +101,16 @@ def missing(required: DataFrame, seen: DataFrame, allowed: DataFrame, key: str)
     return required.select(key).subtract(seen.select(key)).subtract(allowed.select(key))
 
 
-def concat_streams(*streams: DataFrame) -> DataFrame:
-    """Streams one after the other with their `part` number; different schemas are refused."""
+def concat_streams(*streams: DataFrame, order: str | None = None) -> DataFrame:
+    """Streams one after the other with their `part` number and, with `order`, that column as the `position` in the
+    part, so that (part, position) is the order of the whole; different schemas are refused."""
     first = streams[0].schema
     if any(s.schema != first for s in streams[1:]):
         raise ValueError("the streams differ in structure")
-    out = streams[0].withColumn("part", F.lit(0))
-    for k, s in enumerate(streams[1:], 1):
-        out = out.unionByName(s.withColumn("part", F.lit(k)))
+    out = None
+    for k, s in enumerate(streams):
+        s = s.withColumn("part", F.lit(k)) if order is None else s.withColumns({"part": F.lit(k), "position": F.col(order)})
+        out = s if out is None else out.unionByName(s)
     return out
 
 

@@ -186,6 +186,19 @@ def score_tally(grid: DataFrame, notes: DataFrame, keys: list[str], *, at: str,
     return placed.groupBy(*keys, "note").agg(F.count_if(counted).alias("counted"), F.count_if(heard).alias("sung"), F.count_if(F.abs("_d") <= tolerance).alias("hit"), F.avg("_d").alias("mean_cents"))
 
 
+def tightest(df: DataFrame, keys: list[str], *, headroom: str, worst: str, threshold: str, seq: list[str]) -> DataFrame:
+    """The whole record with the least headroom of each key, of equal ones the first: the recorded headroom, or where
+    there is none the worst value less its threshold. Records without a worst value or a threshold are left out."""
+    df = df.where(F.col(worst).isNotNull() & F.col(threshold).isNotNull())
+    room = F.coalesce(F.col(headroom), F.col(worst) - F.col(threshold))
+    return record_of_least(df.withColumn("room", room), keys, "room", seq)
+
+
+def distinct_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """How many different values of each column a key has; nulls are none."""
+    return df.groupBy(*keys).agg(*(F.count_distinct(c).alias(c) for c in columns))
+
+
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*(F.desc(o) for o in order))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

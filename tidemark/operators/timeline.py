@@ -23,6 +23,30 @@ def lerp(a: Column, b: Column, f: Column) -> Column:
     return a + (b - a) * f
 
 
+def keyframes(frames: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The frames of each key in the order of time, numbered (`place`); two at one time are an error when they are read."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    message = F.concat_ws(" ", F.lit("two keyframes at"), F.col(at).cast("string"))
+    place = F.when(F.lag(at).over(w) == F.col(at), F.raise_error(message).cast("int")).otherwise(F.row_number().over(w) - 1)
+    return frames.withColumn("place", place)
+
+
+def heard_positions(frames: DataFrame, blocks: DataFrame, anchors: DataFrame, keys: list[str], *, delay: int = 0, offset: int = 0, hop: int = 10) -> DataFrame:
+    """Where each analysis frame (center: a sample number) is in the item that was playing, in grid places.
+
+    A frame's block (first, time: the sample it begins with and when it was captured; both known as-of the frame's
+    centre) gives its capture time, with `rate` samples a second; less the input's `delay` it finds the latest anchor
+    (time, position, speed); a frame before any anchor, or while nothing moves (speed 0), has no place.
+    """
+    placed = as_of(frames, blocks.withColumnRenamed("first", "center"), keys, "center", ["time", "rate"])
+    ms = F.col("anchor_time") + (F.col("center") - F.col("anchor_center")) * 1000 / F.col("anchor_rate") - delay
+    placed = placed.withColumn("time", F.floor(ms).cast("long")).select(*frames.columns, "time")
+    known = as_of(placed, anchors, keys, "time", ["position", "speed"])
+    moving = F.col("anchor_speed") != 0
+    at = F.col("anchor_position") + (F.col("time") - F.col("anchor_time")) * F.col("anchor_speed") + offset
+    return known.select(*frames.columns, "time", F.when(moving, F.floor((at + hop // 2) / hop).cast("long")).alias("place"))
+
+
 def at_times(queries: DataFrame, frames: DataFrame, keys: list[str], at: str, value: str, *, hold: list[str] = ()) -> DataFrame:
     """Keyframes at query times: before the first and after the last its value, between two their interpolation.
 

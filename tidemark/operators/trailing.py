@@ -9,29 +9,59 @@ from pyspark.sql import functions as F
 BASELINE, SOFT, HARD, RECENT = 10, 0.20, 1.00, 80
 
 
-def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str, *, n: int = BASELINE, out: str = "baseline", count: str | None = None) -> DataFrame:
-    """Mean of the last `n` earlier records of the same series; null for the first. A null key matches no series."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+def of_others(df: DataFrame, keys: list[str], order: list[str], values: list[str], commit: str, n: int) -> Column:
+    """The last `n` earlier records of the series that are of another commit than the row's, oldest first, as structs.
+
+    A run is judged against what came before its commit, not against copies of its own numbers. A null commit is no
+    commit: such records are never left out. The frame is as much longer than `n` as the commit with most records in a
+    series has others, which is counted first; commits have few records in a series.
+    """
+    most = df.where(F.col(commit).isNotNull()).groupBy(*keys, commit).count().agg(F.max("count")).first()[0] or 1
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n + most - 1), -1)
+    got = F.collect_list(F.struct(F.col(commit).alias("_commit"), *values)).over(w)
+    others = F.filter(got, lambda x: ~F.coalesce(x["_commit"] == F.col(commit), F.lit(False)))
+    return F.slice(others, F.greatest(F.lit(1), F.size(others) - n + 1), n)
+
+
+def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str, *, n: int = BASELINE, out: str = "baseline", count: str | None = None, commit: str | None = None) -> DataFrame:
+    """Mean of the last `n` earlier records of the same series; null for the first. A null key matches no series.
+
+    With `commit` the records of the row's own commit are left out, see of_others.
+    """
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    df = df.withColumn(out, F.when(known, F.avg(value).over(w)))
-    return df.withColumn(count, F.when(known, F.count(value).over(w)).otherwise(0)) if count else df
-
-
-def trailing_channels(df: DataFrame, keys: list[str], order: list[str], channels: str, *, n: int = BASELINE, out: str = "baseline") -> DataFrame:
-    """Mean by channel of the last `n` earlier records, of which those with another channel count than the newest go."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
-    got = F.collect_list(channels).over(w)
+    if commit:
+        df = df.withColumn("_past", F.filter(F.transform(of_others(df, keys, order, [value], commit, n), lambda x: x[value].cast("double")), lambda v: v.isNotNull()))
+        mean, many = F.aggregate("_past", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("_past"), F.lit(0)), F.size("_past").cast("long")
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        mean, many = F.avg(value).over(w), F.count(value).over(w)
+    df = df.withColumn(out, F.when(known, mean))
+    df = df.withColumn(count, F.when(known, many).otherwise(0)) if count else df
+    return df.drop("_past") if commit else df
+
+
+def trailing_channels(df: DataFrame, keys: list[str], order: list[str], channels: str, *, n: int = BASELINE, out: str = "baseline", commit: str | None = None) -> DataFrame:
+    """Mean by channel of the last `n` earlier records, of which those with another channel count than the newest go.
+
+    With `commit` the records of the row's own commit are left out, see of_others.
+    """
+    if commit:
+        got = F.transform(of_others(df, keys, order, [channels], commit, n), lambda x: x[channels])
+    else:
+        got = F.collect_list(channels).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1))
+    df = df.withColumn("_past", got)
+    got = F.col("_past")
     same = F.filter(got, lambda x: F.size(x) == F.size(F.element_at(got, -1)))
     mean = F.transform(F.sequence(F.lit(0), F.size(F.element_at(got, -1)) - 1), lambda k: F.aggregate(same, F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size(same))
-    return df.withColumn(out, F.when(F.size(got) > 0, mean))
+    return df.withColumn(out, F.when(F.size(got) > 0, mean)).drop("_past")
 
 
-def like_for_like(df: DataFrame, keys: list[str], machine: str, order: list[str], value: str, *, n: int = BASELINE) -> DataFrame:
+def like_for_like(df: DataFrame, keys: list[str], machine: str, order: list[str], value: str, *, n: int = BASELINE, commit: str | None = None) -> DataFrame:
     """The baseline of the same machine where it has a record (and is named), else that of all; `basis` says which."""
-    df = trailing_mean(df, [*keys, machine], order, value, n=n, out="_same")
-    df = trailing_mean(df, keys, order, value, n=n, out="_all")
+    df = trailing_mean(df, [*keys, machine], order, value, n=n, out="_same", commit=commit)
+    df = trailing_mean(df, keys, order, value, n=n, out="_all", commit=commit)
     same = F.col("_same").isNotNull() & ~F.coalesce(F.col(machine).cast("string"), F.lit("")).isin("", "unknown")
     basis = F.when(same, "same machine").when(F.col("_all").isNotNull(), "all machines").otherwise("none")
     return df.withColumn("baseline", F.when(same, F.col("_same")).otherwise(F.col("_all"))).withColumn("basis", basis).drop("_same", "_all")

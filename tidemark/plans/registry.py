@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import census, series, stateful, statistics  # noqa: F401  the others add to the same tables
+from tidemark.plans import census, measurements, series, stateful, statistics  # noqa: F401  the others add to the same tables
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

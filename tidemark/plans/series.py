@@ -321,10 +321,10 @@ def u4(spark, d):
 
 
 @query("u5_ordered_concat", """
-SELECT c_custkey AS id, c_name AS name, 0 AS part FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier""")
+SELECT c_custkey AS id, c_name AS name, 0 AS part, c_custkey AS position FROM customer UNION ALL SELECT s_suppkey, s_name, 1, s_suppkey FROM supplier""")
 def u5(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return compare.concat_streams(c, t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    return compare.concat_streams(c, t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), order="id")
 
 
 @query("u6_transitive_users", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.series import query, t
@@ -31,7 +32,11 @@ def t4(spark, d):
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.clock_sync(), "key long, bursts long, offset_us long, error_us long, settled boolean")
 
 
-@query("t7_late_bursts")
+@query("t7_late_bursts", """
+WITH x AS (SELECT user_id AS key, event_id, epoch_us(ts) // 1000 AS ms, trunc((epoch_us(ts) // 1000)::DOUBLE * 1000 - value * 100)::BIGINT AS due, (epoch_us(ts) // 1000) * 1000 AS slot FROM events),
+y AS (SELECT *, due < slot AS l, due < slot - 15999 AS d FROM x)
+SELECT key, due AS due_us, CASE WHEN d THEN 'drop' WHEN due <= slot + 10666 THEN 'play' ELSE 'wait' END AS action, count(*) FILTER (WHERE l) OVER w AS late, count(*) FILTER (WHERE d) OVER w AS dropped
+FROM y WINDOW w AS (PARTITION BY key ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)""")
 def t7(spark, d):
     e = events(spark, d).select("key", "event_id", "at_ms", (F.col("at_ms") * 1000 - F.col("value") * 100).cast("long").alias("due_us"), (F.col("at_ms") * 1000).cast("long").alias("slot_us"), F.lit(21_333).alias("period_us"))
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.late_bursts(), "key long, due_us long, action string, late long, dropped long")
@@ -85,7 +90,9 @@ def t30(spark, d):
 
 @query("w14_notes")
 def w14(spark, d):
-    e = t(spark, d, "events").select((F.col("event_id") % 8).alias("key"), F.floor(F.col("event_id") / 8).alias("grid_idx"), F.when(F.col("event_type") == "error", 0.0).otherwise(440 + F.col("value") / 10).alias("hz"))
+    """A voice a user: each of their events is a point of the grid; a row at the end closes the last note."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("key"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("grid_idx"), F.when(F.col("event_type") == "error", 0.0).otherwise(440 + F.col("value") / 10).alias("hz"))
+    e = e.unionByName(e.groupBy("key").agg((F.max("grid_idx") + 1).alias("grid_idx"), F.lit(-1.0).alias("hz")))
     return folds.over_table(e, "key", ["grid_idx"], folds.notes(), "key long, start_idx long, end_idx long, hz double")
 
 

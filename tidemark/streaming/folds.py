@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import typing
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -317,3 +318,83 @@ def hold_first() -> Fold:
         return None if out is None else (out, float(r.at_ms))
 
     return start, step
+
+
+def power_average(*, tau_s: float, silent_db: float = -120.0) -> Fold:
+    """Rows (at_ms, db): the level whose power follows the input's with a time constant; the first row sets it."""
+
+    def start():
+        return {"at": None, "power": 0.0}
+
+    def step(s, r):
+        p = 0.0 if r.db <= silent_db else 10 ** (r.db / 10)
+        s["power"] += (p - s["power"]) * (1.0 if s["at"] is None else -math.expm1(-(r.at_ms - s["at"]) / 1000 / tau_s))
+        s["at"] = float(r.at_ms)
+        return float(r.at_ms), 10 * math.log10(s["power"]) if s["power"] > 0 else silent_db
+
+    return start, step
+
+
+def ballistic(*, fall_db: float, hold_s: float, peak_fall_db: float, silent_db: float = -120.0) -> Fold:
+    """Rows (at_ms, db): a bar that rises at once and falls slowly, and a peak that is held before it falls."""
+
+    def start():
+        return {"at": None, "level": silent_db, "peak": silent_db, "quiet": 0.0}
+
+    def step(s, r):
+        dt = 0.0 if s["at"] is None else (r.at_ms - s["at"]) / 1000
+        level = max(float(r.db), s["level"] - fall_db * dt)
+        sunk = s["peak"] - (peak_fall_db * dt if s["quiet"] >= hold_s else 0.0)
+        quiet = 0.0 if level >= s["peak"] else s["quiet"] + dt
+        s.update({"at": float(r.at_ms), "level": level, "peak": max(level, sunk), "quiet": quiet})
+        return float(r.at_ms), level, s["peak"]
+
+    return start, step
+
+
+def follower(*, most: int = 16) -> Fold:
+    """Rows (at_us, kind, item, position_ms, speed): a document (kind 'document') makes its item the one that is followed
+    and forgets the anchors; an 'anchor' of another item is ignored; 'clear' forgets the anchors, 'reset' the item too;
+    a 'query' gives the item and the place in it, or nulls."""
+    _, place = playhead(most=most)
+
+    def start():
+        return {"item": None, "anchors": []}
+
+    def step(s, r):
+        if r.kind in ("document", "clear", "reset"):
+            s["anchors"] = []
+            if r.kind != "clear":
+                s["item"] = int(r.item) if r.kind == "document" else None
+            return None
+        if r.kind == "anchor":
+            return None if s["item"] is None or r.item != s["item"] else place(s, _Anchor(r.at_us, r.position_ms, r.speed, False))
+        at, position = place(s, _Anchor(r.at_us, 0.0, 0.0, True))
+        return at, s["item"], position
+
+    return start, step
+
+
+class _Anchor(typing.NamedTuple):
+    at_us: int
+    position_ms: float
+    speed: float
+    is_query: bool
+
+
+def snapshots(*, every: int) -> Fold:
+    """Rows (frame, level, heard): a snapshot of the latest level at each multiple of `every` frames is held until the
+    heard position has reached it; each row gives the newest that was released, or nulls."""
+
+    def start():
+        return {"next": every, "held": [], "out": [None, None]}
+
+    def step(s, r):
+        while r.frame >= s["next"]:
+            s["held"].append([s["next"], float(r.level)])
+            s["next"] += every
+        while s["held"] and s["held"][0][0] <= r.heard:
+            s["out"] = s["held"].pop(0)
+        return int(r.frame), s["out"][0], s["out"][1]
+
+    return start, step
