@@ -255,3 +255,31 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared_dir(session)
+
+
+def test_chunks_of_odd_spaces_give_the_pretokens_of_whole_texts():
+    """Cut at spaces or not, with white space of all kinds, the tokens are the library's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path()
+    special, library = token_counts.special_strings(path), Tokenizer.from_file(path)
+    chunker, rnd = token_counts.Chunker(special), random.Random(1)
+    bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u1680", "\u2028", "a", "b'll", "don't", "é", "12", "!?", "“", "x" * 70, "日本", "<|endoftext|>", "\r\n", " \n "]
+    for _ in range(300):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(6)]
+        data, starts, ends, _, bounds, odd = chunker.cut(pa.array(texts))
+        found, owner = chunker.parts(token_counts.strings(data, starts, ends))
+        for k, t in enumerate(texts):
+            pretokens, n = chunker.whole(t) if k in odd.tolist() else ([x for x, o in zip(found, owner.tolist(), strict=True) if bounds[k] <= o < bounds[k + 1]], 0)
+            assert sum(len(library.encode(x, add_special_tokens=False)) for x in pretokens) + n == len(library.encode(t, add_special_tokens=False)), repr(t)
+
+
+def test_known_hashes_are_bounded_and_found():
+    known, rng = token_counts.Known(2000), np.random.default_rng(0)
+    for _ in range(50):
+        h = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+        h = h[known.find(h) < 0]
+        known.add(h, np.arange(len(h)))
+        assert (known.find(h) == np.arange(len(h))).all() and sum(len(k) for k, _ in known.runs) <= 2500
+    assert (known.find(np.array([1, 2], np.uint64)) == -1).all()

@@ -15,17 +15,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path, slices
+from tidemark.llm.common import shared_path, slices, text_buffer, word_hashes
 
 #: The byte-level pre-tokenizer's pattern (fixed values); White_Space is spelled out as the libraries' \s differ.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
-#: A space that may not begin a chunk: white space follows (in a wide sense, which only costs time), or nothing.
-UNSAFE = r" (?:\s|\Z)"
+#: White space, in a wide sense, by its first byte, and that of two and three bytes.
+BLANK = np.zeros(256, bool)
+BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+WIDE_BLANKS = [np.array([int.from_bytes(chr(k).encode()) for k in x]) for x in ((0x85, 0xA0), (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 #: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the join is a shuffle.
 MOST_SENT = 8_000_000
-#: Chunks and pre-tokens that a worker remembers, and the characters of the longest that it does: longer ones hardly
-#: repeat, and whole texts without spaces are chunks too.
-MEMO, LONG = 50_000, 64
+#: Chunks (16 bytes each) and pre-tokens that a task remembers, and the bytes of the longest that it does: longer ones
+#: hardly repeat, and whole texts without spaces are chunks too.
+MEMO, SENT, LONG = 600_000, 50_000, 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,50 +50,123 @@ def special_strings(path: str) -> list[str]:
 
 
 class Chunker:
-    """Cuts texts at spaces that always begin a pre-token, so that the pattern runs once per distinct chunk."""
+    """Cuts texts at spaces that always begin a pre-token, so that the pattern runs once per distinct chunk.
+
+    A space begins a pre-token wherever no white space follows it: what stands before, be it white space too, is cut
+    the same way alone. Spaces before anything that some library counts as white space are left inside a chunk.
+    """
 
     def __init__(self, special: list[str]):
         self.pretokens = regex.compile(PRETOKEN).findall
-        self.unsafe = re.compile(UNSAFE).search
-        self.special, self.split = special, re.compile("|".join(map(re.escape, special))).split if special else None
-
-    def chunks(self, text: str | None) -> tuple[list[str], list[str], int]:
-        """Chunks as they are, chunks that lack their space in front, and the number of special strings in a text."""
-        if not text:
-            return [], [], 0
-        parts = self.split(text) if any(s in text for s in self.special) else [text]
-        plain: list[str] = []
-        spaced: list[str] = []
-        for part in parts:
-            if self.unsafe(part):
-                plain.append(part)
-            elif part:
-                head, *rest = part.split(" ")
-                if head:
-                    plain.append(head)
-                spaced = spaced + rest if spaced else rest
-        return plain, spaced, len(parts) - 1
+        self.special, self.split = [s.encode() for s in special], re.compile("|".join(map(re.escape, special))).split if special else None
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin: at every row with text, and at the spaces that cut."""
+        begin = np.zeros(len(data) + 1, bool)
+        space = np.flatnonzero(data == 32)
+        padded = np.concatenate([data, np.zeros(4, np.uint8)])
+        after = padded[space + 1]
+        keep = BLANK[after]
+        some = np.flatnonzero(after >= 0xC2)
+        wide = padded[space[some, None] + np.arange(1, 4)].astype(np.int64)
+        keep[some] |= np.isin(wide[:, 0] << 8 | wide[:, 1], WIDE_BLANKS[0]) | np.isin(wide[:, 0] << 16 | wide[:, 1] << 8 | wide[:, 2], WIDE_BLANKS[1])
+        begin[space[~keep]] = True
+        begin[offsets[1:] - 1] &= padded[offsets[1:] - 1] != 32  # a space that ends its row begins nothing
+        begin[offsets[:-1]] = True
+        return np.flatnonzero(begin[: len(data)])
+
+    def special_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows that hold special strings; those are cut at them first, one by one."""
+        found, raw = [], data.tobytes() if self.special else b""
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(s) <= offsets[row + 1]:
+                    found.append(row)
+                at = raw.find(s, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def cut(self, array):
+        """Of a string array: bytes, starts and ends of chunks, their hashes, row bounds in chunks, rows with specials."""
+        data, offsets = text_buffer(array)
+        starts = self.starts(data, offsets)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        return data, starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, offsets, "left"), self.special_rows(data, offsets)
+
+    def parts(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all chunks in a list, and the number of the chunk that each is of.
+
+        Chunks that begin with a space that cuts go through the pattern as one text.
+        """
+        joined = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks), bool, len(chunks))
+        together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        spaced = [chunks[k] for k in together.tolist()]
+        found = self.pretokens("".join(spaced)) if spaced else []
+        begin = np.cumsum([0, *map(len, spaced)])
+        owner = together[np.searchsorted(begin, np.cumsum([0, *map(len, found)])[:-1], "right") - 1] if found else together
+        rest = [self.pretokens(chunks[k]) for k in alone.tolist()]
+        return [*found, *(t for x in rest for t in x)], np.concatenate([owner, np.repeat(alone, [len(x) for x in rest])])
+
+    def whole(self, text: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text that holds special strings, and the number of those."""
+        parts = self.split(text) if self.split else [text]
+        return [t for p in parts for t in self.pretokens(p)], len(parts) - 1
+
+
+class Known:
+    """A bounded map from chunk hashes to numbers: a large sorted run and a small one that is merged into it."""
+
+    def __init__(self, most: int = MEMO):
+        self.most, self.runs = most, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers; -1 for hashes that are not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, values in self.runs:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = values[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        large, small = self.runs
+        small = self._merged(small, (hashes, values))
+        if len(small[0]) * 8 > self.most:
+            large, small = ((small if len(large[0]) + len(small[0]) > self.most else self._merged(large, small)), (small[0][:0], small[1][:0]))
+        self.runs = [large, small]
+
+    @staticmethod
+    def _merged(a, b):
+        keys, values = (np.concatenate([x, y]) for x, y in zip(a, b, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def scan_pretokens(special: list[str]):
     """For mapInArrow: the pre-tokens of a task's texts, most of them once."""
 
     def scan(batches):
-        chunker, seen, sent = Chunker(special), set(), set()
-        for piece in slices(batches, "text", 1 << 20):
-            plain, spaced = set(), set()
-            for x in piece.column(0).to_pylist():
-                more = chunker.chunks(x)
-                plain.update(more[0])
-                spaced.update(more[1])
-            spaced -= seen
-            new = {t for c in plain for t in chunker.pretokens(c)}
-            new.update(chunker.pretokens(" " + " ".join(spaced)) if spaced else ())
+        chunker, seen, sent = Chunker(special), Known(), set()
+        for piece in slices(batches, "text"):
+            data, starts, ends, hashes, _, odd = chunker.cut(piece.column(0))
+            distinct, first = np.unique(hashes, return_index=True)
+            fresh = (ends[first] - starts[first] > LONG) | (seen.find(distinct) < 0)
+            distinct, first = distinct[fresh], first[fresh]
+            new = set(chunker.parts(strings(data, starts[first], ends[first]))[0])
+            new.update(t for k in odd.tolist() for t in chunker.whole(piece.column(0)[k].as_py())[0])
+            short = ends[first] - starts[first] <= LONG
+            seen.add(distinct[short], np.zeros(int(short.sum()), np.int64))
             new -= sent
-            for kept, more in ((seen, spaced), (sent, new)):
-                if len(kept) > MEMO:
-                    kept.clear()
-                kept.update(t for t in more if len(t) <= LONG)
+            if len(sent) > SENT:
+                sent.clear()
+            sent.update(t for t in new if len(t) <= LONG)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["pretoken"])
 
     return scan
@@ -151,33 +226,38 @@ def score_texts(table, special: list[str]):
 
     def score(batches):
         keys, tokens = table.value
-        chunker, memo = Chunker(special), {}
-        for piece in slices(batches, "text", 1 << 20):
-            totals = []
-            rows = [chunker.chunks(x) for x in piece.column(1).to_pylist()]
-            if len(memo) > 3 * MEMO:
-                memo = {}
-            fresh = [c for c in set().union(*(r[1] for r in rows)) if c not in memo]
-            once = [c for r in rows for c in r[0]]  # texts' first words and texts with odd spaces
-            found = chunker.pretokens(" " + " ".join(fresh)) if fresh else []
-            begin = np.cumsum([0, *(len(c) + 1 for c in fresh)])  # each chunk's place in the joined text
-            owner = np.searchsorted(begin, np.cumsum([0, *map(len, found)])[:-1], "right") - 1
-            singles = [chunker.pretokens(c) for c in once]
-            owner = np.concatenate([owner, np.repeat(np.arange(len(fresh), len(fresh) + len(once)), [len(x) for x in singles])]).astype(np.int64)
-            found = [*found, *(t for x in singles for t in x)]
-            distinct = list(set(found))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in distinct), np.uint64, len(distinct))
-            of = dict(zip(distinct, tokens[np.searchsorted(keys, hashes)].tolist() if len(distinct) else (), strict=True))
-            counts = np.bincount(owner, np.fromiter((of[t] for t in found), np.float64, len(found)), len(fresh) + len(once)).astype(np.int64).tolist()
-            memo.update(zip(fresh, counts, strict=False))
-            rest = iter(counts[len(fresh) :])
-            for plain, spaced, found in rows:
-                totals.append(found + sum(next(rest) for _ in plain) + sum(memo[c] * n for c, n in Counter(spaced).items()))
-            for c in fresh:
-                if len(c) > LONG:
-                    del memo[c]
-            sizes = pc.fill_null(pc.binary_length(piece.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        chunker, known, memo = Chunker(special), Known(), {}
+
+        def tokens_of(pretokens: list[str], owner: np.ndarray, n: int) -> np.ndarray:
+            """The number of tokens of each of `n` chunks from their pre-tokens."""
+            if len(memo) > SENT:
+                memo.clear()
+            new = [t for t in set(pretokens) if t not in memo]
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in new), np.uint64, len(new))
+            of = dict(zip(new, tokens[np.searchsorted(keys, hashes)].tolist() if len(new) else (), strict=True))
+            each = np.fromiter((of[t] if t in of else memo[t] for t in pretokens), np.float64, len(pretokens))
+            memo.update((t, k) for t, k in of.items() if len(t) <= LONG)
+            return np.bincount(owner, each, n).astype(np.int64) if n else np.zeros(0, np.int64)
+
+        for piece in slices(batches, "text"):
+            column = piece.column(1)
+            data, starts, ends, hashes, bounds, odd = chunker.cut(column)
+            counts = known.find(hashes)
+            long = np.flatnonzero(ends - starts > LONG)
+            counts[long] = tokens_of(*chunker.parts(strings(data, starts[long], ends[long])), len(long))
+            missed = np.flatnonzero(counts < 0)
+            fresh, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first = missed[first]
+            values = tokens_of(*chunker.parts(strings(data, starts[first], ends[first])), len(first))
+            counts[missed] = values[inverse]
+            known.add(fresh, values)
+            totals = np.concatenate([[0], np.cumsum(counts)])
+            totals = totals[bounds[1:]] - totals[bounds[:-1]]
+            for k in odd.tolist():
+                found, n = chunker.whole(column[k].as_py())
+                totals[k] = tokens_of(found, np.zeros(len(found), np.int64), 1)[0] + n
+            sizes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals)], ["id", "n_bytes", "n_tokens"])
 
     return score
 
@@ -194,8 +274,8 @@ def _joined_by_shuffle(docs: DataFrame, counts: DataFrame, special: list[str], i
         chunker = Chunker(special)
         for piece in slices(batches, "text", 1 << 20):
             for digest, x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                plain, spaced, found = chunker.chunks(x)
-                freq = Counter(t for c in [*plain, *(" " + c for c in spaced)] for t in chunker.pretokens(c))
+                pretokens, found = chunker.whole(x)
+                freq = Counter(pretokens)
                 if found:
                     freq[None] = found
                 yield pa.RecordBatch.from_arrays([pa.array([digest] * len(freq), pa.string()), pa.array(list(freq), pa.string()), pa.array(list(freq.values()), pa.int64())], ["digest", "pretoken", "n"])
