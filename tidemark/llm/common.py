@@ -21,9 +21,9 @@ BASE = 0x9E3779B97F4A7C15
 #: Another one, for hashes that are to be independent of the first.
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _libc = ctypes.CDLL(None)
-if hasattr(_libc, "mallopt"):  # arrays of 2 MB or more go back to the system when they are freed, others soon after
-    _libc.mallopt(-3, 2 << 20)
-    _libc.mallopt(-1, 4 << 20)
+if hasattr(_libc, "mallopt"):  # arrays of 8 MB or more go back to the system when they are freed, others soon after
+    _libc.mallopt(-3, 8 << 20)
+    _libc.mallopt(-1, 8 << 20)
 _powers: dict[int, np.ndarray] = {}
 
 

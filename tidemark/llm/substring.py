@@ -291,6 +291,7 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", carr
     buckets = 1 << max(0, math.ceil(math.log2(max(1, (size[0] or 0) / 6 / BUCKET_WINDOWS))))
     index = SubstringIndex(spark, index, buckets=buckets, window=window)
     edges = sorted({int(bounds[int(len(bounds) * s)]) for s in batches}) if len(bounds) else []
+    first = [0, *(int(np.searchsorted(bounds, e)) + 1 for e in edges), len(bounds) + 1]  # the parts of each batch
     out = None
     for k in range(len(edges) + 1):
         here = rows
@@ -298,7 +299,7 @@ def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", carr
             here = here.where(F.col(key) <= edges[k])
         if k:
             here = here.where((F.col(key) > edges[k - 1]) | (F.col(key).isNull() if k == len(edges) else F.lit(False)))
-        packed = here.mapInArrow(pack(bounds, key, here.columns), "part int, rows binary").repartition(max(2, min(parts, spark.sparkContext.defaultParallelism * 64)), "part")
+        packed = here.mapInArrow(pack(bounds, key, here.columns), "part int, rows binary").repartition(max(2, min(first[k + 1] - first[k], spark.sparkContext.defaultParallelism * 64)), "part")
         done = index.add(packed, key, body, [fields[n] for n in names], new_run=keep_last or k < len(edges))
         out = done if out is None else out.unionByName(done)
     return out
