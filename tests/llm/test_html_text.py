@@ -1,8 +1,11 @@
 """Extraction from pages with known main text."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import html_text
 from tidemark.llm.html_text import LABELLED, best_region, blocks_of, built_in_model, extract, main_text
 
 LONG = "This is the story of a long sentence that goes on for many words, so that it counts as text of its own."
@@ -64,3 +67,33 @@ def test_table(spark):
     got = {r.page_id: r.text for r in extract(frame).collect()}
     assert got[1] == "" and got[None] == "" and got[2] == LONG and got[3].count("\n") == 2999
     assert extract(frame).count() == 5 and extract(frame.limit(0)).count() == 0
+
+
+def test_scan_against_all_stretches_on_the_pages_table():
+    """The linear scan finds what the best of all stretches has, on every page of the table; and the text is the article's."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    model, right, found, wanted = html_text.built_in_model(), 0, 0, 0
+    for page in pages:
+        blocks = html_text.blocks_of(page)
+        scores = [model.score(b) * b.words + model.tag * b.tags for b in blocks]
+        total = [0.0]
+        for x in scores:
+            total.append(total[-1] + x)
+        best = max([0.0, *(total[j] - total[i] for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+        a, b = html_text.best_region(scores)
+        assert abs(sum(scores[a:b]) - best) < 1e-9
+        inside = [w for x in blocks if "article" in x.tokens and not x.tokens & {"aside", "nav", "form", "footer", "ad", "comments", "comment"} for w in x.text.split()]
+        got = html_text.main_text(page).split()
+        right, found, wanted = right + sum((Counter(got) & Counter(inside)).values()), found + len(got), wanted + len(inside)
+    assert right / found > 0.97 and right / wanted > 0.97, (right / found, right / wanted)
+
+
+def test_deep_pages_take_time_in_proportion():
+    """Tags nested 20,000 deep, each with a text: no walk over all open elements for each."""
+    import time
+
+    page = "<article>" + "".join(f"<div class='c{k % 7}'><b>word" for k in range(20_000)) + "</article>"
+    began = time.perf_counter()
+    assert len(html_text.blocks_of(page)) == 20_000 and time.perf_counter() - began < 20

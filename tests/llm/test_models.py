@@ -283,3 +283,28 @@ def test_known_hashes_are_bounded_and_found():
         known.add(h, np.arange(len(h)))
         assert (known.find(h) == np.arange(len(h))).all() and sum(len(k) for k, _ in known.runs) <= 2500
     assert (known.find(np.array([1, 2], np.uint64)) == -1).all()
+
+
+def test_log_ratios_are_those_of_a_plain_kneser_ney(spark):
+    """Two classes of the same size, every text once: counts of contexts, discount and shared backoff by hand."""
+    import math
+    from collections import defaultdict
+
+    rnd = random.Random(12)
+    rows = [(" ".join(rnd.choice("abcdefgh") + rnd.choice(["", "x" if y else "y"]) for _ in range(30)), y, 0) for y in (0, 1) for _ in range(15)]
+    frame = spark.createDataFrame(rows, "text string, toxic int, held int")
+    counts = frame.mapInArrow(toxicity.count_bigrams, "h long, w long, t long, o long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    words = counts.groupBy("w").agg(*toxicity.continuations({0: 1.0, 1: 1.0}, False))
+    got = sorted(r.ratio for r in toxicity.log_ratios(words, dead=0.0).collect() if abs(r.ratio) > 1e-6)
+    before = {y: defaultdict(set) for y in (0, 1, 2)}
+    for text, y, _ in rows:
+        w = text.split()
+        for a, b in zip([None, *w[:-1]], w, strict=True):
+            before[y][b].add(a)
+            before[2][b].add(a)
+    total = {y: sum(map(len, before[y].values())) for y in (0, 1)}
+    left = {y: sum(min(0.75, len(x)) for x in before[y].values()) / total[y] for y in (0, 1)}
+    q = {w: min(10, len(x)) for w, x in before[2].items()}
+    p = lambda y, w: max(len(before[y][w]) - 0.75, 0) / total[y] + left[y] * q[w] / sum(q.values())
+    want = sorted(x for w in q if abs(x := math.log(p(1, w) / p(0, w))) > 1e-6)
+    assert len(want) > 15 and np.allclose(got, want, rtol=1e-4, atol=1e-6)
