@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_path
+
 
 def transitive_users(edges: DataFrame, src: str = "src", dst: str = "dst", *, most_rounds: int = 64) -> DataFrame:
     """(dst, src) for every src that reaches dst over edges, directly or through others; no node reaches itself.
@@ -15,15 +15,12 @@ def transitive_users(edges: DataFrame, src: str = "src", dst: str = "dst", *, mo
     written to the checkpoint folder each round. Cycles end when no pair is new.
     """
     spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
 
     def settle(df):
-        if folder:
-            path = f"{folder}/closure-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-        return df.cache()
+        path = shared_path(spark, "closure")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     pairs = settle(pairs)
     n = pairs.count()

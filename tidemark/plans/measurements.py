@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays, audio
 from tidemark.operators import census, compare, stats, timeline, trailing
 from tidemark.plans.series import query, t
-from tidemark.sources import sinks
+from tidemark.sources import histories, sinks
+from tidemark.sources.shared import shared_path
 from tidemark.streaming import folds
 
 
@@ -173,3 +174,48 @@ def t16_bar(spark, d):
 def t29(spark, d):
     e = _events(spark, d).select("key", "event_id", (F.col("event_id") * 10).alias("frame"), F.col("value").alias("level"), (F.col("event_id") * 10 - F.floor(F.col("value") * 10)).cast("long").alias("heard"))
     return folds.over_table(e, "key", ["event_id"], folds.snapshots(every=1000), "key long, frame long, snapshot long, level double")
+
+
+@query("s5_history", "SELECT event_id, event_type, value FROM events WHERE event_id % 7 <> 3")
+def s5(spark, d):
+    """The events as a history of JSON lines, every seventh line broken: what a tolerant read gives back."""
+    path = shared_path(spark, "history")
+    line = F.when(F.col("event_id") % 7 == 3, F.lit('{"event_id": 1, "event_type')).otherwise(F.to_json(F.struct("event_id", "event_type", "value")))
+    t(spark, d, "events").select(line.alias("value")).write.text(path)
+    return histories.read_history(spark, path, "event_id long, event_type string, value double").select("event_id", "event_type", "value")
+
+
+@query("s9_responses", "SELECT user_id % 3 AS leg, count(*) AS n, round(avg(value), 6) AS score FROM events GROUP BY 1")
+def s9(spark, d):
+    """The events as sheets of answers; rows without any value are no answers."""
+    path = shared_path(spark, "responses")
+    e = t(spark, d, "events").select((F.col("user_id") % 3).alias("leg"), F.col("value").alias("score"))
+    blank = e.select(F.lit(None).cast("long").alias("leg"), F.lit(None).cast("double").alias("score"))
+    e.unionByName(blank).write.option("header", True).csv(path)
+    got = histories.read_responses(spark, path)
+    return got.groupBy(F.col("leg").cast("long").alias("leg")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("score").cast("double")), 6).alias("score"))
+
+
+@query("k3_keyed_append", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'new' END AS source FROM orders")
+def k3(spark, d):
+    """A third of the orders are in the history; appending all of them adds the others only."""
+    path, kind = shared_path(spark, "append"), "o_orderkey long, source string"
+    o = t(spark, d, "orders").select("o_orderkey")
+    o.where("o_orderkey % 3 = 0").withColumn("source", F.lit("old")).write.json(path)
+    sinks.append_new(o.withColumn("source", F.lit("new")), spark.read.schema(kind).json(path), ["o_orderkey"], path)
+    return spark.read.schema(kind).json(path)
+
+
+@query("k4_recent_window", """
+WITH f AS (SELECT o_orderdate, min(o_orderkey) AS s FROM orders GROUP BY 1 ORDER BY s DESC LIMIT 80)
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate IN (SELECT o_orderdate FROM f)""")
+def k4(spark, d):
+    path = shared_path(spark, "recent")
+    o = t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    sinks.write_recent(o, "day", "o_orderkey", path)
+    return spark.read.schema("o_orderkey long, day string").json(path)
+
+
+@query("a20_true_peak")
+def a20(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.round(arrays.true_peak(F.col("embedding").cast("array<double>")), 6).alias("true_peak"))

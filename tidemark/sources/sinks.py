@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.compare import unrecorded
 from tidemark.operators.trailing import RECENT, recent_commits
 
+#: Column names of a tidy trace (fixed values: readers expect them).
 TRACE = ("frame", "substream", "block", "stream", "kind", "index", "value")
 
 
