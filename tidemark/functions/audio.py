@@ -182,3 +182,23 @@ def json_number(text: Column, field: str) -> Column:
     """A field of a JSON text if it is a number there: not true or false, not a number in quotes."""
     value = F.try_variant_get(F.try_parse_json(text), f"$.{field}", "variant")
     return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))
+
+
+def parse_enum(text: Column, values: dict[str, int]) -> Column:
+    """The number of a name, blanks and line ends around it ignored; null for other names."""
+    word = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    out = F.lit(None).cast("int")
+    for name, number in values.items():
+        out = F.when(word == name, F.lit(number)).otherwise(out)
+    return out
+
+
+def send_ahead(us: Column) -> Column:
+    """Microseconds as an unsigned 32-bit number; none (0 or less) and too many (its largest or more) say nothing: null."""
+    return F.when((us > 0) & (us < 0xFFFFFFFF), us.cast("long"))
+
+
+def draw(seed: int, case: Column, name: str, among: list) -> Column:
+    """One of the values for a case, by the seed, the case's number and the name of what is drawn: a case drawn alone is
+    the same as among others."""
+    return F.element_at(F.array(*map(F.lit, among)), (F.pmod(F.xxhash64(F.lit(seed), case, F.lit(name)), F.lit(len(among))) + 1).cast("int"))

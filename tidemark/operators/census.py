@@ -80,3 +80,14 @@ def findings_document(findings: DataFrame, *, tool: str, drop: list[str] = ()) -
     by = kept.groupBy("path").agg(F.array_sort(F.collect_list(result)).alias("results"), F.array_sort(F.collect_set(F.struct(F.col("rule").alias("id")))).alias("rules"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules").alias("rules")).alias("driver")).alias("tool"), F.col("results").alias("results"))
     return by.select("path", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
+
+
+def footprint(parts: DataFrame, section: str, origin: str, size: str) -> DataFrame:
+    """Bytes of each origin in each section and their share of the section's; no share of nothing."""
+    got = parts.groupBy(section, origin).agg(F.sum(size).alias("bytes"))
+    return got.withColumn("share", F.try_divide("bytes", F.sum("bytes").over(Window.partitionBy(section))))
+
+
+def edit_summary(units: DataFrame, keys: list[str], *, old: str, new: str, stripped: Column, size: str) -> DataFrame:
+    """Units, those whose value an edit changed, those it took out, and the bytes of these."""
+    return units.groupBy(*keys).agg(F.count(F.lit(1)).alias("units"), F.count_if(~F.col(old).eqNullSafe(F.col(new))).alias("changed"), F.count_if(stripped).alias("stripped"), F.sum(F.when(stripped, F.col(size)).otherwise(0)).cast("long").alias("bytes"))

@@ -9,7 +9,7 @@ from tidemark.operators import census, compare, stats, timeline, trailing
 from tidemark.plans.series import query, t
 from tidemark.sources import histories, sinks
 from tidemark.sources.shared import shared_path
-from tidemark.streaming import folds
+from tidemark.streaming import folds, windows
 
 
 @query("p1_trailing_mean", """
@@ -219,3 +219,61 @@ def k4(spark, d):
 @query("a20_true_peak")
 def a20(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(arrays.true_peak(F.col("embedding").cast("array<double>")), 6).alias("true_peak"))
+
+
+@query("w12_sliding_power", """
+WITH h AS (SELECT user_id, value, epoch_us(ts) // 3600000000 AS h FROM events), w AS (SELECT user_id, value, unnest([h - 3, h - 2, h - 1, h]) AS s FROM h)
+SELECT user_id, s AS start_hour, round(avg(value), 6) AS power, count(*) AS samples FROM w GROUP BY 1, 2""")
+def w12(spark, d):
+    """Windows of four hours that begin every hour."""
+    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    got = windows.sliding_power(e, ["user_id"], "ts", "value", length="4 hours", hop="1 hour")
+    return got.select("user_id", F.floor(F.unix_seconds(F.col("start")) / 3600).cast("long").alias("start_hour"), F.round("power", 6).alias("power"), "samples")
+
+
+@query("t2_loudness", """
+WITH h AS (SELECT user_id, value / 100000 AS p, epoch_us(ts) // 3600000000 AS h FROM events), u AS (SELECT user_id, p, unnest([h - 3, h - 2, h - 1, h]) AS s FROM h),
+b AS (SELECT user_id, s, avg(p) AS p FROM u GROUP BY 1, 2), l AS (SELECT * FROM b WHERE p > 0 AND -0.691 + 10 * log10(p) > -70), m AS (SELECT user_id, avg(p) AS m FROM l GROUP BY 1),
+k AS (SELECT user_id, p FROM l JOIN m USING (user_id) WHERE log10(p) > log10(m) - 1)
+SELECT user_id, round(-0.691 + 10 * log10(avg(p)), 5) AS integrated, count(*) AS blocks FROM k GROUP BY 1""")
+def t2(spark, d):
+    """Sliding blocks first, then the two gates over the blocks of each user."""
+    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100_000).alias("p"))
+    blocks = windows.sliding_power(e, ["user_id"], "ts", "p", length="4 hours", hop="1 hour")
+    return stats.gated_loudness(blocks, ["user_id"], "power").where("blocks is not null").select("user_id", F.round("integrated", 5).alias("integrated"), "blocks")
+
+
+@query("a36_footprint", """
+SELECT l_shipdate::DATE AS section, l_returnflag AS origin, sum(l_partkey)::BIGINT AS bytes, round(sum(l_partkey) / sum(sum(l_partkey)) OVER (PARTITION BY l_shipdate::DATE), 6) AS share FROM lineitem GROUP BY 1, 2""")
+def a36(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("section"), F.col("l_returnflag").alias("origin"), "l_partkey")
+    return census.footprint(x, "section", "origin", "l_partkey").withColumn("share", F.round("share", 6))
+
+
+@query("a38_edit_summary", """
+SELECT o_custkey, count(*) AS units, count(*) FILTER (WHERE o_shippriority <> o_custkey % 3) AS changed, count(*) FILTER (WHERE o_orderstatus = 'F') AS stripped, sum(CASE WHEN o_orderstatus = 'F' THEN length(o_orderpriority) ELSE 0 END)::BIGINT AS bytes
+FROM (SELECT *, o_orderkey % 3 AS o_shippriority FROM orders) GROUP BY 1""")
+def a38(spark, d):
+    gone = F.col("o_orderstatus") == "F"
+    o = t(spark, d, "orders").withColumns({"old": F.col("o_orderkey") % 3, "new": F.col("o_custkey") % 3, "size": F.char_length("o_orderpriority")})
+    return census.edit_summary(o, ["o_custkey"], old="old", new="new", stripped=gone, size="size")
+
+
+@query("k11_census_json", """SELECT event_type, '{"stream":"' || event_type || '","frames":' || count(*) || ',"bins":' || count(DISTINCT user_id) || '}' AS value FROM events GROUP BY 1""")
+def k11(spark, d):
+    got = t(spark, d, "events").groupBy(F.col("event_type").alias("stream")).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("user_id").alias("bins"))
+    return got.select(F.col("stream").alias("event_type"), sinks.json_object("stream", "frames", "bins").alias("value"))
+
+
+@query("p16_enum", """
+SELECT o_orderkey, CASE trim(o_orderpriority) WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '5-LOW' THEN 5 END AS level, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey * 1000000 < 4294967295 THEN o_orderkey * 1000000 END AS ahead FROM orders""")
+def p16(spark, d):
+    padded = F.concat(F.lit("  "), F.col("o_orderpriority"), F.lit(" "))
+    us = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") * 1_000_000).otherwise(0)
+    return t(spark, d, "orders").select("o_orderkey", audio.parse_enum(padded, {"1-URGENT": 1, "2-HIGH": 2, "5-LOW": 5}).alias("level"), audio.send_ahead(us).alias("ahead"))
+
+
+@query("o7_seeded_cases")
+def o7(spark, d):
+    """A case for each order: rate, channels and length by the master seed and the case's number alone."""
+    return t(spark, d, "orders").select("o_orderkey", *(audio.draw(7, F.col("o_orderkey"), name, among).alias(name) for name, among in (("rate", [44_100, 48_000, 96_000]), ("channels", [1, 2, 6, 8]), ("blocks", list(range(1, 7))))))

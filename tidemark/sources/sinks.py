@@ -44,3 +44,8 @@ def report_line(*cells: Column, side: Column | None = None) -> Column:
     """A row of a report table; one-sided rows are marked with their side."""
     text = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c.cast("string"), F.lit("-")) for c in cells)), F.lit(" |"))
     return text if side is None else F.when(side != "both", F.concat(text, F.lit(" "), side, F.lit(" |"))).otherwise(F.concat(text, F.lit("  |")))
+
+
+def json_object(*columns: str) -> Column:
+    """One JSON object of the columns by their names, in this order; nulls are left out."""
+    return F.to_json(F.struct(*columns))
