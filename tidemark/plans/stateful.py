@@ -26,7 +26,11 @@ def t3(spark, d):
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.compressor(attack_ms=60_000.0, release_ms=600_000.0), "key long, at_ms double, gain double")
 
 
-@query("t4_clock_sync")
+@query("t4_clock_sync", """
+WITH x AS (SELECT user_id AS key, event_id, trunc(value * 10)::BIGINT AS o, trunc(value * 100)::BIGINT AS e, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+b AS (SELECT key, (r - 1) // 8 + 1 AS bursts, arg_min(o, (e, r)) AS offset_us, min(e) AS error_us FROM x GROUP BY 1, 2 HAVING count(*) = 8),
+n AS (SELECT *, bursts > 8 AND abs(offset_us - lag(offset_us) OVER (PARTITION BY key ORDER BY bursts)) <= 1000 AS near FROM b)
+SELECT key, bursts, offset_us, error_us, bool_or(coalesce(near, false)) OVER (PARTITION BY key ORDER BY bursts ROWS UNBOUNDED PRECEDING) AS settled FROM n""")
 def t4(spark, d):
     e = events(spark, d).select("key", "event_id", "at_ms", (F.col("value") * 10).cast("long").alias("offset_us"), (F.col("value") * 100).cast("long").alias("error_us"))
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.clock_sync(), "key long, bursts long, offset_us long, error_us long, settled boolean")
@@ -54,16 +58,23 @@ def t27(spark, d):
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.governor(), "key long, seen long, mean double, level long, dwell long")
 
 
-@query("t5_playhead")
+@query("t5_playhead", """
+WITH x AS (SELECT user_id AS key, event_id, (epoch_us(ts) // 1000) * 1000 AS at_us, value, event_type <> 'signup' AS asks FROM events),
+y AS (SELECT *, last_value(CASE WHEN NOT asks THEN at_us END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN NOT asks THEN value END IGNORE NULLS) OVER w AS p FROM x WINDOW w AS (PARTITION BY key ORDER BY at_us, event_id ROWS UNBOUNDED PRECEDING))
+SELECT key, at_us, CASE WHEN a IS NOT NULL THEN greatest(0.0, p + (at_us - a) / 1000) END AS position_ms FROM y WHERE asks""")
 def t5(spark, d):
     e = events(spark, d).select("key", "event_id", "at_ms", (F.col("at_ms") * 1000).cast("long").alias("at_us"), F.col("value").alias("position_ms"), F.lit(1.0).alias("speed"), (F.col("event_type") != "signup").alias("is_query"))
     return folds.over_table(e, "key", ["at_ms", "event_id"], folds.playhead(), "key long, at_us long, position_ms double")
 
 
-@query("t11_drift_servo")
+@query("t11_drift_servo", """
+WITH x AS (SELECT user_id AS key, (epoch_us(ts) // 1000)::DOUBLE AS at_ms, least(0.05, greatest(-0.05, 0.01 * (value - 50))) AS want, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+s AS (SELECT a.key, a.at_ms, a.r, sum(0.1 * 0.9 ^ (a.r - b.r) * b.want) AS trim FROM x a JOIN x b ON a.key = b.key AND b.r <= a.r GROUP BY 1, 2, 3)
+SELECT key, at_ms, round(least(2.0, greatest(0.5, 1 + trim)), 9) AS ratio FROM s""")
 def t11(spark, d):
     e = events(spark, d).select("key", "event_id", "at_ms", (F.col("value") - 50).alias("error"))
-    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.drift_servo(), "key long, at_ms double, ratio double")
+    got = folds.over_table(e, "key", ["at_ms", "event_id"], folds.drift_servo(), "key long, at_ms double, ratio double")
+    return got.withColumn("ratio", F.round("ratio", 9))
 
 
 @query("t12_silence_watch", """
