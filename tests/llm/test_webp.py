@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import media, webp
+from tidemark.llm import webp
 from tidemark.llm.webp import CACHE_MULTIPLIER, NEAR, Bits, Sink, _channels, _head, _pack, cross_colour, predicted, write_tokens
 
 
@@ -148,3 +149,38 @@ def test_table_edge_rows(spark):
     a, b = [r for r in out if r.doc_id in (3, 4)]
     assert a.media == b.media and a.feature == b.feature
     assert media.read_pixels(media.stored_table(docs.limit(0))).count() == 0
+
+
+def test_all_near_distances():
+    """Fixed values of the published format: the pairs of the 120 near distance codes, in order."""
+    published = [
+        (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
+        (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
+        (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+        (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+        (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
+        (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+    ]
+    assert NEAR == published
+
+
+def test_predictions_and_colours_by_hand():
+    """Values worked out from the published rules, not by the code that encodes: left, top, top right and top left of
+    the channels (255, 10, 200, 30), (255, 20, 100, 31), (255, 40, 7, 90), (255, 13, 250, 33)."""
+    left, top, right, corner = (np.array(x, np.int16) for x in ((255, 10, 200, 30), (255, 20, 100, 31), (255, 40, 7, 90), (255, 13, 250, 33)))
+    want = {
+        0: (255, 0, 0, 0), 1: (255, 10, 200, 30), 2: (255, 20, 100, 31), 3: (255, 40, 7, 90), 4: (255, 13, 250, 33),
+        5: (255, 22, 101, 45), 6: (255, 11, 225, 31), 7: (255, 15, 150, 30), 8: (255, 16, 175, 32), 9: (255, 30, 53, 60),
+        10: (255, 20, 139, 45), 11: (255, 20, 100, 31), 12: (255, 17, 50, 28), 13: (255, 16, 100, 29),
+    }
+    for mode, pixel in want.items():
+        assert tuple(int(x) for x in webp.predict(mode, left, top, right, corner)) == pixel, mode
+    # green 0x90 is -112; green to red 0x20 (32): -112; green to blue 0xF0 (-16): 56; red to blue 0x40 (64) of the new red
+    pixel, factor = np.array([0xFF309005], np.uint32), np.array([0xFF40F020], np.uint32)
+    red = (0x30 - 112) & 255  # 0xC0, as a signed byte -64
+    blue = (0x05 + 56 + (64 * -64 >> 5)) & 255
+    got = cross_colour(pixel, 1, 1, 2, factor, 1)
+    assert int(got[0]) == 0xFF000000 | red << 16 | 0x90 << 8 | blue
+    image = np.array([0xFF010203, 0x00010101, 0x00050505, 0x00020304], np.uint32)  # two by two, differences; mode 2 is the top
+    out = webp.invert_predictor(image, 2, 2, 2, np.array([0xFF000200], np.uint32))
+    assert [hex(int(x)) for x in out] == ["0xfe010203", "0xfe020304", "0xfe060708", "0xfe040608"]
