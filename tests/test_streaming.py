@@ -23,6 +23,10 @@ CASES = {
     "in_order": (folds.in_order(), "key long, at_ms double, end long, taken boolean"),
     "servo": (folds.drift_servo(), "key long, at_ms double, ratio double"),
     "hold": (folds.hold_first(), "key long, at_ms double, released_ms double"),
+    "power": (folds.power_average(tau_s=0.05), "key long, at_ms double, db double"),
+    "bar": (folds.ballistic(fall_db=10.0, hold_s=0.05, peak_fall_db=4.0), "key long, at_ms double, level double, peak double"),
+    "follower": (folds.follower(most=4), "key long, at_us long, item long, position_ms double"),
+    "snapshots": (folds.snapshots(every=100), "key long, frame long, snapshot long, level double"),
     "clock": (folds.clock_sync(burst=3, settle=2), "key long, bursts long, offset_us long, error_us long, settled boolean"),
 }
 
@@ -34,6 +38,7 @@ def frame(spark):
     return spark.range(300).select(
         (F.col("id") % 3).alias("key"), "id", at.cast("double").alias("at_ms"), (r / 900).alias("peak"), (r / 2000).alias("power"), (at * 1000 - r * 30).alias("due_us"), (at * 1000).alias("slot_us"),
         F.lit(20_000).alias("period_us"), r.cast("double").alias("amount"), (r / 1000).alias("load"), (-r / 50).alias("target_db"), (at * 1000).alias("at_us"), r.cast("double").alias("position_ms"), F.lit(1.0).alias("speed"), (r % 2 == 0).alias("is_query"), (F.col("id") * 10 - r % 3 * 20).alias("first"), (F.col("id") * 10 + 30).alias("last"), (r - 500).cast("double").alias("error"), r.alias("offset_us"), (r * 3 % 500).alias("error_us"),
+        (-r / 20).alias("db"), F.element_at(F.array(*map(F.lit, ("document", "anchor", "anchor", "query", "query", "clear", "reset"))), (r % 7 + 1).cast("int")).alias("kind"), (r % 2).alias("item"), (F.col("id") * 10).alias("frame"), r.cast("double").alias("level"), (F.col("id") * 10 - r).alias("heard"),
     )
 
 
