@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 from collections import Counter
 
@@ -39,6 +40,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @functools.cache
 def tokenizer(path: str):
     """One per worker: a vocabulary read anew by every task would pile up in the worker's memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -94,11 +96,16 @@ class Chunker:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         return data, starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, offsets, "left"), self.special_rows(data, offsets)
 
-    def parts(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
-        """The pre-tokens of all chunks in a list, and the number of the chunk that each is of.
+    def pieces(self, chunks: list[str]) -> set[str]:
+        """The different pre-tokens of chunks; those that begin with a space that cuts go through the pattern as one text."""
+        spaced = [c for c in chunks if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        out = set(self.pretokens("".join(spaced))) if spaced else set()
+        if len(spaced) < len(chunks):
+            out.update(t for c in chunks if not (len(c) > 1 and c[0] == " " and not c[1].isspace()) for t in self.pretokens(c))
+        return out
 
-        Chunks that begin with a space that cuts go through the pattern as one text.
-        """
+    def parts(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pre-tokens of all chunks in a list, and the number of the chunk that each is of."""
         joined = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks), bool, len(chunks))
         together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
         spaced = [chunks[k] for k in together.tolist()]
@@ -159,7 +166,7 @@ def scan_pretokens(special: list[str]):
             distinct, first = np.unique(hashes, return_index=True)
             fresh = (ends[first] - starts[first] > LONG) | (seen.find(distinct) < 0)
             distinct, first = distinct[fresh], first[fresh]
-            new = set(chunker.parts(strings(data, starts[first], ends[first]))[0])
+            new = chunker.pieces(strings(data, starts[first], ends[first]))
             new.update(t for k in odd.tolist() for t in chunker.whole(piece.column(0)[k].as_py())[0])
             short = ends[first] - starts[first] <= LONG
             seen.add(distinct[short], np.zeros(int(short.sum()), np.int64))
@@ -176,12 +183,13 @@ def count_pieces(path: str):
     """For mapInArrow: the tokens of each pre-token, as the library gives them, without keeping ids."""
 
     def count(batches):
-        encode = tokenizer(path).encode_batch
+        encode = tokenizer(path).encode
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.column(0).slice(k, 2000)
                 texts = part.to_pylist()
-                sizes = [len(e) for e in encode(texts, add_special_tokens=False)]
+                words = encode(texts, is_pretokenized=True, add_special_tokens=False).word_ids  # of each token the pre-token
+                sizes = np.bincount(np.array(words, np.int64), minlength=len(texts))
                 keys = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
                 yield pa.RecordBatch.from_arrays([part, pa.array(keys.view(np.int64)), pa.array(sizes, pa.int32())], ["pretoken", "key", "tokens"])
 
