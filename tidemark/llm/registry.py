@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries, in order.
-MODULES = ["q01_html", "q02_decontaminate", "q03_media", "q04_language", "q05_simhash", "q06_packing", "q07_tokens", "q08_quality", "q09_substring", "q10_toxicity", "q12_spelling", "q13_audit"]
+MODULES = ["q01_html", "q02_decontaminate", "q03_media", "q04_language", "q05_simhash", "q06_packing", "q07_tokens", "q08_quality", "q09_substring", "q10_toxicity", "q11_rules", "q12_spelling", "q13_audit"]
 
 
 def _modules():
