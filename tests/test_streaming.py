@@ -9,15 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, audio
-from tidemark.operators import timeline, trailing
+from tidemark.operators import dynamics, ordered, timeline, trailing
 from tidemark.streaming import folds, windows
 
 CASES = {
     "meter": (folds.level_meter(), f"key long, at_ms {folds.METER}"),
     "late": (folds.late_bursts(), "key long, due_us long, action string, late long, dropped long"),
     "queue": (folds.queue_model(capacity=900, rate_per_ms=0.5), "key long, at_ms double, queued double, underruns long, dry_ms double, least double"),
-    "governor": (folds.governor(dwell=2), "key long, seen long, mean double, level long, dwell long"),
-    "compressor": (folds.compressor(attack_ms=5.0, release_ms=50.0), "key long, at_ms double, gain double"),
+    "governor": (folds.governor(dwell_us=100_000, window=4, grace_us=50_000, flap_us=400_000), f"key long, {folds.GOVERNOR}"),
+    "range": (folds.range_control(dynamics.PROFILES["speech"], 256 / 48), "key long, at_ms double, gain double"),
+    "heavy": (folds.heavy_control(0.64), "key long, at_ms double, gain double"),
     "playhead": (folds.playhead(most=4), "key long, at_us long, position_ms double"),
     "silence": (folds.silence_watch(timeout_ms=31.0), "key long, at_ms double, quiet_ms double, timed_out boolean"),
     "in_order": (folds.in_order(), "key long, at_ms double, end long, taken boolean"),
@@ -37,7 +38,7 @@ def frame(spark):
     r = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000))
     return spark.range(300).select(
         (F.col("id") % 3).alias("key"), "id", at.cast("double").alias("at_ms"), (r / 900).alias("peak"), (r / 2000).alias("power"), (at * 1000 - r * 30).alias("due_us"), (at * 1000).alias("slot_us"),
-        F.lit(20_000).alias("period_us"), r.cast("double").alias("amount"), (r / 1000).alias("load"), (-r / 50).alias("target_db"), (at * 1000).alias("at_us"), r.cast("double").alias("position_ms"), F.lit(1.0).alias("speed"), (r % 2 == 0).alias("is_query"), (F.col("id") * 10 - r % 3 * 20).alias("first"), (F.col("id") * 10 + 30).alias("last"), (r - 500).cast("double").alias("error"), r.alias("offset_us"), (r * 3 % 500).alias("error_us"),
+        F.lit(20_000).alias("period_us"), (r / 5000).alias("seconds"), (r * 60).alias("cost_us"), (r * 17).alias("late_us"), F.lit(0).alias("missed"), r.cast("double").alias("amount"), (r / 1000).alias("load"), (-r / 50).alias("target_db"), (at * 1000).alias("at_us"), r.cast("double").alias("position_ms"), F.lit(1.0).alias("speed"), (r % 2 == 0).alias("is_query"), (F.col("id") * 10 - r % 3 * 20).alias("first"), (F.col("id") * 10 + 30).alias("last"), (r - 500).cast("double").alias("error"), r.alias("offset_us"), (r * 3 % 500).alias("error_us"),
         (-r / 20).alias("db"), F.element_at(F.array(*map(F.lit, ("document", "anchor", "anchor", "query", "query", "clear", "reset"))), (r % 7 + 1).cast("int")).alias("kind"), (r % 2).alias("item"), (F.col("id") * 10).alias("frame"), r.cast("double").alias("level"), (F.col("id") * 10 - r).alias("heard"),
     )
 
@@ -92,18 +93,56 @@ def near(got, want):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-def test_rule_of_the_compressor():
-    """The gain is the weighted sum of all targets so far, each with what the later steps left of it."""
+def test_rule_of_the_range_control():
+    """From 0 dB; the gain is the weighted sum of all targets so far, each with what the later steps left of it."""
     rows = series(80, 1, target_db=lambda r, _: -r.random() * 20)
-    want = []
-    for k in range(len(rows)):
-        terms, gain = [(1.0, rows[0].target_db)], rows[0].target_db
-        for a, b in zip(rows[:k], rows[1 : k + 1], strict=True):
-            keep = math.exp(-(b.at_ms - a.at_ms) / (5.0 if b.target_db < gain else 50.0))
-            terms = [(w * keep, x) for w, x in terms] + [(1 - keep, b.target_db)]
-            gain = sum(w * x for w, x in terms)
-        want.append((rows[k].at_ms, gain))
-    near(loop(folds.compressor(attack_ms=5.0, release_ms=50.0), rows), want)
+    fast, slow = math.exp(-0.5), math.exp(-0.05)
+    terms, gain, want = [(1.0, 0.0)], 0.0, []
+    for r in rows:
+        keep = fast if r.target_db < gain else slow
+        terms = [(w * keep, x) for w, x in terms] + [(1 - keep, r.target_db)]
+        gain = sum(w * x for w, x in terms)
+        want.append((r.at_ms, gain))
+    profile = dynamics.Profile(attack_ms=10.0, release_ms=100.0)
+    near(loop(folds.range_control(profile, 5.0), rows), want)
+    assert loop(folds.range_control(dynamics.Profile(attack_ms=0.0), 5.0), rows)[0] == (rows[0].at_ms, rows[0].target_db)
+
+
+def test_heavy_gain_as_a_window_and_as_a_fold(spark):
+    rows = series(300, 9, target_db=lambda r, _: r.choice([-9.0, 3.0, r.uniform(-20, 10)]))
+    want = loop(folds.heavy_control(0.64), rows)
+    df = spark.createDataFrame([("a", r.at_ms, k, r.target_db) for k, r in enumerate(rows)] + [("a", 5.0, 1000, None), ("b", 0.0, 0, 4.0)], "k string, at_ms double, n int, t double")
+    got = dynamics.heavy_gain(df, ["k"], ["n"], "t", 0.64).orderBy("k", "n").collect()
+    near([(r.at_ms, r.gain_db) for r in got], [*want, (0.0, 4.0)])
+    assert want[0][1] == rows[0].target_db and any(b[1] - a[1] == pytest.approx(0.64) for a, b in zip(want, want[1:], strict=False))
+
+
+@pytest.mark.parametrize("words", [dynamics.RANGE, dynamics.HEAVY])
+def test_gain_words(spark, words):
+    gains = {w: dynamics.gain_of(w, words) for w in range(256)}
+    assert len(set(gains.values())) == 256 and all(math.isclose(20 * math.log10(gains[w]), x) for w, x in ((0, 0.0), (256 - (1 << words.bits), 20 * math.log10(0.5))))
+    draw = random.Random(4)
+    db = [20 * math.log10(g) for g in gains.values()] + [draw.uniform(-60, 60) for _ in range(2000)] + [-900.0, 900.0]
+    df = spark.createDataFrame([(x,) for x in db], "db double").select("db", dynamics.encode(F.col("db"), words).alias("near"), dynamics.encode(F.col("db"), words, at_most=True).alias("under"))
+    for r in df.collect():
+        g = 10 ** (r.db / 20)
+        least = min(abs(x - g) for x in gains.values())
+        assert math.isclose(abs(gains[r.near] - g), least, rel_tol=1e-9, abs_tol=1e-12)
+        under = max((x for x in gains.values() if x <= g * (1 + 1e-9)), default=min(gains.values()))
+        assert math.isclose(gains[r.under], under, rel_tol=1e-9)
+    assert df.select(dynamics.encode(F.lit(None).cast("double"), words).alias("w")).first().w is None
+
+
+def test_curves(spark):
+    for name, p in dynamics.PROFILES.items():
+        levels = [x / 4 for x in range(-480, 41)]
+        got = [r.g for r in spark.createDataFrame([(x,) for x in levels], "x double").select("x", dynamics.static_gain(p, F.col("x")).alias("g")).orderBy("x").collect()]
+        assert all(a >= b >= a - 0.25 for a, b in zip(got, got[1:], strict=False)), name  # falling, without steps
+        assert got[0] == p.most_boost and all(g == 0 for x, g in zip(levels, got, strict=True) if p.null_low <= x <= p.null_high)
+        assert got[-1] - got[-5] == pytest.approx(-1 / p.cut_ratio)
+    assert [dynamics.corners(dynamics.PROFILES[n])[0][0] for n in ("film-standard", "film-light", "music-standard", "music-light")] == [-43, -53, -55, -65]
+    peak = spark.range(1).select(dynamics.heavy_target(F.lit(-30.0), F.lit(27)).alias("quiet"), dynamics.heavy_target(F.lit(-1.0), F.lit(31)).alias("loud"), dynamics.heavy_target(F.lit(-30.0), F.lit(0)).alias("reserved")).first()
+    assert tuple(peak) == (0.0, -10.5, 0.0)
 
 
 def test_rule_of_the_clock():
@@ -134,17 +173,19 @@ def test_rule_of_the_playhead():
 
 
 def test_rule_of_the_level_meter():
-    rows = series(150, 4, peak=lambda r, _: r.random() ** 4, power=lambda r, _: r.random())
+    rows = series(150, 4, seconds=lambda r, _: r.choice([0.005, 0.05, 0.4]), peak=lambda r, _: -(r.random() ** 4) if r.random() < 0.9 else 0.0, power=lambda r, _: r.random())
     got = loop(folds.level_meter(hold_ms=60.0, clip=0.9), rows)
+    ends = [sum(x.seconds for x in rows[: k + 1]) for k in range(len(rows))]
     for k, (r, (at, peak, held, rms, clipped)) in enumerate(zip(rows, got, strict=True)):
-        past = rows[: k + 1]
-        assert at == r.at_ms and clipped == any(x.peak >= 0.9 for x in past)
-        assert math.isclose(peak, max(x.peak * 10 ** (-(r.at_ms - x.at_ms) / 1000) for x in past), rel_tol=1e-9)
-        weights = [math.exp(-(r.at_ms - x.at_ms) / 300) * (1.0 if j == 0 else 1 - math.exp(-(x.at_ms - past[j - 1].at_ms) / 300)) for j, x in enumerate(past)]
-        assert math.isclose(rms**2, sum(w * x.power for w, x in zip(weights, past, strict=True)), rel_tol=1e-9)
-        assert r.peak <= held <= max(x.peak for x in past) and held >= peak - 1e-12
-        newest = max(x.at_ms for x in past if x.peak == max(y.peak for y in past))
-        assert r.at_ms - newest > 60 or held == max(x.peak for x in past)
+        past = list(zip(rows, ends, strict=True))[: k + 1]
+        db = [20 * math.log10(abs(x.peak)) if x.peak else -120.0 for x, _ in past]
+        assert at == r.at_ms and clipped == any(abs(x.peak) >= 0.9 for x, _ in past)
+        assert peak == pytest.approx(max(-120.0, max(b - 20 * (ends[k] - end) for b, (_, end) in zip(db, past, strict=True))), abs=1e-9)
+        power = sum((1 - math.exp(-x.seconds / 0.3)) * math.exp(-(ends[k] - end) / 0.3) * x.power for x, end in past)  # from silence
+        assert rms == pytest.approx(10 * math.log10(power), abs=1e-9)
+        top = max(j for j, b in enumerate(db) if b == max(db))
+        assert max(db[-1], peak) - 1e-9 <= held <= max(db) and (ends[k] - ends[top] > 0.06 or held == max(db))
+    assert got[0][3] < 20 * math.log10(math.sqrt(rows[0].power))
 
 
 def test_rule_of_the_queue():
@@ -182,22 +223,42 @@ def test_rule_of_the_servo_and_of_bytes_in_order():
     assert loop(folds.in_order(), rows) == want and len({t for _, _, t in want}) == 2
 
 
+def updates(*parts):
+    """Rows of updates 50 ms apart: (how many, cost in ms, late in ms, missed)."""
+    out = []
+    for n, cost, late, missed in parts:
+        out += [SimpleNamespace(at_us=50_000 * (len(out) + k), cost_us=1000 * cost, late_us=1000 * late, missed=missed) for k in range(n)]
+    return out
+
+
+def changes(rows, **limits):
+    got, was = loop(folds.governor(**limits), rows), False
+    out = []
+    for now, n, slow, dwell, *_ in got:
+        if slow != was:
+            out.append((n, slow, dwell // 1_000_000))
+        was = slow
+    return out, got
+
+
 def test_rule_of_the_governor():
-    rows = series(400, 8, load=lambda r, at: min(1.0, 0.4 + 0.5 * (int(at) // 700 % 2) + 0.1 * r.random()))
-    got = loop(folds.governor(dwell=3, window=4, skip=2, most=12), rows)
-    changes, dwell, level, since, direction = [], 3, 0, 0, 0
-    for k in range(len(rows)):
-        if k < 2:
-            continue
-        mean, since = statistics.fmean(x.load for x in rows[max(2, k - 3) : k + 1]), since + 1
-        move = -1 if mean > 0.70 else 1 if mean < 0.60 and level < 0 else 0
-        if move and since >= dwell:
-            if move < 0 and direction == 1 and since < 2 * dwell:
-                dwell = min(12, dwell * 2)
-            level, since, direction = level + move, 0, move
-            changes.append(k)
-        assert (got[k][0], got[k][2], got[k][3]) == (k + 1, level, dwell) and math.isclose(got[k][1], mean)
-    assert len(changes) > 4
+    falls = lambda *parts, **limits: changes(updates(*parts), **limits)[0]
+    # two seconds of grace (40 updates), then a full window
+    assert falls((200, 36, 0, 0)) == [(60, True, 10)]
+    assert falls((300, 35, 0, 0)) == []  # 70 % is not over 70 %
+    assert falls((100, 10, 16, 0)) == [(60, True, 10)]  # late, though cheap
+    assert falls((100, 10, 15, 0), (3, 10, 16, 0), (100, 10, 0, 0)) == []  # three late ones don't do
+    assert falls((100, 10, 0, 0), (4, 10, 0, 1), (19, 10, 0, 0)) == [(104, True, 10)]  # missed steps do
+    rise = 60 + 200  # ten seconds after the fall
+    assert falls((60, 40, 0, 0), (300, 29, 0, 0)) == [(60, True, 10), (rise, False, 10)]
+    assert falls((60, 40, 0, 0), (300, 31, 0, 0)) == [(60, True, 10)]  # between the thresholds
+    assert falls((60, 40, 0, 0), (195, 29, 0, 0), (1, 29, 16, 0), (60, 29, 0, 0))[1] == (276, False, 10)  # a late update has to leave the window
+    # a fall within a minute of a rise doubles the dwell; a minute at the fast rate puts it back
+    quick = [(60, 40, 0, 0), (200, 29, 0, 0), (420, 40, 0, 0)]
+    assert falls(*quick, (1000, 29, 0, 0)) == [(60, True, 10), (260, False, 10), (280, True, 20), (699, False, 20)]
+    again = falls((60, 40, 0, 0), (200, 29, 0, 0), (20, 40, 0, 0), (400, 29, 0, 0), (1199, 29, 0, 0), (100, 40, 0, 0))
+    assert again[:4] == [(60, True, 10), (260, False, 10), (280, True, 20), (680, False, 20)] and again[4][1:] == (True, 10)
+    assert falls(*quick, most_us=15_000_000)[2] == (280, True, 15)
 
 
 def test_rule_of_late_bursts_and_of_power():

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidemark.operators.dynamics import Profile, share
+
 Fold = tuple[Callable[[], dict], Callable[[dict, object], tuple | None]]
 
 
@@ -66,29 +68,33 @@ def over_stream(df: DataFrame, key: str, order: list[str], fold: Fold, schema: s
     return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", timeout)
 
 
-def level_meter(*, fall_db: float = 20.0, hold_ms: float = 1200.0, rms_seconds: float = 0.3, clip: float = 32767 / 32768) -> Fold:
-    """Rows (at_ms, peak, power): a peak that falls 20 dB a second, one held 1200 ms first, a smoothed RMS, a clip latch."""
+def level_meter(*, fall_db: float = 20.0, hold_ms: float = 1200.0, rms_seconds: float = 0.3, clip: float = 32767 / 32768, floor_db: float = -120.0) -> Fold:
+    """Rows (at_ms, seconds, peak, power) of blocks: a peak that falls 20 dB a second, one held 1200 ms first, a smoothed
+    RMS, a clip latch. All start from silence, and a block counts for its own length."""
 
     def start():
-        return {"at": None, "peak": 0.0, "held": 0.0, "held_at": 0.0, "power": 0.0, "clipped": False}
+        return {"peak": floor_db, "held": floor_db, "quiet": 0.0, "power": 0.0, "clipped": False}
+
+    def db(x):
+        return max(floor_db, 20 * math.log10(x)) if x > 0 else floor_db
 
     def step(s, r):
-        dt = 0.0 if s["at"] is None else max(0.0, (r.at_ms - s["at"]) / 1000)
-        drop = 10 ** (-fall_db * dt / 20)
-        s["peak"] = max(r.peak, s["peak"] * drop)
-        if r.peak >= s["held"]:
-            s["held"], s["held_at"] = r.peak, r.at_ms
-        elif r.at_ms - s["held_at"] > hold_ms:
-            s["held"] = max(r.peak, s["held"] * drop)
-        s["power"] += (r.power - s["power"]) * (1.0 if s["at"] is None else -math.expm1(-dt / rms_seconds))
-        s["clipped"] = bool(s["clipped"] or r.peak >= clip)
-        s["at"] = float(r.at_ms)
-        return float(r.at_ms), s["peak"], s["held"], math.sqrt(max(0.0, s["power"])), s["clipped"]
+        block, fall = db(abs(r.peak)), fall_db * r.seconds
+        s["peak"] = max(block, s["peak"] - fall, floor_db)
+        if block >= s["held"]:
+            s["held"], s["quiet"] = block, 0.0
+        else:
+            s["quiet"] += float(r.seconds)
+            if s["quiet"] > hold_ms / 1000:
+                s["held"] = max(s["peak"], s["held"] - fall)
+        s["power"] += (r.power - s["power"]) * (-math.expm1(-r.seconds / rms_seconds) if rms_seconds > 0 else 1.0)
+        s["clipped"] = bool(s["clipped"] or abs(r.peak) >= clip)
+        return float(r.at_ms), s["peak"], s["held"], db(math.sqrt(max(0.0, s["power"]))), s["clipped"]
 
     return start, step
 
 
-METER = "double, peak double, held double, rms double, clipped boolean"
+METER = "double, peak_db double, hold_db double, rms_db double, clipped boolean"
 
 
 def late_bursts(*, fraction: float = 0.75) -> Fold:
@@ -139,41 +145,73 @@ def queue_model(*, capacity: int, rate_per_ms: float) -> Fold:
     return start, step
 
 
-def governor(*, window: int = 20, up: float = 0.70, down: float = 0.60, dwell: int = 10, most: int = 160, skip: int = 2) -> Fold:
-    """Rows (load): mean of the last updates against two thresholds; a level changes after its dwell, which doubles
-    when a demotion follows a promotion within it, up to a limit."""
+def governor(*, step_us: int = 50_000, window: int = 20, up: float = 0.70, down: float = 0.60, late_us: int = 15_000, most_bad: int = 4, dwell_us: int = 10_000_000, most_us: int = 160_000_000, flap_us: int = 60_000_000, grace_us: int = 2_000_000) -> Fold:
+    """Rows (at_us, cost_us, late_us, missed) of updates: at the fast rate or the slow one, by a full window of updates.
+
+    Fast falls to slow if the window's mean cost is over `up` of a step or `most_bad` updates were late or after missed
+    steps. Slow rises after the dwell, with a mean under `down` and no bad update. A change empties the window. A fall
+    within `flap_us` of a rise doubles the dwell, up to a limit; that long at the fast rate puts it back. The first
+    `grace_us` are not judged.
+    """
 
     def start():
-        return {"seen": 0, "loads": [], "level": 0, "since": 0, "dwell": dwell, "last": 0}
+        return {"n": 0, "from": None, "since": None, "rose": None, "slow": False, "dwell": dwell_us, "costs": [], "bad": [], "falls": 0, "rises": 0}
+
+    def change(s, now, slow):
+        s.update({"slow": slow, "since": now, "costs": [], "bad": []})
+        s["falls" if slow else "rises"] += 1
 
     def step(s, r):
-        s["seen"] += 1
-        if s["seen"] <= skip:
-            return s["seen"], 0.0, s["level"], s["dwell"]
-        s["loads"] = [*s["loads"], float(r.load)][-window:]
-        mean, s["since"] = sum(s["loads"]) / len(s["loads"]), s["since"] + 1
-        if mean > up and s["since"] >= s["dwell"]:
-            if s["last"] > 0 and s["since"] < 2 * s["dwell"]:
-                s["dwell"] = min(most, 2 * s["dwell"])
-            s["level"], s["since"], s["last"] = s["level"] - 1, 0, -1
-        elif mean < up and mean < down and s["level"] < 0 and s["since"] >= s["dwell"]:
-            s["level"], s["since"], s["last"] = s["level"] + 1, 0, 1
-        return s["seen"], mean, s["level"], s["dwell"]
+        now = int(r.at_us)
+        s["n"] += 1
+        s["from"] = now if s["from"] is None else s["from"]
+        if now - s["from"] >= grace_us:
+            s["costs"] = [*s["costs"], max(0.0, float(r.cost_us))][-window:]
+            s["bad"] = [*s["bad"], int(r.late_us > late_us or r.missed > 0)][-window:]
+            s["since"] = now if s["since"] is None else s["since"]
+            full, bad, load = len(s["costs"]) == window, sum(s["bad"]), sum(s["costs"]) / len(s["costs"]) / step_us
+            if s["slow"]:
+                if full and bad == 0 and load < down and now - s["since"] >= s["dwell"]:
+                    s["rose"] = now
+                    change(s, now, False)
+            else:
+                if now - s["since"] >= flap_us:
+                    s["dwell"] = dwell_us
+                if full and (load > up or bad >= most_bad):
+                    if s["rose"] is not None and now - s["rose"] < flap_us:
+                        s["dwell"] = min(most_us, 2 * s["dwell"])
+                    change(s, now, True)
+        return now, s["n"], s["slow"], s["dwell"], s["falls"], s["rises"]
 
     return start, step
 
 
-def compressor(*, attack_ms: float, release_ms: float) -> Fold:
-    """Rows (at_ms, target_db): a gain that follows its target faster down than up."""
+GOVERNOR = "at_us long, updates long, slow boolean, dwell_us long, falls long, rises long"
+
+
+def range_control(profile: Profile, block_ms: float) -> Fold:
+    """Rows (at_ms, target_db), a block each: a gain that starts at 0 dB and goes to its target with the profile's attack
+    downwards and its release upwards."""
+    attack, release = share(profile.attack_ms, block_ms), share(profile.release_ms, block_ms)
 
     def start():
-        return {"at": None, "gain": 0.0}
+        return {"gain": 0.0}
 
     def step(s, r):
-        dt = 0.0 if s["at"] is None else r.at_ms - s["at"]
-        tau = attack_ms if r.target_db < s["gain"] else release_ms
-        s["gain"] += (r.target_db - s["gain"]) * (1.0 if s["at"] is None else -math.expm1(-dt / tau))
-        s["at"] = float(r.at_ms)
+        s["gain"] += (r.target_db - s["gain"]) * (attack if r.target_db < s["gain"] else release)
+        return float(r.at_ms), s["gain"]
+
+    return start, step
+
+
+def heavy_control(step_db: float) -> Fold:
+    """Rows (at_ms, target_db), a frame each: a gain that falls at once and rises by a step; the first target sets it."""
+
+    def start():
+        return {"gain": None}
+
+    def step(s, r):
+        s["gain"] = float(r.target_db) if s["gain"] is None else min(float(r.target_db), s["gain"] + step_db)
         return float(r.at_ms), s["gain"]
 
     return start, step
