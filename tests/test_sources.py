@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import audio
 from tidemark.operators import compare, stats, timeline, trailing
-from tidemark.sources import histories, sinks, timed_text
+from tidemark.sources import appended, histories, sinks, timed_text
 
 
 def put(path, text):
@@ -27,6 +27,65 @@ def test_history_keeps_order(spark, tmp_path):
         histories.read_history(spark, p, "commit string, worst_db double", skip_malformed=False).collect()
 
 
+@pytest.fixture
+def small_blocks(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "200b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield spark
+    spark.conf.set(name, old)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_large_history_is_read_by_many_tasks(small_blocks, tmp_path):
+    lines = [json.dumps({"n": k, "pad": "é" * (k * 7 % 90)}) for k in range(200)]
+    for k in (0, 5, 6, 120):
+        lines[k] = ""
+    lines[77] = '{"n": "cut'
+    put(tmp_path / "a.jsonl", "\r\n".join(lines))
+    put(tmp_path / "b.jsonl", "\n" * 300 + '{"n": 7}\n')
+    put(tmp_path / "c.jsonl", "")
+    read = histories.numbered_lines(small_blocks, str(tmp_path))
+    assert read.where("file LIKE '%a.jsonl'").rdd.getNumPartitions() > 20
+    got = {(r.file[-7:], r.seq): r.line for r in read.collect()}
+    assert [got["a.jsonl", k] for k in range(200)] == lines
+    assert got["b.jsonl", 300] == '{"n": 7}' and len(got) == 501
+    rows = histories.read_history(small_blocks, str(tmp_path), "n int").collect()
+    assert sorted((r.file[-7:], r.seq, r.n) for r in rows) == [("a.jsonl", k, k) for k in range(200) if lines[k] and k != 77] + [("b.jsonl", 300, 7)]
+
+
+def test_appended_lines_come_once(spark, tmp_path):
+    folder, at, out = tmp_path / "in", str(tmp_path / "at"), str(tmp_path / "out")
+    folder.mkdir()
+
+    def told(**more):
+        frame = appended.follow_history(spark, str(folder), "n int", part_bytes=50, **more)
+        query = frame.writeStream.format("parquet").option("checkpointLocation", at).option("path", out).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted((r.file[-7:], r.at, r.n) for r in spark.read.parquet(out).collect())
+
+    def line(n):
+        return json.dumps({"n": n, "pad": "ß" * (n * 5 % 70)}) + "\n"
+
+    (folder / "a.jsonl").write_text("".join(map(line, range(40))) + '{"n": 40')  # the last line is still being written
+    (folder / "notes.txt").write_text('{"n": 1}\n')
+    where = [0]
+    for n in range(40):
+        where.append(where[-1] + len(line(n).encode()))
+    first = [("a.jsonl", where[n], n) for n in range(40)]
+    assert told() == first
+    with open(folder / "a.jsonl", "a") as f:
+        f.write('}\n\n{bad\n{"n": 42}\r\n')
+    (folder / "b.jsonl").write_text('{"n": 5}\n')
+    second = sorted([*first, ("a.jsonl", where[40], 40), ("a.jsonl", where[40] + 10 + 1 + 5, 42), ("b.jsonl", 0, 5)])
+    assert told() == second
+    assert told() == second  # a restart without news
+
+
 def test_results_with_environment(spark, tmp_path):
     put(tmp_path / "bench-linux/bench_a.json", json.dumps({"real_time_budget_ms_per_frame": 32.0, "results": [{"name": "x", "ms_per_frame": 2.0}, {"name": "y", "ms_per_frame": 1.0}]}))
     put(tmp_path / "bench-mac/bench_b.json", json.dumps({"results": [{"name": "x", "ms_per_frame": 3.0}]}))
