@@ -1,8 +1,10 @@
 """Main text of web pages: the maximum-scoring subsequence of a page's words and tags.
 
-Words score by the elements around them, tags cost; the weights are log odds of main and other text that are counted on
-labelled pages. One linear scan finds the contiguous stretch of the page with the largest sum; blocks inside it that
-score below zero themselves (adverts, comments, notices within the article) are left out.
+Words score by the elements around them, the nearest most, tags cost; the weights are log odds of main and other text
+that are counted on labelled pages. One linear scan finds the contiguous stretch of the page with the largest sum; blocks
+inside it that score below zero themselves (adverts, comments, notices within the article) are left out. An element that
+holds nearly all of a page, such as a form round everything or a body of class has-sidebar, tells nothing about its text:
+where the scan leaves most of a page out, such elements lose their weight and it runs again.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAMES = frozenset("class id role data-main hidden aria-hidden itemprop".split())
 IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
 PART = re.compile(r"[a-z]+")
+#: What an element's weight is worth outside another one that tells something, and from which weight on one does.
+OUTER, TELLING = 0.3, 0.5
+#: Elements begin to lose weight with `FADING` of a page's unlinked words inside, and have none with `WHOLE`: those around
+#: what was found, where that is less than half of the page, and all where it is less than `LITTLE`.
+LITTLE, FADING, WHOLE = 0.05, 0.5, 0.8
 
 #: Labelled pages: elements with data-main hold main text; {n} stands for n words.
 LABELLED = (
@@ -44,28 +51,40 @@ LABELLED = (
     '<body><div class="ad advert">{12}</div><article><h1 data-main>{8}</h1><p data-main>{70}</p><div class="ad ads advertisement sponsored promo">{15}</div><p data-main>{60}</p><table data-main><tr><td>{4}</td><td>{3}</td></tr></table><div class="share social"><a>{1}</a><a>{1}</a></div><section class="comments discussion responses"><p>{40}</p><p>{25}</p></section><aside class="related recommended"><a>{7}</a><a>{8}</a></aside></article><form class="newsletter signup subscribe"><p>{10}</p><label>{2}</label></form></body>',
     '<div class="header"><div>{4}</div></div><div class="breadcrumb breadcrumbs"><a>{1}</a><a>{2}</a></div><div class="post entry story" data-main><p>{50}</p><p>{50}</p><pre>{20}</pre><figure><figcaption>{9}</figcaption></figure></div><div class="widget sidebar"><p>{12}</p></div><div class="footer copyright legal"><p>{16}</p></div><form><label>{2}</label><p>{6}</p><input></form>',
     '<nav role="navigation"><a>{2}</a><a>{2}</a></nav><div role="main" data-main><p>{80}</p><ol><li>{15}</li><li>{14}</li></ol></div><div class="notice alert popup modal overlay consent gdpr"><p>{22}</p></div><div class="tags meta"><a>{1}</a></div><div role="contentinfo"><p>{12}</p></div><div role="complementary"><p>{18}</p></div><div role="banner"><p>{6}</p></div><div role="search"><p>{3}</p></div>',
-    '<table><tr><td class="toolbar menu"><a>{2}</a><a>{1}</a></td><td class="text body" data-main><p>{60}</p><p>{55}</p></td></tr></table><section data-main><h2>{4}</h2><p>{45}</p><dl><dt>{2}</dt><dd>{14}</dd></dl></section><ul class="pagination pager"><li><a>{1}</a></li></ul><div class="disqus thread feedback reviews"><p>{35}</p></div><div class="subscribe"><p>{9}</p></div><div class="teaser trending popular"><a>{6}</a><a>{7}</a></div>',
+    '<table><tr><td class="toolbar menu"><a>{2}</a><a>{1}</a></td><td class="text" data-main><p>{60}</p><p>{55}</p></td></tr></table><section data-main><h2>{4}</h2><p>{45}</p><dl><dt>{2}</dt><dd>{14}</dd></dl></section><ul class="pagination pager"><li><a>{1}</a></li></ul><div class="disqus thread feedback reviews"><p>{35}</p></div><div class="subscribe"><p>{9}</p></div><div class="teaser trending popular"><a>{6}</a><a>{7}</a></div>',
+    '<body class="single page-template has-sidebar no-js"><div id="page" class="site wrapper"><div class="site-header"><p>{6}</p></div><div class="site-content container"><div id="primary" class="content-area" data-main><h1>{7}</h1><p>{70}</p><p>{80}</p></div><div class="sidebar widget"><p>{15}</p></div></div><div class="site-footer"><p>{14}</p></div></div></body>',
 )
 
 
 class Block:
-    __slots__ = ("main", "tags", "text", "tokens", "words")
+    """Text between tags that end one: its words, the innermost element (by the number of its start tag) for each token
+    around it, the tags before it, whether it is marked as main."""
 
-    def __init__(self, text: str, words: int, tokens: frozenset, tags: int, main: bool):
-        self.text, self.words, self.tokens, self.tags, self.main = text, words, tokens, tags, main
+    __slots__ = ("inside", "main", "tags", "text", "words")
+
+    def __init__(self, text: str, words: int, inside: dict[str, int], tags: int, main: bool):
+        self.text, self.words, self.inside, self.tags, self.main = text, words, inside, tags, main
+
+    @property
+    def tokens(self) -> frozenset:
+        return frozenset(self.inside)
+
+    @property
+    def linked(self) -> bool:
+        return "a" in self.inside
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, each with the tokens of the elements around it and the tags since the last.
 
-    A token is an element's name or a word of its class, id or role. Text in a link is a block's part that counts as
-    linked: a block whose words are mostly in links has the token 'a'.
+    A token is an element's name or a name in its class, id or role, whole and by its parts (site-header, site, header).
+    Text in a link is a block's part that counts as linked: a block whose words are mostly in links has the token 'a'.
     """
     out: list[Block] = []
     stack: list[tuple[str, list, bool, bool]] = []  # name, tokens, silent, main
-    names, marks, flags = defaultdict(int), defaultdict(int), [0, 0]  # open elements by name, open tokens, silent and main elements
+    names, marks, flags = defaultdict(int), defaultdict(list), [0, 0]  # open elements by name, their numbers by token, silent and main ones
     parts: list[str] = []
-    linked = tags = 0
+    linked = tags = number = 0
     at, end = 0, len(page)
 
     def cut(k):
@@ -74,7 +93,7 @@ def blocks_of(page: str) -> list[Block]:
             name, tokens, silent, main = stack.pop()
             names[name] -= 1
             for t in tokens:
-                marks[t] -= 1
+                marks[t].pop()
                 if not marks[t]:
                     del marks[t]
             flags[0] -= silent
@@ -86,11 +105,10 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         if text:
             n = text.count(" ") + 1
-            tokens = set(marks)
-            tokens.discard("a")
+            inside = {t: open_[-1] for t, open_ in marks.items() if t != "a"}
             if 2 * linked > n:
-                tokens.add("a")
-            out.append(Block(text, n, frozenset(tokens), tags, flags[1] > 0))
+                inside["a"] = number + 1
+            out.append(Block(text, n, inside, tags, flags[1] > 0))
             tags = 0
         linked = 0
 
@@ -149,15 +167,18 @@ def blocks_of(page: str) -> list[Block]:
             elif key == "hidden" or key == "aria-hidden":
                 silent |= key == "hidden" and value != "until-found"
             else:
-                tokens += PART.findall(value)
+                for whole in value.split():
+                    parts_of = PART.findall(whole)
+                    tokens += parts_of if len(parts_of) == 1 else [whole, *parts_of]
         if name in RAW_END:
             stop = RAW_END[name].search(page, at)
             at = stop.start() if stop else end
             continue
         stack.append((name, tokens, silent, main))
         names[name] += 1
+        number += 1
         for t in tokens:
-            marks[t] += 1
+            marks[t].append(number)
         flags[0] += silent
         flags[1] += main
     flush()
@@ -170,10 +191,40 @@ class RegionModel:
     def __init__(self, base: float, weights: dict[str, float], tag: float):
         self.base, self.weights, self.tag = base, weights, tag
 
-    def score(self, block: Block) -> float:
-        """Score of each word of a block: up to 2, and not below -0.2, so that an advert doesn't cut an article in two."""
-        w = self.weights
-        return max(-0.2, min(2.0, self.base + sum(w.get(t, 0.0) for t in block.tokens)))
+    def score(self, block: Block, worth: dict[int, float] | None = None) -> float:
+        """Score of each word of a block: up to 2, and not below -0.2, so that an advert doesn't cut an article in two.
+
+        Elements count from the inside outwards, those outside one that tells something only a part. `worth` is the
+        share of its weight that an element has kept.
+        """
+        at = defaultdict(float)
+        for t, element in block.inside.items():
+            w = self.weights.get(t)
+            if w:
+                at[element] += w
+        total, share = self.base, 1.0
+        for element in sorted(at, reverse=True):
+            told = at[element] * worth.get(element, 1.0) if worth else at[element]
+            total += share * told
+            if abs(told) >= TELLING:
+                share *= OUTER
+        return max(-0.2, min(2.0, total))
+
+    def region(self, blocks: list[Block], worth: dict[int, float] | None = None) -> list[Block]:
+        """The blocks of the best stretch that score above zero."""
+        each = [self.score(b, worth) for b in blocks]
+        start, end = best_region([s * b.words + self.tag * b.tags for s, b in zip(each, blocks, strict=True)])
+        return [b for b, s in zip(blocks[start:end], each[start:end], strict=True) if s > 0]
+
+
+def kept_worth(blocks: list[Block]) -> dict[int, float]:
+    """What share of its weight every element keeps by how much of the page's unlinked text it is around."""
+    around, total = defaultdict(int), sum(b.words for b in blocks if not b.linked)
+    for b in blocks:
+        if not b.linked:
+            for element in set(b.inside.values()):
+                around[element] += b.words
+    return {e: max(0.0, min(1.0, (WHOLE - n / total) / (WHOLE - FADING))) for e, n in around.items()}
 
 
 def learn(pages) -> RegionModel:
@@ -181,16 +232,22 @@ def learn(pages) -> RegionModel:
 
     A token's weight is the log of its rate among the main words over that among the others (one word added to each),
     times the square of how far the rates differ of their sum, so that elements of both kinds hardly count; a word's
-    base is half the log odds of words overall; a tag costs a small part of the log odds of tags a word.
+    base is half the log odds of words overall; a tag costs a small part of the log odds of tags a word. An element that
+    holds text of both kinds (a tenth of either or more) is around the matter and no evidence for its tokens.
     """
     inside, outside = defaultdict(float), defaultdict(float)
     words, tags = [1.0, 1.0], [1.0, 1.0]
     for page in pages:
-        for b in blocks_of(page):
+        blocks, held = blocks_of(page), defaultdict(lambda: [0, 0])
+        for b in blocks:
             words[b.main] += b.words
             tags[b.main] += b.tags
-            for t in b.tokens:
-                (inside if b.main else outside)[t] += b.words
+            for element in set(b.inside.values()):
+                held[element][b.main] += b.words
+        for b in blocks:
+            for t, element in b.inside.items():
+                if 10 * min(held[element]) < sum(held[element]):
+                    (inside if b.main else outside)[t] += b.words
     weights = {}
     for t in {*inside, *outside}:
         p, q = (inside[t] + 1) / words[1], (outside[t] + 1) / words[0]
@@ -216,14 +273,20 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, model: RegionModel | None = None) -> str:
-    """The main text of a page: its blocks joined by line breaks; empty for null or if nothing scores above zero."""
+    """The main text of a page: its blocks joined by line breaks; empty for null or if all text is in links."""
     if not page:
         return ""
     model = model or built_in_model()
-    found = blocks_of(page)
-    each = [model.score(b) for b in found]
-    start, end = best_region([s * b.words + model.tag * b.tags for s, b in zip(each, found, strict=True)])
-    return "\n".join(b.text for b, s in zip(found[start:end], each[start:end], strict=True) if s > 0)
+    blocks = blocks_of(page)
+    found, free = model.region(blocks), sum(b.words for b in blocks if not b.linked)
+    seen = sum(b.words for b in found)
+    if 2 * seen < free:
+        worth = kept_worth(blocks)
+        if seen >= LITTLE * free:
+            around = {e for b in found for e in b.inside.values()}
+            worth = {e: x for e, x in worth.items() if e in around}
+        found = model.region(blocks, worth) or found
+    return "\n".join(b.text for b in (found or [b for b in blocks if not b.linked]))
 
 
 def extract(pages: DataFrame, *, html_column: str = "html", out: str = "text", labelled: list[str] | None = None) -> DataFrame:
