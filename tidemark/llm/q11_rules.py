@@ -24,7 +24,7 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 words AS (SELECT r, lang, word, count(*) AS n FROM (SELECT r, lang, unnest(ws) AS word FROM docs) GROUP BY ALL),
 sizes AS (SELECT lang, sum(n) AS size FROM words WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) >= 1000),
 top AS (SELECT lang, word, n / size AS share FROM (SELECT lang, word, sum(n) AS n, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS k FROM words GROUP BY lang, word)
-  JOIN sizes USING (lang) WHERE k <= 30),
+  JOIN sizes USING (lang) WHERE k <= 20),
 chars AS (SELECT lang, k, sum(c[k]) / sum(sum(c[k])) OVER (PARTITION BY lang) AS share FROM judged JOIN sizes USING (lang), range(1, 7) x(k) GROUP BY lang, k),
 pairs AS (SELECT r, s.lang AS ref, n_words, word_chars, c FROM judged d JOIN sizes s ON d.lang = s.lang
   UNION ALL SELECT r, s.lang, n_words, word_chars, c FROM judged d, sizes s WHERE d.lang IS NULL OR d.lang NOT IN (SELECT lang FROM sizes)),

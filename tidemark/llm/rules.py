@@ -11,10 +11,10 @@ from tidemark.llm.common import sent_if_small, shared_path
 
 #: The separators of words.
 SPACE = r"[ \t-\r]+"
-#: Character classes, each of what the ones before leave; whatever is left at the end is a class of its own.
-CLASSES = ["[a-z]+", "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()-]+", r"[^\x00-\x7F]+"]
+#: Character classes; whatever is in none of them is a class of its own.
+CLASSES = ["a-z", "A-Z", "0-9", r".,;:!?'\"()\-", r"\x80-\x{10FFFF}"]
 #: Commonest words of a language that its reference holds.
-COMMON = 30
+COMMON = 20
 #: A language needs so many words to be a reference.
 LEAST_REFERENCE = 1000
 #: A text needs so many words, or characters in words, to be compared.
@@ -56,7 +56,7 @@ def repeated_words(words: Column, size: int = 5) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
         return F.when(F.size(w) > size, let(hashes, count)).otherwise(F.lit(0).cast("long"))
 
-    return let(words, windows)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
 def base_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -68,14 +68,14 @@ def base_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def class_counts(joined: Column) -> Column:
-    """How many characters of each class a text without white space has: each class is taken out of what is left."""
+    """How many characters of each class a text without white space has: each class is left out of what is looked at next."""
 
     def step(left, k):
         if k == len(CLASSES):
             return F.array(F.char_length(left))
-        return let(F.regexp_replace(left, CLASSES[k], ""), lambda rest: F.concat(F.array(F.char_length(left) - F.char_length(rest)), step(rest, k + 1)))
+        return let(F.array_join(F.split(left, f"[{CLASSES[k]}]+"), ""), lambda rest: F.concat(F.array(F.char_length(left) - F.char_length(rest)), step(rest, k + 1)))
 
-    return step(joined, 0)
+    return let(joined, lambda whole: step(whole, 0))
 
 
 def references(docs: DataFrame, text: str, lang: str, common: int = COMMON) -> DataFrame:
