@@ -313,6 +313,24 @@ def test_the_own_commit_is_left_out(spark):
     assert {r.seq: r.baseline for r in both.collect()} == got
 
 
+def test_baselines_by_stretches_of_commits(spark):
+    """Interleaved commits and null ones against a plain loop, and a commit with very many records."""
+    draw = random.Random(12)
+    rows = [(draw.choice("ab"), k, draw.choice([None, "x", "y", "z"]) if draw.random() < 0.4 else "x", draw.choice([None, 1.0, 2.0, 5.0])) for k in range(400)]
+    df = spark.createDataFrame([*rows, (None, 900, "x", 1.0), (None, 901, "y", 1.0)], "leg string, seq int, commit string, v double")
+    for n in (1, 3, 10):
+        got = {r.seq: (r.baseline, r.n) for r in trailing.trailing_mean(df, ["leg"], ["seq"], "v", n=n, count="n", commit="commit").collect()}
+        assert got.pop(900) == got.pop(901) == (None, 0)
+        for leg, seq, commit, _ in rows:
+            past = [v for g, s, c, v in rows if g == leg and s < seq and (c is None or c != commit)][-n:]
+            past = [v for v in past if v is not None]
+            want = (sum(past) / len(past) if past else None, len(past))
+            assert got[seq][1] == want[1] and (got[seq][0] == want[0] or abs(got[seq][0] - want[0]) < 1e-12), (n, seq)
+    many = spark.range(100_000).select(F.lit("a").alias("leg"), F.col("id").cast("int").alias("seq"), F.when(F.col("id") < 3, "old").otherwise("big").alias("commit"), F.col("id").cast("double").alias("v"))
+    got = trailing.trailing_mean(many, ["leg"], ["seq"], "v", commit="commit").where("seq >= 3").select("baseline").distinct().collect()
+    assert [r.baseline for r in got] == [1.0]
+
+
 def test_keyframes_pitch_and_json_numbers(spark):
     with pytest.raises(Exception, match="two keyframes at"):
         timeline.keyframes(spark.createDataFrame([(1, 5), (1, 5)], "k int, at int"), ["k"], "at").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
@@ -144,43 +144,82 @@ def frames_of(samples: Column, size: int, hop: int) -> Column:
     return F.when(F.size(samples) >= size, each)
 
 
+def low_pass(factor: int) -> np.ndarray:
+    """Taps of the low-pass before taking every `factor`-th sample: a Blackman-windowed sinc of 16 taps a step and one,
+    cut off at a quarter of the rate after it, of gain 1 for a constant."""
+    if factor <= 1:
+        return np.ones(1)
+    n = 16 * factor + 1
+    taps = np.sinc((np.arange(n) - 8 * factor) / (2 * factor)) * np.blackman(n)
+    return taps / taps.sum()
+
+
+def decimate(factor: int):
+    """A column function: each `factor`-th sample of the low-passed array, silence before its start."""
+    taps = low_pass(factor)
+
+    def one(x):
+        return None if x is None else np.convolve(np.asarray(x, float), taps)[: len(x) : factor]
+
+    return F.pandas_udf(lambda s: s.map(one), ArrayType(DoubleType()))
+
+
+def pitch_frames(df: DataFrame, samples: str, rate: int, *, frame_ms: float = 64.0, hop_ms: float = 10.0) -> DataFrame:
+    """The rows with (frame, centre, frame_samples) for each frame that their signal of `rate` samples a second has at its
+    analysis rate, the largest whole part of the rate up to 16 kHz. `centre` is the input sample that a frame's middle
+    stems from, the filter's delay taken off; signals shorter than a frame keep a row without one."""
+    factor = next(f for f in range(1, rate + 1) if rate % f == 0 and rate / f <= 16_000)
+    size, hop = (max(1, int(rate / factor * ms / 1000 + 0.5)) for ms in (frame_ms, hop_ms))
+    delay = (len(low_pass(factor)) - 1) // 2
+    kept = df.withColumn("_kept", decimate(factor)(F.col(samples)) if factor > 1 else F.col(samples))
+    found = kept.select(*df.columns, F.inline_outer(frames_of(F.col("_kept"), size, hop)).alias("frame", "frame_samples"))
+    return found.withColumn("centre", ((F.col("frame") * hop + size // 2) * factor - delay).cast("long"))
+
+
 def pitch(rate: float, *, lowest: float = 70.0, highest: float = 1100.0, clearest: float = 0.6, floor_db: float = -55.0, ratio: float = 0.9):
     """A column function over frames: {hz, clarity, level_db} by the normalised square difference; hz is 0 where the
-    frame is too quiet, no maximum is clear enough, or the pitch is out of range.
+    frame, without its mean, is too quiet, no maximum is clear enough, or the pitch is out of range.
 
-    Of the maxima between rises and falls through zero the first within `ratio` of the highest counts; a parabola
-    through its neighbours places it between samples.
+    Every lag is compared over as many samples: those that the longest lag leaves of the frame. Of the highest points of
+    the stretches above zero, but for that around lag 0, the first within `ratio` of the highest counts; a parabola
+    through its neighbours places it between samples. Frames are shorter than twice the longest lag: an error.
     """
+    least, most = max(2, int(rate // highest)), int(np.ceil(rate / lowest)) + 1
 
     def one(x):
         if x is None:
             return None
         x = np.asarray(x, float)
         n = len(x)
-        level = 10 * np.log10(max(1e-20, float(np.mean(x * x)) if n else 0.0))
-        most = min(n - 2, int(rate / lowest) + 1)
-        if n < 4 or most < 2 or level < floor_db:
+        if n < 2 * most:
+            raise ValueError(f"a frame of {n} samples is too short for lags up to {most}")
+        x = x - x.mean()
+        level = max(-120.0, 20 * np.log10(np.sqrt(np.mean(x * x)) + 1e-9))
+        if level < floor_db:
             return 0.0, 0.0, level
-        spectrum = np.fft.rfft(x, 2 * n)
-        same = np.fft.irfft(spectrum * np.conj(spectrum), 2 * n)[: most + 2]
-        square = np.concatenate([[0.0], np.cumsum(x * x)])
-        lags = np.arange(most + 2)
-        power = square[n - lags] + square[n] - square[lags]
+        width, square = n - most, np.concatenate([[0.0], np.cumsum(x * x)])
+        same = np.fft.irfft(np.conj(np.fft.rfft(x[:width], 2 * n)) * np.fft.rfft(x, 2 * n), 2 * n)[: most + 1]
+        lags = np.arange(most + 1)
+        power = square[width] + square[lags + width] - square[lags]
         d = np.where(power > 1e-12, 2 * same / np.maximum(power, 1e-12), 0.0)
-        below = np.flatnonzero(d < 0)
-        if not len(below):
-            return 0.0, 0.0, level
-        inner = np.arange(max(1, below[0]), most + 1)
-        tops = inner[(d[inner] > 0) & (d[inner] >= d[inner - 1]) & (d[inner] > d[inner + 1])]
-        if not len(tops):
-            return 0.0, 0.0, level
-        lobe = np.cumsum((d[:-1] < 0) & (d[1:] >= 0))[tops - 1]  # the stretch above zero that a maximum is in
-        best = [tops[lobe == k][np.argmax(d[tops[lobe == k]])] for k in np.unique(lobe)]
-        k = next(k for k in best if d[k] >= ratio * max(d[b] for b in best))
+        d[0] = 1.0
+        lobe = np.cumsum((d[1:] > 0) & (d[:-1] <= 0))  # of lags from 1; 0 is the stretch around lag 0
+        tops = []
+        for k in range(1, int(lobe[-1]) + 1):
+            inside = 1 + np.flatnonzero((lobe == k) & (d[1:] > 0))
+            top = int(inside[np.argmax(d[inside])])
+            if least <= top < most:
+                tops.append(top)
+        top = max((d[k] for k in tops), default=0.0)
+        if not tops or top < clearest:
+            return 0.0, float(min(1.0, max(0.0, top))), level
+        k = next(k for k in tops if d[k] >= ratio * top)
         a, b, c = d[k - 1], d[k], d[k + 1]
         bend = a - 2 * b + c
-        shift = 0.5 * (a - c) / bend if bend else 0.0
-        clarity, hz = min(1.0, b - 0.25 * (a - c) * shift), rate / (k + shift)
-        return (hz if clarity >= clearest and lowest <= hz <= highest else 0.0), clarity, level
+        shift = min(0.5, max(-0.5, 0.5 * (a - c) / bend)) if bend else 0.0
+        clear, hz = b - 0.25 * (a - c) * shift, rate / (k + shift)
+        if clear < clearest or not lowest <= hz <= highest:
+            return 0.0, 0.0, level
+        return hz, min(1.0, clear), level
 
     return F.pandas_udf(lambda s: pd.DataFrame([one(x) or (None, None, None) for x in s], columns=["hz", "clarity", "level_db"], dtype=float), "hz double, clarity double, level_db double")

@@ -9,30 +9,38 @@ from pyspark.sql import functions as F
 BASELINE, SOFT, HARD, RECENT = 10, 0.20, 1.00, 80
 
 
-def of_others(df: DataFrame, keys: list[str], order: list[str], values: list[str], commit: str, n: int) -> Column:
-    """The last `n` earlier records of the series that are of another commit than the row's, oldest first, as structs.
+def with_others(df: DataFrame, keys: list[str], order: list[str], values: list[str], commit: str, n: int, out: str = "_past") -> DataFrame:
+    """The rows with `out`: the last `n` earlier records of the series that are of another commit than the row's, oldest
+    first, as structs of `values`; null where a key is null.
 
     A run is judged against what came before its commit, not against copies of its own numbers. A null commit is no
-    commit: such records are never left out. The frame is as much longer than `n` as the commit with most records in a
-    series has others, which is counted first; commits have few records in a series.
+    commit: such records are never left out. Records in a row of one commit see the same past, so it is found once for
+    each such stretch, from the last `n` records of the stretches before it. Of two stretches side by side one is of
+    another commit, so twice `n` of them do: what a row holds never depends on how many records a commit has.
     """
-    most = df.where(F.col(commit).isNotNull()).groupBy(*keys, commit).count().agg(F.max("count")).first()[0] or 1
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n + most - 1), -1)
-    got = F.collect_list(F.struct(F.col(commit).alias("_commit"), *values)).over(w)
-    others = F.filter(got, lambda x: ~F.coalesce(x["_commit"] == F.col(commit), F.lit(False)))
-    return F.slice(others, F.greatest(F.lit(1), F.size(others) - n + 1), n)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    fresh = ~F.coalesce(F.lag(commit).over(w) == F.col(commit), F.lit(False))
+    df = df.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*(F.desc(o) for o in order)))
+    ends = df.withColumn("_back", back).where(F.col("_back") <= n)
+    runs = ends.groupBy(*keys, "_run").agg(F.first(commit).alias("_commit"), F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), *values))).alias("_last"))
+    before = F.collect_list(F.struct("_commit", "_last")).over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(-2 * n, -1))
+    others = F.flatten(F.transform(F.filter(before, lambda x: ~F.coalesce(x["_commit"] == F.col("_commit"), F.lit(False))), lambda x: x["_last"]))
+    past = runs.withColumn("_others", others).select(*keys, "_run", F.slice("_others", F.greatest(F.lit(1), F.size("_others") - n + 1), n).alias(out))
+    return df.join(past, [*keys, "_run"], "left").drop("_run")
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str, *, n: int = BASELINE, out: str = "baseline", count: str | None = None, commit: str | None = None) -> DataFrame:
     """Mean of the last `n` earlier records of the same series; null for the first. A null key matches no series.
 
-    With `commit` the records of the row's own commit are left out, see of_others.
+    With `commit` the records of the row's own commit are left out, see with_others.
     """
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
     if commit:
-        df = df.withColumn("_past", F.filter(F.transform(of_others(df, keys, order, [value], commit, n), lambda x: x[value].cast("double")), lambda v: v.isNotNull()))
+        kept = df.columns
+        df = with_others(df, keys, order, [value], commit, n).select(*kept, F.filter(F.transform("_past", lambda x: x[value].cast("double")), lambda v: v.isNotNull()).alias("_past"))
         mean, many = F.aggregate("_past", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("_past"), F.lit(0)), F.size("_past").cast("long")
     else:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
@@ -45,13 +53,13 @@ def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str,
 def trailing_channels(df: DataFrame, keys: list[str], order: list[str], channels: str, *, n: int = BASELINE, out: str = "baseline", commit: str | None = None) -> DataFrame:
     """Mean by channel of the last `n` earlier records, of which those with another channel count than the newest go.
 
-    With `commit` the records of the row's own commit are left out, see of_others.
+    With `commit` the records of the row's own commit are left out, see with_others.
     """
     if commit:
-        got = F.transform(of_others(df, keys, order, [channels], commit, n), lambda x: x[channels])
+        kept = df.columns
+        df = with_others(df, keys, order, [channels], commit, n).select(*kept, F.transform("_past", lambda x: x[channels]).alias("_past"))
     else:
-        got = F.collect_list(channels).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1))
-    df = df.withColumn("_past", got)
+        df = df.withColumn("_past", F.collect_list(channels).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)))
     got = F.col("_past")
     same = F.filter(got, lambda x: F.size(x) == F.size(F.element_at(got, -1)))
     mean = F.transform(F.sequence(F.lit(0), F.size(F.element_at(got, -1)) - 1), lambda k: F.aggregate(same, F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size(same))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays, audio
-from tidemark.operators import census, compare, stats, timeline, trailing
+from tidemark.operators import census, compare, includes, stats, timeline, trailing
 from tidemark.plans.series import query, t
 from tidemark.sources import histories, sinks
 from tidemark.sources.shared import shared_path
@@ -140,37 +140,95 @@ def fn_rotate(spark, d):
     return t(spark, d, "part").select("p_partkey", *(F.round(c, 6).alias(n) for c, n in zip(turned, "xyz", strict=True)))
 
 
-@query("w13_pitch")
+@query("w13_pitch", """
+WITH e AS (SELECT vec_id, frame, list_transform(embedding[8 * frame + 1:8 * frame + 48], lambda v: v::DOUBLE) AS v FROM embeddings, range(3) f(frame)),
+c AS (SELECT vec_id, frame, list_transform(v, lambda y: y - list_avg(v)) AS x FROM e),
+l AS (SELECT *, greatest(-120, 20 * log10(sqrt(list_avg(list_transform(x, lambda y: y * y))) + 1e-9)) AS level FROM c),
+lags AS (SELECT vec_id, frame, t, list_sum(list_transform(range(1, 28), lambda j: x[j] * x[j + t])) AS r, list_sum(list_transform(range(1, 28), lambda j: x[j] ^ 2 + x[j + t] ^ 2)) AS m FROM l, range(1, 22) g(t)),
+n AS (SELECT vec_id, frame, t, CASE WHEN m > 1e-12 THEN 2 * r / m ELSE 0 END AS d FROM lags),
+s AS (SELECT *, sum((d > 0 AND before <= 0)::INT) OVER (PARTITION BY vec_id, frame ORDER BY t) AS lobe FROM (SELECT *, lag(d, 1, 1.0) OVER (PARTITION BY vec_id, frame ORDER BY t) AS before FROM n)),
+tops AS (SELECT vec_id, frame, lobe, arg_max(t, (d, -t)) AS t, max(d) AS d FROM s WHERE d > 0 AND lobe > 0 GROUP BY ALL),
+ok AS (SELECT *, max(d) OVER (PARTITION BY vec_id, frame) AS top FROM tops WHERE t BETWEEN 4 AND 20),
+pick AS (SELECT vec_id, frame, any_value(top) AS top, min(t) FILTER (WHERE d >= 0.9 * top) AS t FROM ok GROUP BY ALL),
+near AS (SELECT p.*, x.d AS a, y.d AS b, z.d AS c FROM pick p JOIN n x ON x.vec_id = p.vec_id AND x.frame = p.frame AND x.t = p.t - 1 JOIN n y ON y.vec_id = p.vec_id AND y.frame = p.frame AND y.t = p.t JOIN n z ON z.vec_id = p.vec_id AND z.frame = p.frame AND z.t = p.t + 1),
+shift AS (SELECT *, CASE WHEN a - 2 * b + c <> 0 THEN least(0.5, greatest(-0.5, 0.5 * (a - c) / (a - 2 * b + c))) ELSE 0 END AS s FROM near),
+peak AS (SELECT *, b - 0.25 * (a - c) * s AS p, 8000 / (t + s) AS f FROM shift)
+SELECT l.vec_id, l.frame, round(CASE WHEN level >= -55 AND top >= 0.6 AND p >= 0.6 AND f BETWEEN 400 AND 2000 THEN f ELSE 0 END, 5) AS hz,
+  round(CASE WHEN level < -55 OR top IS NULL THEN 0 WHEN top < 0.6 THEN greatest(0, least(1, top)) WHEN p < 0.6 OR f NOT BETWEEN 400 AND 2000 THEN 0 ELSE least(1, p) END, 6) AS clarity, round(level, 6) AS level_db
+FROM l LEFT JOIN peak USING (vec_id, frame)""")
 def w13(spark, d):
     """Pitch of overlapping frames of the embeddings, read as 8 kHz samples."""
-    e = t(spark, d, "embeddings").select("vec_id", F.inline(arrays.frames_of(F.col("embedding").cast("array<double>"), 32, 8)))
-    return e.withColumn("p", arrays.pitch(8000.0, lowest=400.0, highest=3000.0)(F.col("samples"))).select("vec_id", "frame", "p.*")
+    e = t(spark, d, "embeddings").select("vec_id", F.inline(arrays.frames_of(F.col("embedding").cast("array<double>"), 48, 8)))
+    got = e.withColumn("p", arrays.pitch(8000.0, lowest=400.0, highest=2000.0)(F.col("samples")))
+    return got.select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("p.hz", 5).alias("hz"), F.round("p.clarity", 6).alias("clarity"), F.round("p.level_db", 6).alias("level_db"))
+
+
+@query("j16_includes", """
+WITH u AS (SELECT page_id, x[2] AS lib, x[3] AS l, x[4]::BIGINT AS n FROM (SELECT page_id, [regexp_extract(url, '://([^/]*)/([^/]*)/([0-9]+)', 0), regexp_extract(url, '://([^/]*)/([^/]*)/([0-9]+)', 1), regexp_extract(url, '://([^/]*)/([^/]*)/([0-9]+)', 2), regexp_extract(url, '://([^/]*)/([^/]*)/([0-9]+)', 3)] AS x FROM pages WHERE url IS NOT NULL) WHERE x[1] <> ''),
+f AS (SELECT *, lib LIKE '%.org' AS public, lib || CASE WHEN lib LIKE '%.org' THEN '/include/' ELSE '/' END || l || '/' || n AS path FROM u),
+i AS (SELECT page_id, path, lib, CASE page_id % 4 WHEN 0 THEN l || '/' || (n + 1) WHEN 1 THEN '../en/' || (n + 2) WHEN 2 THEN (n // 8)::VARCHAR ELSE './' || n END AS spelling,
+  CASE page_id % 4 WHEN 0 THEN lib || CASE WHEN public THEN '/include/' ELSE '/' END || l || '/' || l || '/' || (n + 1) WHEN 1 THEN lib || CASE WHEN public THEN '/include/' ELSE '/' END || 'en/' || (n + 2)
+    WHEN 2 THEN lib || CASE WHEN public THEN '/include/' ELSE '/' END || l || '/' || (n // 8) ELSE path END AS beside FROM f),
+names AS (SELECT DISTINCT s, path, lib, public FROM (SELECT path, lib, public, unnest(CASE WHEN public THEN [l || '/' || n] ELSE [n::VARCHAR, l || '/' || n, lib || '/' || l || '/' || n] END) AS s FROM f)),
+own AS (SELECT s, lib, min(path) AS path FROM names GROUP BY ALL),
+best AS (SELECT s, first(path ORDER BY NOT public, path) AS path, first(lib ORDER BY NOT public, path) AS lib, array_to_string(list_sort(list_distinct(list(lib))), ' ') AS libs, count(DISTINCT lib) AS k FROM names GROUP BY s),
+there AS (SELECT DISTINCT path, lib FROM f),
+r AS (SELECT i.page_id, i.spelling, there.path IS NOT NULL AS near, own.path IS NOT NULL AS mine, coalesce(there.path, own.path, best.path) AS target, CASE WHEN there.path IS NOT NULL THEN there.lib WHEN own.path IS NOT NULL THEN i.lib ELSE best.lib END AS target_lib, libs, k
+  FROM i LEFT JOIN there ON there.path = i.beside LEFT JOIN own ON own.s = i.spelling AND own.lib = i.lib LEFT JOIN best ON best.s = i.spelling)
+SELECT page_id, spelling, target, target_lib, contains(target, '/include/') AS is_public, CASE WHEN NOT near AND NOT mine AND k > 1 THEN libs END AS libs FROM r""")
+def j16(spark, d):
+    """The pages' addresses as files, by host: those of .org are public. Each names another by one of four ways."""
+    address = F.regexp_extract("url", r"://([^/]*)/([^/]*)/([0-9]+)", 0)
+    part = lambda k: F.regexp_extract("url", r"://([^/]*)/([^/]*)/([0-9]+)", k)
+    u = t(spark, d, "pages").where(address != "").select("page_id", part(1).alias("lib"), part(2).alias("l"), part(3).cast("long").alias("n"))
+    f = u.withColumn("path", F.concat("lib", F.when(F.col("lib").endswith(".org"), "/include/").otherwise("/"), "l", F.lit("/"), "n"))
+    ways = F.col("page_id") % 4
+    spelling = F.when(ways == 0, F.concat("l", F.lit("/"), F.col("n") + 1)).when(ways == 1, F.concat(F.lit("../en/"), F.col("n") + 2)).when(ways == 2, F.expr("string(n div 8)")).otherwise(F.concat(F.lit("./"), "n"))
+    got = includes.resolve(f.select("page_id", "path", "lib", spelling.alias("spelling")), f.select("path", "lib"))
+    return got.select("page_id", "spelling", "target", "target_lib", "is_public", F.array_join("libs", " ").alias("libs"))
 
 
 def _events(spark, d):
     return t(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at_ms"))
 
 
-@query("t6_follower")
+@query("t6_follower", """
+WITH x AS (SELECT user_id AS key, event_id, event_type, value, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+g AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY key ORDER BY r) AS plays FROM x),
+i AS (SELECT *, CASE WHEN plays > 0 THEN first_value(event_id % 2) OVER (PARTITION BY key, plays ORDER BY r) END AS item FROM g),
+a AS (SELECT *, last_value(CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 2 = item THEN {'at': ms, 'value': value} END IGNORE NULLS) OVER (PARTITION BY key, plays ORDER BY r ROWS UNBOUNDED PRECEDING) AS anchor FROM i)
+SELECT key, ms * 1000 AS at_us, item, CASE WHEN anchor IS NOT NULL THEN greatest(0.0, anchor.value + (ms - anchor.at)) END AS position_ms FROM a WHERE event_type = 'error'""")
 def t6(spark, d):
     kind = F.when(F.col("event_type") == "signup", "document").when(F.col("event_type") == "error", "query").otherwise("anchor")
     e = _events(spark, d).select("key", "event_id", (F.col("at_ms") * 1000).cast("long").alias("at_us"), kind.alias("kind"), (F.col("event_id") % 2).alias("item"), F.col("value").alias("position_ms"), F.lit(1.0).alias("speed"))
     return folds.over_table(e, "key", ["at_us", "event_id"], folds.follower(), "key long, at_us long, item long, position_ms double")
 
 
-@query("t16_power_average")
+@query("t16_power_average", """
+WITH RECURSIVE x AS (SELECT user_id AS key, event_id, event_type, value, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+p AS (SELECT key, r, ms::DOUBLE AS at_ms, CASE WHEN value >= 1200 THEN 0.0 ELSE 10 ^ (-value / 100) END AS p FROM x),
+m(key, r, at_ms, power) AS (SELECT key, r, at_ms, p FROM p WHERE r = 1 UNION ALL SELECT p.key, p.r, p.at_ms, power + (p - power) * (1 - exp(-(p.at_ms - m.at_ms) / 7200000)) FROM m JOIN p ON p.key = m.key AND p.r = m.r + 1)
+SELECT key, at_ms, round(CASE WHEN power > 0 THEN 10 * log10(power) ELSE -120 END, 6) AS db FROM m""")
 def t16(spark, d):
     e = _events(spark, d).select("key", "event_id", "at_ms", (-F.col("value") / 10).alias("db"))
-    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.power_average(tau_s=7200.0), "key long, at_ms double, db double")
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.power_average(tau_s=7200.0), "key long, at_ms double, db double").withColumn("db", F.round("db", 6))
 
 
-@query("t16_ballistic")
+@query("t16_ballistic", """
+WITH RECURSIVE x AS (SELECT user_id AS key, event_id, event_type, value, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+p AS (SELECT key, r, ms::DOUBLE AS at_ms, -value / 10 AS db FROM x),
+m(key, r, at_ms, level, peak, rest) AS (SELECT key, r, at_ms, greatest(db, -120), greatest(db, -120), 7200.0::DOUBLE FROM p WHERE r = 1
+  UNION ALL SELECT key, r, at_ms, now, CASE WHEN now >= peak THEN now WHEN rest > 0 THEN peak ELSE greatest(now, peak - 0.001 * dt) END, CASE WHEN now >= peak THEN 7200.0 WHEN rest > 0 THEN rest - dt ELSE rest END
+  FROM (SELECT p.key, p.r, p.at_ms, (p.at_ms - m.at_ms) / 1000 AS dt, greatest(p.db, level - 0.002 * (p.at_ms - m.at_ms) / 1000) AS now, peak, rest FROM m JOIN p ON p.key = m.key AND p.r = m.r + 1))
+SELECT key, at_ms, round(level, 6) AS level, round(peak, 6) AS peak FROM m""")
 def t16_bar(spark, d):
     e = _events(spark, d).select("key", "event_id", "at_ms", (-F.col("value") / 10).alias("db"))
-    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.ballistic(fall_db=0.002, hold_s=7200.0, peak_fall_db=0.001), "key long, at_ms double, level double, peak double")
+    return folds.over_table(e, "key", ["at_ms", "event_id"], folds.ballistic(fall_db=0.002, hold_s=7200.0, peak_fall_db=0.001), "key long, at_ms double, level double, peak double").withColumns({c: F.round(c, 6) for c in ("level", "peak")})
 
 
-@query("t29_snapshots")
+@query("t29_snapshots", """
+WITH e AS (SELECT user_id AS key, event_id, event_id * 10 AS frame, value AS level, max(floor((event_id * 10 - floor(value * 10)) / 1000)) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT e.key, e.frame, CASE WHEN e.k >= 1 THEN (e.k * 1000)::BIGINT END AS snapshot, CASE WHEN e.k >= 1 THEN s.level END AS level FROM e ASOF LEFT JOIN e s ON e.key = s.key AND e.k * 1000 <= s.frame""")
 def t29(spark, d):
     e = _events(spark, d).select("key", "event_id", (F.col("event_id") * 10).alias("frame"), F.col("value").alias("level"), (F.col("event_id") * 10 - F.floor(F.col("value") * 10)).cast("long").alias("heard"))
     return folds.over_table(e, "key", ["event_id"], folds.snapshots(every=1000), "key long, frame long, snapshot long, level double")

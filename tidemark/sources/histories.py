@@ -98,3 +98,36 @@ def scan_log(spark: SparkSession, path: str, pattern: str, names: list[str]) ->
     clean = F.regexp_replace(F.regexp_replace("value", "\\u001b\\[[0-9;]*[A-Za-z]", ""), r"^\d{4}-\d\d-\d\dT[\d:.]+Z?\s", "")
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), clean.alias("line")).where(F.col("line").rlike(pattern))
     return lines.select("file", *(F.regexp_extract("line", pattern, k + 1).alias(n) for k, n in enumerate(names)))
+
+
+#: A linker map's lines: a section's name with its place, size and origin, the latter alone, the name alone.
+MAP_LINE = r"^\s(\.\w[\w.$-]*)\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(\S+)"
+MAP_BODY = r"^\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(\S+)"
+MAP_NAME = r"^\s(\.\w[\w.$-]*)\s*$"
+
+
+def read_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, seq, section, kind, object, size) of the input sections in linker maps: kind text (code and constants) or
+    bss, object the file's or archive member's name; empty sections and others are left out.
+
+    A long name stands on a line of its own before its body; a line after a name is its body or nothing. The block of
+    discarded sections, up to the next line that is not indented, is not in the image. The lines' order is a map's, so
+    each file is sorted in one task.
+    """
+    ordered = Window.partitionBy("file").orderBy("seq")
+    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    head = F.col("line").startswith("Discarded input sections")
+    state = F.last(F.when(head, F.lit(True)).when(F.col("line").rlike(r"^\S"), F.lit(False)), ignorenulls=True).over(past)
+    lines = numbered_lines(spark, path).withColumns({"head": head, "gone": F.coalesce(state, F.lit(False))}).where(~F.col("gone") | F.col("head"))
+    named = lines.withColumns({"named": ~F.col("head") & F.col("line").rlike(MAP_NAME) & ~F.col("line").rlike(MAP_LINE), "row": F.row_number().over(ordered)})
+    # of names on consecutive lines the first waits for its body, the second is that body's place, and so on
+    other = F.coalesce(F.last(F.when(~F.col("named"), F.col("row")), ignorenulls=True).over(past), F.lit(0))
+    named = named.withColumn("waits", F.col("named") & ((F.col("row") - other) % 2 == 1))
+    before = F.when(F.lag("waits").over(ordered), F.regexp_extract(F.lag("line").over(ordered), MAP_NAME, 1))
+    full, body = F.col("line").rlike(MAP_LINE), F.col("line").rlike(MAP_BODY)
+    section = F.when(full, F.regexp_extract("line", MAP_LINE, 1)).when(body, before)
+    place = F.when(full, F.struct(F.regexp_extract("line", MAP_LINE, 2).alias("size"), F.regexp_extract("line", MAP_LINE, 3).alias("origin"))).otherwise(F.struct(F.regexp_extract("line", MAP_BODY, 1).alias("size"), F.regexp_extract("line", MAP_BODY, 2).alias("origin")))
+    found = named.select("file", "seq", section.alias("section"), place.alias("place")).where("section IS NOT NULL")
+    kind = F.when(F.col("section").rlike(r"^\.(text|rodata)"), "text").when(F.col("section").rlike(r"^\.(bss|tbss)"), "bss")
+    member = F.regexp_replace(F.regexp_replace(F.regexp_replace("place.origin", r"^.*\(", ""), r"\)+$", ""), "^.*/", "")
+    return found.select("file", "seq", "section", kind.alias("kind"), member.alias("object"), F.conv("place.size", 16, 10).cast("long").alias("size")).where("kind IS NOT NULL AND size > 0")
