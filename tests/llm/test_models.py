@@ -1,7 +1,9 @@
 """Token counts against the library; learned models on held-out rows and on odd input."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -91,8 +93,91 @@ def test_gradients_are_those_of_the_loss():
 def test_windows_cover_whole_texts():
     for n in (0, 1, 127, 128, 129, 252, 253, 5000):
         data = np.arange(n, dtype=np.int64).astype(np.uint8) | np.uint8(1)
-        x, counts = language.cut(data, np.array([0, n]))
-        assert counts[0] == len(x) and (n == 0 or (x > 0).sum() == n + (len(x) - 1) * language.OVERLAP)
+        parts = list(language.cut(data, np.array([0, n]), most=7))
+        x = np.concatenate([w for _, w in parts]) if parts else np.zeros((0, language.WINDOW), np.uint8)
+        assert language.window_counts(np.array([0, n]))[0] == len(x) and (n == 0 or (x > 0).sum() == n + (len(x) - 1) * language.OVERLAP)
+    texts = [b"", b"abc" * 100, b"", b"x", b"yz" * 300, b""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = [(r, bytes(w)) for rows, x in language.cut(np.frombuffer(b"".join(texts), np.uint8), offsets, most=3) for r, w in zip(rows, x, strict=True)]
+    step = language.WINDOW - language.OVERLAP
+    assert got == [(k, t[j : j + language.WINDOW].ljust(language.WINDOW, b"\0")) for k, t in enumerate(texts) for j in range(0, max(len(t) - language.OVERLAP, bool(t)), step)]
+
+
+def test_probabilities_are_those_of_a_plain_convolution():
+    net = language.ByteNet(["a", "b", "c"], seed=3)
+    net.weights["bias"] = np.linspace(-1, 1, len(net.weights["bias"])).astype(np.float32)
+    x = np.random.default_rng(0).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
+    for window, got in zip(x, net.predict(x, step=2), strict=True):
+        pooled = []
+        for f in range(language.FILTERS * len(language.WIDTHS)):
+            width = language.WIDTHS[f // language.FILTERS]
+            taps = net.weights["filter"][:, f].reshape(net.width, language.EMBED)
+            assert (taps[width:] == 0).all()
+            places = range(language.WINDOW - net.width + 1)
+            best = max(sum(float(net.weights["embed"][window[p + k]] @ taps[k]) for k in range(width)) for p in places)
+            pooled.append(max(0.0, best + float(net.weights["bias"][f])))
+        z = np.array(pooled) @ net.weights["dense"] + net.weights["shift"]
+        assert np.allclose(got, np.exp(z) / np.exp(z).sum(), atol=1e-5)
+
+
+@pytest.mark.parametrize("name", ["quality", "language"])
+def test_one_very_long_text_takes_bounded_memory(name):
+    import tracemalloc
+
+    data = np.frombuffer(b"Some words, and 12 more of them.\n" * 1_500_000, np.uint8)  # 50 MB
+    offsets, net = np.array([0, len(data)]), language.ByteNet(["a", "b"])
+    tracemalloc.start()
+    try:
+        if name == "quality":
+            got = quality.features(data, offsets)
+            assert np.allclose(got[0, : -4], quality.features(data[:33_000], np.array([0, 33_000]))[0, : -4], atol=1e-3)
+        else:
+            total = 0
+            for _, x in language.cut(data, offsets):
+                total += len(x)
+                if total == len(x):
+                    net.predict(x)
+            assert total == language.window_counts(offsets)[0]
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_features_of_pieces_are_those_of_whole_texts(monkeypatch):
+    texts = [b"", b"Hello, World 1\n", "Stra\u00dfe \u00e9".encode() * 9, b"x", b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = quality.features(data, offsets)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(quality, "BYTES", size)
+        assert (quality.features(data, offsets) == whole).all()
+    for t, row in zip(texts, whole, strict=True):
+        pairs = Counter(zip(quality.CLASS[list(t)], quality.CLASS[list(t)[1:]], strict=False)) if t else Counter()
+        want = np.zeros((quality.CLASSES, quality.CLASSES))
+        for (p, q), n in pairs.items():
+            want[p, q] = math.sqrt(n / len(t))
+        assert np.allclose(row[: quality.CLASSES**2].reshape(want.shape), want, atol=1e-6)
+
+
+def test_training_lowers_a_plain_non_negative_risk():
+    """Against the risk written out over scaled rows: training ends near the least that small steps from it can find."""
+    rng = np.random.default_rng(1)
+    p = rng.normal(0.8, 1, (300, 6)).astype(np.float32) * np.array([1, 5, 0.2, 1, 1, 30], np.float32)
+    u = np.concatenate([rng.normal(0.8, 1, (240, 6)), rng.normal(-0.8, 1, (560, 6))]).astype(np.float32) * np.array([1, 5, 0.2, 1, 1, 30], np.float32)
+    model = quality.train(p, u, 0.3)
+
+    def risk(w, b):
+        z = lambda x: ((x - model.mean) / model.scale) @ w + b
+        loss = lambda z: np.log1p(np.exp(-z))
+        return 0.3 * loss(z(p)).mean() + max(0.0, loss(-z(u)).mean() - 0.3 * loss(-z(p)).mean())
+
+    start, end = risk(np.zeros(6), 0.0), risk(model.weights, model.bias)
+    assert abs(start - math.log(2)) < 1e-6 and end < 0.6 * start
+    for k in range(6):
+        for d in (-0.2, 0.2):
+            w = model.weights.copy()
+            w[k] += d
+            assert risk(w, model.bias) > end - 0.01
+    assert np.allclose(model.mean, u.mean(0), atol=1e-4)
 
 
 def test_quality(spark):

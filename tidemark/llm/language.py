@@ -15,21 +15,30 @@ from tidemark.llm.common import slices, text_buffer
 
 #: Bytes of a window and of the overlap of neighbours; embedding size; filter widths and filters of each.
 WINDOW, OVERLAP, EMBED, WIDTHS, FILTERS = 128, 4, 8, (2, 3, 5), 16
-#: Rows and windows of each that training uses at the most; passes over them; windows of a step.
-TRAIN_ROWS, TRAIN_WINDOWS, PASSES, STEP = 6_000, 3, 4, 128
+#: Rows and windows of each that training uses at the most; passes over them; windows of a step; windows that are cut at once.
+TRAIN_ROWS, TRAIN_WINDOWS, PASSES, STEP, CUT = 6_000, 3, 4, 128, 4096
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of all rows, padded with zeros, and how many each row has (an empty row: none)."""
+def window_counts(offsets: np.ndarray) -> np.ndarray:
+    """How many windows each row has (an empty row: none)."""
     sizes = np.diff(offsets)
-    stride = WINDOW - OVERLAP
-    counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - OVERLAP) // stride)), 0)
-    row = np.repeat(np.arange(len(sizes)), counts)
-    first = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
-    at = first[:, None] + np.arange(WINDOW)
+    return np.where(sizes > 0, np.maximum(1, -(-(sizes - OVERLAP) // (WINDOW - OVERLAP))), 0)
+
+
+def windows_at(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The windows at the given places of the given rows, padded with zeros."""
+    at = (offsets[:-1][row] + place * (WINDOW - OVERLAP))[:, None] + np.arange(WINDOW)
     inside = at < offsets[1:][row][:, None]
-    padded = np.append(data, np.uint8(0))
-    return np.where(inside, padded[np.minimum(at, len(data))], 0).astype(np.uint8), counts
+    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, 0).astype(np.uint8)
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, most: int = CUT):
+    """All rows' windows in order, `most` at a time: (rows, windows)."""
+    ends = np.cumsum(window_counts(offsets))
+    for k in range(0, int(ends[-1]) if len(ends) else 0, most):
+        number = np.arange(k, min(k + most, int(ends[-1])))
+        row = np.searchsorted(ends, number, "right")
+        yield row, windows_at(data, offsets, row, number - np.where(row > 0, ends[row - 1], 0))
 
 
 class ByteNet:
@@ -116,15 +125,13 @@ class ByteNet:
 def training_windows(batches):
     """For mapInArrow over (label, text): up to `TRAIN_WINDOWS` evenly spaced windows of each text."""
     for piece in slices(batches, "text"):
-        x, counts = cut(*text_buffer(piece.column(1)))
-        starts = np.cumsum(counts) - counts
-        rows, labels = [], []
-        for k, label in enumerate(piece.column(0).to_pylist()):
-            n = min(TRAIN_WINDOWS, int(counts[k]))
-            for j in range(n):
-                rows.append(x[starts[k] + j * int(counts[k]) // n].tobytes())
-                labels.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(rows, pa.binary())], ["label", "window"])
+        data, offsets = text_buffer(piece.column(1))
+        counts = window_counts(offsets)
+        row = np.repeat(np.arange(len(counts)), np.minimum(TRAIN_WINDOWS, counts))
+        each = np.minimum(TRAIN_WINDOWS, counts)[row]
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        x = windows_at(data, offsets, row, number * counts[row] // np.maximum(1, each))
+        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "window"])
 
 
 def fit(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "lang", most_rows: int = TRAIN_ROWS) -> ByteNet:
@@ -162,11 +169,13 @@ def predict(docs: DataFrame, net: ByteNet, *, id: str = "doc_id", text: str = "t
     def run(batches):
         net = sent.value
         for piece in slices(batches, "text", 1 << 20):
-            x, counts = cut(*text_buffer(piece.column(1)))
+            data, offsets = text_buffer(piece.column(1))
+            counts = window_counts(offsets)
             known = np.array([has_letter(t) for t in piece.column(1).to_pylist()], bool) & (len(net.classes) > 0)
             total = np.zeros((len(counts), max(1, len(net.classes))))
             if net.classes:
-                np.add.at(total, np.repeat(np.arange(len(counts)), counts), net.predict(x))
+                for row, x in cut(data, offsets):
+                    np.add.at(total, row, net.predict(x))
             mean = total / np.maximum(1, counts)[:, None]
             best = mean.argmax(1)
             names = [net.classes[b] if k else unknown for b, k in zip(best, known, strict=True)]

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, slices, text_buffer
 
-#: Positives and unlabelled rows that training uses at the most; rows that are described at once, 15 KB of counts each.
-POSITIVES, UNLABELLED, ROWS = 4_000, 8_000, 256
+#: Positives and unlabelled rows that training uses at the most; rows that are described at once, 15 KB of counts each;
+#: bytes that are counted at once, some 40 bytes of memory each.
+POSITIVES, UNLABELLED, ROWS, BYTES = 4_000, 8_000, 256, 1 << 20
 
 
 def byte_classes() -> tuple[np.ndarray, int]:
@@ -36,11 +37,15 @@ FEATURES = CLASSES * CLASSES + CLASSES + 4
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Square roots of relative frequencies, so that rare pairs count, and log length, line, word and case measures."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes)
-    kind = CLASS[data]
-    one = np.bincount(row * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float32)
-    same = row[1:] == row[:-1]
-    two = np.bincount((row[1:] * CLASSES + kind[:-1])[same] * CLASSES + kind[1:][same], minlength=n * CLASSES**2).reshape(n, -1).astype(np.float32)
+    one, two = np.zeros(n * CLASSES, np.int64), np.zeros(n * CLASSES**2, np.int64)
+    for at in range(0, len(data), BYTES):
+        first, end = max(0, at - 1), min(len(data), at + BYTES)  # the byte before, for its pair
+        row = np.repeat(np.arange(n), np.diff(np.clip(offsets, first, end)))
+        kind = CLASS[data[first:end]]
+        one += np.bincount(row[at - first :] * CLASSES + kind[at - first :], minlength=len(one))
+        same = row[1:] == row[:-1]
+        two += np.bincount((row[1:] * CLASSES + kind[:-1])[same] * CLASSES + kind[1:][same], minlength=len(two))
+    one, two = one.reshape(n, CLASSES).astype(np.float32), two.reshape(n, CLASSES**2).astype(np.float32)
     total = np.maximum(1, sizes)[:, None]
     spaces, lines, upper = one[:, CLASS[32]], one[:, CLASS[10]], one[:, CLASS[65]]
     whole = np.stack([np.log1p(sizes) / 8, np.log1p(sizes / (lines + 1)) / 6, np.log1p(sizes / (spaces + lines + 1)) / 3, upper / total[:, 0]], 1)
@@ -64,18 +69,19 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
     mean = unlabelled.mean(0)
     scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", unlabelled, unlabelled, dtype=np.float64) / len(unlabelled) - mean.astype(np.float64) ** 2, 0)), 0.01).astype(np.float32)
     p, u = positive, unlabelled
-    scaled = lambda x: (x - mean) / scale  # noqa: E731  only the rows of a step are scaled: the tables are not copied
     rng = np.random.default_rng(seed)
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
-    times = lambda x, w: np.einsum("ij,j->i", x, w)  # noqa: E731  small products: a library's threads would only wait
+    # rows are not scaled, the weights are: (x - mean) / scale . w = x . (w / scale) - mean . (w / scale)
+    times = lambda x, v: np.einsum("ij,j->i", x, v)  # noqa: E731  small products: a library's threads would only wait
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         i, j = rng.integers(0, len(p), min(len(p), 512)), rng.integers(0, len(u), min(len(u), 1024))
-        pi, uj = scaled(p[i]), scaled(u[j])
-        sp, su = sigmoid(times(pi, w) + b), sigmoid(times(uj, w) + b)
+        pi, uj, v_ = p[i], u[j], w / scale
+        shift = b - float(mean @ v_)
+        sp, su = sigmoid(times(pi, v_) + shift), sigmoid(times(uj, v_) + shift)
         negative = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
-        of = lambda x, d: np.append(np.einsum("ij,i->j", x, d), d.sum()) / len(d)
+        of = lambda x, d: np.append((np.einsum("ij,i->j", x, d) - mean * d.sum()) / scale, d.sum()) / len(d)
         fall = of(uj, su) - prior * of(pi, sp)  # gradient of the negative part
         g = prior * of(pi, sp - 1) + fall if negative >= 0 else -fall
         g[:-1] += ridge * w
