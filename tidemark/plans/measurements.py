@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import arrays, audio
+from tidemark.functions import arrays, audio, text
 from tidemark.operators import census, compare, includes, stats, timeline, trailing
 from tidemark.plans.series import query, t
 from tidemark.sources import histories, sinks
 from tidemark.sources.shared import shared_path
-from tidemark.streaming import folds, windows
+from tidemark.streaming import folds, reports, windows
 
 
 @query("p1_trailing_mean", """
@@ -335,3 +335,23 @@ def p16(spark, d):
 def o7(spark, d):
     """A case for each order: rate, channels and length by the master seed and the case's number alone."""
     return t(spark, d, "orders").select("o_orderkey", *(audio.draw(7, F.col("o_orderkey"), name, among).alias(name) for name, among in (("rate", [44_100, 48_000, 96_000]), ("channels", [1, 2, 6, 8]), ("blocks", list(range(1, 7))))))
+
+
+@query("t19_merged_report", """
+WITH x AS (SELECT event_type AS stream, event_id AS seq, event_id % 3 * 50 + 100 AS size, CASE WHEN event_id % 5 <> 0 THEN 8000 * (event_id % 4 + 1) END AS rate, CASE WHEN event_id % 7 = 0 THEN user_id END AS layout FROM events),
+g AS (SELECT stream, count(*) AS units, sum(size)::BIGINT AS bytes, arg_min(rate, CASE WHEN rate IS NOT NULL THEN seq END)::BIGINT AS rate, min(size) <> max(size) AS variable, arg_min(layout, CASE WHEN layout IS NOT NULL THEN seq END) AS first_layout, count(*) * 1536 AS samples FROM x GROUP BY stream)
+SELECT stream, units, bytes, rate, variable, first_layout, round(CASE WHEN rate > 0 THEN samples / rate ELSE 0 END, 6) AS seconds, round(bytes * 8 / (samples / rate) / 1000, 6) AS kbps FROM g""")
+def t19(spark, d):
+    """Parts of the streams by day, merged to one report of each stream."""
+    k = F.col("event_id")
+    x = t(spark, d, "events").select(F.col("event_type").alias("stream"), k.alias("seq"), F.to_date("ts").alias("day"), (k % 3 * 50 + 100).alias("size"), F.lit(1536).alias("samples"), F.when(k % 5 != 0, 8000 * (k % 4 + 1)).alias("rate"), F.when(k % 7 == 0, F.col("user_id")).alias("layout"))
+    parts = reports.part_of(x, ["stream", "day"], size="size", samples="samples", rate="rate", seq="seq", first=["layout"])
+    return reports.report(parts.drop("day"), ["stream"]).withColumns({c: F.round(c, 6) for c in ("seconds", "kbps")})
+
+
+@query("fn_text_direction", r"""
+SELECT doc_id, regexp_matches(regexp_extract(text, '[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2FFF}\x{3040}-\x{FDFF}\x{FE10}-\x{FFFC}\x{FFFE}-\x{10FFFF}]'), '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}]') AS right_to_left,
+  NOT regexp_matches(text, '[^\x{00}-\x{7F}\x{A0}-\x{FF}]') AS covered FROM documents""")
+def fn_text_direction(spark, d):
+    """Direction of every text, and whether a font of Latin-1's printed characters covers it."""
+    return t(spark, d, "documents").select("doc_id", text.is_right_to_left(F.col("text")).alias("right_to_left"), text.is_covered(F.col("text"), [(0x20, 0x7E), (0xA0, 0xFF)]).alias("covered"))

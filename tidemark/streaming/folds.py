@@ -12,6 +12,7 @@ import math
 import typing
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -217,6 +218,43 @@ def heavy_control(step_db: float) -> Fold:
     return start, step
 
 
+def resampler(up: int, down: int, *, stop_db: float = 100.0, passed: float = 0.86) -> Fold:
+    """Rows (samples) of blocks of any sizes: (first, samples) of what each completes at up / down times the rate.
+
+    After n samples there are floor(n up / down) of the new rate, the same however the blocks are cut: a polyphase
+    low-pass (Kaiser window, `passed` of the lower rate's band), with silence before the first sample. The output lags by
+    half the filter; the state is what of the input the filter can still see.
+    """
+    common = math.gcd(up, down)
+    up, down = up // common, down // common
+    low = min(1.0, up / down)  # the lower of both bands, in halves of the input's rate
+    cut, width = low * (1 + passed) / 2, low * (1 - passed)
+    half = math.ceil((stop_db - 8) / (2.285 * math.pi * width) / 2)
+    shape = np.i0(0.1102 * (stop_db - 8.7) * np.sqrt(np.maximum(0.0, 1 - np.linspace(-1, 1, 2 * half * up + 1) ** 2)))
+    taps = np.sinc(cut * np.arange(-half * up, half * up + 1) / up) * shape
+    # each phase passes a constant as it is
+    phases = [(p := taps[k::up]) / p.sum() for k in range(up)]
+
+    def start():
+        return {"n": 0, "tail": []}
+
+    def step(s, r):
+        x = np.concatenate([s["tail"], np.asarray(r.samples if r.samples is not None else [], float)])
+        n0, n1 = s["n"], s["n"] + len(x) - len(s["tail"])
+        first, last = n0 * up // down, n1 * up // down
+        base = n0 - len(s["tail"])  # the input sample of x[0]
+        out = []
+        for m in range(first, last):
+            at, phase = divmod(m * down, up)  # the newest input sample that is seen, and how far on
+            h = phases[phase]
+            k = at - np.arange(len(h)) - base
+            out.append(float(h @ np.where((k >= 0) & (k < len(x)), x[np.clip(k, 0, max(0, len(x) - 1))], 0.0)) if len(x) else 0.0)
+        s.update({"n": n1, "tail": x[-(2 * half + 1) - down :].tolist()})
+        return first, out
+
+    return start, step
+
+
 def notes(*, split_cents: float = 70.0, bridge: int = 3, least: int = 6) -> Fold:
     """Rows (grid_idx, hz) with hz 0 for silence, ended by a row with a negative hz: notes as they end.
 
