@@ -139,6 +139,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("c1", "k", 1.0), ("c2", "k", 2.0)], h.schema)
     assert sinks.append_new(rows, h, ["commit", "k"], str(tmp_path / "out")).count() == 2
     assert [r.commit for r in spark.read.json(str(tmp_path / "out")).collect()] == ["c2"]
+    twice = rows.unionByName(rows)  # a batch that repeats itself is appended once
+    assert sinks.append_new(twice, None, ["commit", "k"], str(tmp_path / "once")).count() == 4 and spark.read.json(str(tmp_path / "once")).count() == 2
     many = spark.range(100).select((F.col("id") / 4).cast("int").cast("string").alias("commit"), F.col("id").alias("seq"))
     assert not sinks.write_recent(many, "commit", "seq", str(tmp_path / "w"), n=25) and sinks.write_recent(many, "commit", "seq", str(tmp_path / "w"), n=3)
     assert sorted(r.seq for r in spark.read.json(str(tmp_path / "w")).collect()) == list(range(88, 100))

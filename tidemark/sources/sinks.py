@@ -22,9 +22,10 @@ def tidy_trace(blocks: DataFrame, arrays: dict[str, str], *, keys: tuple[str, ..
 
 
 def append_new(rows: DataFrame, history: DataFrame | None, keys: list[str], path: str) -> DataFrame:
-    """Appends rows whose keys the history hasn't, as JSON lines; returns all rows, so that they are judged anyway."""
+    """Appends rows whose keys the history hasn't, one of each key, as JSON lines; returns all rows, so that they are
+    judged anyway."""
     new = rows if history is None else unrecorded(rows, history, keys)
-    new.write.mode("append").json(path)
+    new.dropDuplicates(keys).write.mode("append").json(path)
     return rows
 
 
