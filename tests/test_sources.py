@@ -148,6 +148,20 @@ def test_sinks(spark, tmp_path):
     assert json.loads(one.b) == {"schemaVersion": 1, "label": "a", "message": "b", "color": "red"} and one.r == "| 1 | - | new |"
 
 
+def test_changed_files_and_beds(spark, tmp_path):
+    import hashlib
+
+    for name in ("a.wav", "b.wav", "c.wav"):
+        (tmp_path / name).write_bytes(name.encode() * 1000)
+    sha = lambda x: hashlib.sha256(x.encode() * 1000).hexdigest()
+    manifest = spark.createDataFrame([("a.wav", sha("a.wav").upper()), ("b.wav", sha("x")), ("d.wav", sha("d.wav")), ("c.wav", None)], "name string, sha256 string")
+    got = lambda m: sorted(map(tuple, histories.changed_files(spark, str(tmp_path), m).collect()))
+    assert got(manifest) == [("b.wav", "changed"), ("c.wav", "changed"), ("d.wav", "missing")]
+    assert got(manifest.limit(0)) == [(n, "unlisted") for n in ("a.wav", "b.wav", "c.wav")]
+    beds = spark.createDataFrame([(0,), (0b1110000000 + 0b1000000,), (0x3FF,), (0b0010000000,), (None,)], "m int").select(audio.bed_channels(F.col("m")).alias("n"))
+    assert [r.n for r in beds.collect()] == [0, 6, 17, 1, None]
+
+
 def test_published_examples(spark):
     h = spark.createDataFrame([(0, "a", [10.0]), (1, "a", [20.0, 30.0]), (2, "a", [40.0, 50.0]), (3, "a", [0.0, 0.0])], "seq int, leg string, ch array<double>")
     assert trailing.trailing_channels(h, ["leg"], ["seq"], "ch").where("seq = 3").first().baseline == [30.0, 40.0]

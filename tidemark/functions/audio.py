@@ -202,3 +202,13 @@ def draw(seed: int, case: Column, name: str, among: list) -> Column:
     """One of the values for a case, by the seed, the case's number and the name of what is drawn: a case drawn alone is
     the same as among others."""
     return F.element_at(F.array(*map(F.lit, among)), (F.pmod(F.xxhash64(F.lit(seed), case, F.lit(name)), F.lit(len(among))) + 1).cast("int"))
+
+
+#: The bits of a bed's mask that stand for pairs of channels.
+BED_PAIRS = 0b1001111110
+
+
+def bed_channels(mask: Column) -> Column:
+    """Channels of a bed by its ten-bit mask: pairs count twice."""
+    ten = mask.bitwiseAND(0x3FF)
+    return F.bit_count(ten) + F.bit_count(ten.bitwiseAND(BED_PAIRS))

@@ -131,3 +131,12 @@ def read_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
     kind = F.when(F.col("section").rlike(r"^\.(text|rodata)"), "text").when(F.col("section").rlike(r"^\.(bss|tbss)"), "bss")
     member = F.regexp_replace(F.regexp_replace(F.regexp_replace("place.origin", r"^.*\(", ""), r"\)+$", ""), "^.*/", "")
     return found.select("file", "seq", "section", kind.alias("kind"), member.alias("object"), F.conv("place.size", 16, 10).cast("long").alias("size")).where("kind IS NOT NULL AND size > 0")
+
+
+def changed_files(spark: SparkSession, folder: str, manifest: DataFrame, *, name: str = "name", digest: str = "sha256") -> DataFrame:
+    """(name, state) of a folder's files that are not as a manifest has them: missing, changed (by SHA-256) or unlisted."""
+    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("found"))
+    listed = manifest.select(F.col(name).alias("name"), F.lower(digest).alias("wanted"))
+    both = listed.withColumn("l", F.lit(True)).join(there.withColumn("t", F.lit(True)), "name", "full")
+    state = F.when(F.col("t").isNull(), "missing").when(F.col("l").isNull(), "unlisted").when(~F.col("wanted").eqNullSafe(F.col("found")), "changed")
+    return both.select("name", state.alias("state")).where("state IS NOT NULL")
