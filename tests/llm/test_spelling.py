@@ -86,3 +86,12 @@ def test_query_on_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, run string, word int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, op12_spelling_variants(spark, str(tmp_path)).collect())) == brute(rule(rows))
+
+
+def test_what_grows_with_the_vocabulary_is_not_sent(spark):
+    """Whatever Spark takes the tables to be: only the counts of bigrams, which the alphabet bounds, may go through the driver."""
+    draw = random.Random(8)
+    words = spark.createDataFrame([("".join(draw.choice("abcd") for _ in range(7)) + str(k), 5 + k) for k in range(300)], WORDS)
+    for frame, sent in ((spelling.near_pairs(words), 1), (spelling.variants(words), 0)):
+        frame.collect()
+        assert frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastHashJoin") == sent

@@ -62,7 +62,8 @@ def _keys(longer: int):
 def near_pairs(words: DataFrame) -> DataFrame:
     """(u, u_n, v, v_n) of all pairs of words (word, n) that one inserted, deleted or replaced code point tells apart, once each.
 
-    Words of fewer than six code points may be missed: they have too few bigrams.
+    Words of fewer than six code points may be missed: they have too few bigrams. Both sides of the join grow with the
+    vocabulary, and Spark's estimate leaves out what explode() makes of a row; so it is told not to send either of them.
     """
     first = rarest_bigrams(words)
     same = first.select("word", "n", F.explode(_keys(0)).alias("key"))
@@ -70,7 +71,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left = same.select("key", F.col("word").alias("u"), F.col("n").alias("u_n"))
     right = same.withColumn("longer", F.lit(False)).unionByName(long.withColumn("longer", F.lit(True)))
     right = right.select("key", F.col("word").alias("v"), F.col("n").alias("v_n"), "longer")
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("longer") | (F.col("u") < F.col("v"))) & (F.levenshtein("u", "v", 1) == 1))
+    met = left.join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("longer") | (F.col("u") < F.col("v"))) & (F.levenshtein("u", "v", 1) == 1))
     return met.select("u", "u_n", "v", "v_n").distinct()
 
 
@@ -98,8 +99,8 @@ def roots(links: DataFrame) -> DataFrame:
             forget(spark, old)
         old, rows = path, spark.read.schema("word string, root string").parquet(path)
         onward = rows.select(F.col("word").alias("root"), F.col("root").alias("onward"))
-        moved = bool(rows.join(onward, "root", "left_semi").head(1))
-        now = rows.join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root"))
+        moved = bool(rows.join(onward.hint("merge"), "root", "left_semi").head(1))
+        now = rows.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("onward", "root").alias("root"))
     return rows
 
 
@@ -117,5 +118,5 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     nearest_forms(words, ratio).write.parquet(at)
     forms = spark.read.schema("word string, n_near long, form string, form_n long").parquet(at)
     ends = roots(forms.where("form IS NOT NULL").select("word", "form"))
-    found = words.join(forms, "word", "left").join(ends, "word", "left")
+    found = words.join(forms.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")
     return found.select("word", "n", "form", "form_n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("root", "word").alias("root"))
