@@ -342,3 +342,18 @@ def test_keyframes_pitch_and_json_numbers(spark):
     assert [r.hz for r in got if r.id == 1] == [0.0, 0.0] and [(r.frame, r.hz) for r in got if r.id > 1] == [(None, None)] * 2
     texts = spark.createDataFrame([('{"v": 3}',), ('{"v": 2.5}',), ('{"v": true}',), ('{"v": "7"}',), ("{}",), ("broken",), (None,)], "j string")
     assert [r.n for r in texts.select(audio.json_number(F.col("j"), "v").alias("n")).collect()] == [3.0, 2.5, None, None, None, None, None]
+
+
+def test_snapshots_cost_the_same_far_from_zero():
+    """Frames that begin at 10^15, with holes: what is released is the newest multiple that was heard, the state stays small."""
+    rnd, fold = random.Random(3), folds.snapshots(every=10)
+    state, frame, rows, got = fold[0](), 10**15, [], []
+    for _ in range(2000):
+        frame += rnd.choice([1, 3, 40, 10**6])
+        rows.append(SimpleNamespace(frame=frame, level=float(rnd.randrange(1000)), heard=frame - rnd.choice([0, 5, 60, 3 * 10**6])))
+        got.append(fold[1](state, rows[-1]))
+        assert len(state["held"]) < 2000
+    best = -1
+    for k, r in enumerate(rows):
+        best = max(best, r.heard // 10 * 10)
+        assert got[k] == (r.frame, best, next(x.level for x in rows if x.frame >= best))

@@ -460,17 +460,29 @@ class _Anchor(typing.NamedTuple):
 
 def snapshots(*, every: int) -> Fold:
     """Rows (frame, level, heard): a snapshot of the latest level at each multiple of `every` frames is held until the
-    heard position has reached it; each row gives the newest that was released, or nulls."""
+    heard position has reached it; each row gives the newest that was released, or nulls.
+
+    The multiples that one row reaches share its level and are held as one stretch, [first, last, level], so a row costs
+    the same however far its frame is from the one before or from 0. Stretches before `at` have been released.
+    """
 
     def start():
-        return {"next": every, "held": [], "out": [None, None]}
+        return {"next": every, "held": [], "at": 0, "out": [None, None]}
 
     def step(s, r):
-        while r.frame >= s["next"]:
-            s["held"].append([s["next"], float(r.level)])
-            s["next"] += every
-        while s["held"] and s["held"][0][0] <= r.heard:
-            s["out"] = s["held"].pop(0)
+        held = s["held"]
+        if r.frame >= s["next"]:
+            last = int(r.frame // every) * every
+            held.append([s["next"], last, float(r.level)])
+            s["next"] = last + every
+        while s["at"] < len(held) and held[s["at"]][0] <= r.heard:
+            stretch = held[s["at"]]
+            s["out"] = [min(stretch[1], int(r.heard // every) * every), stretch[2]]
+            stretch[0] = s["out"][0] + every
+            s["at"] += stretch[0] > stretch[1]
+        if 2 * s["at"] > len(held):
+            del held[: s["at"]]
+            s["at"] = 0
         return int(r.frame), s["out"][0], s["out"][1]
 
     return start, step
