@@ -357,3 +357,20 @@ def test_snapshots_cost_the_same_far_from_zero():
     for k, r in enumerate(rows):
         best = max(best, r.heard // 10 * 10)
         assert got[k] == (r.frame, best, next(x.level for x in rows if x.frame >= best))
+
+
+def test_baselines_of_sparse_series_take_one_sort(spark, monkeypatch):
+    """Series whose commits have few records each side by side are not dealt with by stretches, crowded ones are; both and
+    series with ties and null commits are as a plain loop has them."""
+    seen, slow = [], trailing._with_stretches
+    monkeypatch.setattr(trailing, "_with_stretches", lambda df, *a: seen.append({r.leg for r in df.select("leg").distinct().collect()}) or slow(df, *a))
+    draw = random.Random(13)
+    commits = {"sparse": lambda k: f"c{k // 2 % 7 if k % 40 == 1 else k % 7}", "crowded": lambda k: draw.choice("xxxxxxxy"), "alternating": lambda k: "xy"[k % 2], "null": lambda k: draw.choice([None, "x"])}
+    rows = [(leg, k, f(k), [float(draw.randrange(9)), float(k)]) for leg, f in commits.items() for k in range(120)]
+    df = spark.createDataFrame([*rows, (None, 900, "x", [1.0]), (None, 901, "y", [1.0])], "leg string, seq int, commit string, v array<double>")
+    got = {(r.leg, r.seq): r.baseline for r in trailing.trailing_channels(df, ["leg"], ["seq"], "v", n=4, commit="commit").collect()}
+    assert len(seen) == 1 and "crowded" in seen[0] and not {"sparse", "alternating"} & seen[0]
+    assert got.pop((None, 900)) is None and got.pop((None, 901)) is None
+    for leg, seq, commit, _ in rows:
+        past = [v for g, s, c, v in rows if g == leg and s < seq and (c is None or c != commit)][-4:]
+        assert got[leg, seq] == ([sum(x[k] for x in past) / len(past) for k in range(2)] if past else None)

@@ -11,21 +11,44 @@ BASELINE, SOFT, HARD, RECENT = 10, 0.20, 1.00, 80
 
 def with_others(df: DataFrame, keys: list[str], order: list[str], values: list[str], commit: str, n: int, out: str = "_past") -> DataFrame:
     """The rows with `out`: the last `n` earlier records of the series that are of another commit than the row's, oldest
-    first, as structs of `values`; null where a key is null.
+    first, as structs of the commit (`_commit`) and `values`; null where a key is null.
 
     A run is judged against what came before its commit, not against copies of its own numbers. A null commit is no
-    commit: such records are never left out. Records in a row of one commit see the same past, so it is found once for
-    each such stretch, from the last `n` records of the stretches before it. Of two stretches side by side one is of
-    another commit, so twice `n` of them do: what a row holds never depends on how many records a commit has.
+    commit: such records are never left out. Of the last 2 `n` records more than `n` can be of the row's own commit only
+    if at least two of these and the row follow a record of their own commit. Series without such a place take their past
+    from those 2 `n`, in one sort; the others from stretches, see _with_stretches. Ties in `order` are in that of commits,
+    so that both sides tell the same series apart.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order, *({commit} - set(order)))
+    again = F.coalesce(F.lag(commit).over(w) == F.col(commit), F.lit(False))
+    df = df.withColumn("_again", again.cast("int"))
+    crowded = (F.sum("_again").over(w.rowsBetween(1 - 2 * n, 0)) >= 2) & (F.row_number().over(w) > 2 * n + 1)
+    df = df.withColumn("_crowded", crowded).withColumn("_crowded", F.max("_crowded").over(Window.partitionBy(*keys)))
+    before = F.collect_list(F.struct(F.col(commit).alias("_commit"), *values)).over(w.rowsBetween(-2 * n, -1))
+    others = F.filter("_before", lambda x: ~F.coalesce(x["_commit"] == F.col(commit), F.lit(False)))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    plain = df.where("not _crowded").withColumn("_before", before).withColumn("_others", others)
+    plain = plain.withColumn(out, F.when(known, F.slice("_others", F.greatest(F.lit(1), F.size("_others") - n + 1), n)))
+    crowd = _with_stretches(df.where("_crowded").drop("_again", "_crowded"), keys, order, values, commit, n, out)
+    return plain.drop("_again", "_crowded", "_before", "_others").unionByName(crowd)
+
+
+def _with_stretches(df: DataFrame, keys: list[str], order: list[str], values: list[str], commit: str, n: int, out: str) -> DataFrame:
+    """with_others at a cost that doesn't depend on how many records a commit has.
+
+    Records in a row of one commit see the same past, so it is found once for each such stretch, from the last `n`
+    records of the stretches before it. Of two stretches side by side one is of another commit, so twice `n` of them do.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     fresh = ~F.coalesce(F.lag(commit).over(w) == F.col(commit), F.lit(False))
     df = df.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     back = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*(F.desc(o) for o in order)))
     ends = df.withColumn("_back", back).where(F.col("_back") <= n)
-    runs = ends.groupBy(*keys, "_run").agg(F.first(commit).alias("_commit"), F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), *values))).alias("_last"))
+    runs = ends.groupBy(*keys, "_run").agg(F.first(commit).alias("_commit"), F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), F.struct(F.col(commit).alias("_commit"), *values).alias("_values")))).alias("_last"))
     before = F.collect_list(F.struct("_commit", "_last")).over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(-2 * n, -1))
-    others = F.flatten(F.transform(F.filter(before, lambda x: ~F.coalesce(x["_commit"] == F.col("_commit"), F.lit(False))), lambda x: x["_last"]))
+    others = F.flatten(F.transform(F.filter(before, lambda x: ~F.coalesce(x["_commit"] == F.col("_commit"), F.lit(False))), lambda x: F.transform(x["_last"], lambda y: y["_values"])))
     past = runs.withColumn("_others", others).select(*keys, "_run", F.slice("_others", F.greatest(F.lit(1), F.size("_others") - n + 1), n).alias(out))
     return df.join(past, [*keys, "_run"], "left").drop("_run")
 
@@ -60,10 +83,9 @@ def trailing_channels(df: DataFrame, keys: list[str], order: list[str], channels
         df = with_others(df, keys, order, [channels], commit, n).select(*kept, F.transform("_past", lambda x: x[channels]).alias("_past"))
     else:
         df = df.withColumn("_past", F.collect_list(channels).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)))
-    got = F.col("_past")
-    same = F.filter(got, lambda x: F.size(x) == F.size(F.element_at(got, -1)))
-    mean = F.transform(F.sequence(F.lit(0), F.size(F.element_at(got, -1)) - 1), lambda k: F.aggregate(same, F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size(same))
-    return df.withColumn(out, F.when(F.size(got) > 0, mean)).drop("_past")
+    df = df.withColumn("_many", F.size(F.try_element_at("_past", F.lit(-1)))).withColumn("_same", F.filter("_past", lambda x: F.size(x) == F.col("_many")))
+    mean = F.transform(F.sequence(F.lit(0), F.col("_many") - 1), lambda k: F.aggregate("_same", F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size("_same"))
+    return df.withColumn(out, F.when(F.size("_past") > 0, mean)).drop("_past", "_many", "_same")
 
 
 def like_for_like(df: DataFrame, keys: list[str], machine: str, order: list[str], value: str, *, n: int = BASELINE, commit: str | None = None) -> DataFrame:
