@@ -393,3 +393,19 @@ def test_log_ratios_are_those_of_a_plain_kneser_ney(spark):
     p = lambda y, w: max(len(before[y][w]) - 0.75, 0) / total[y] + left[y] * q[w] / sum(q.values())
     want = sorted(x for w in q if abs(x := math.log(p(1, w) / p(0, w))) > 1e-6)
     assert len(want) > 15 and np.allclose(got, want, rtol=1e-4, atol=1e-6)
+
+
+def test_places_are_those_of_their_hashes(spark):
+    """Each distinct hash once and in order, so that tables are searched in order; long chunks are counted once a piece."""
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        hashes = rnd.integers(0, 700, n).astype(np.uint64) << np.uint64(50)
+        distinct, place, number = token_counts.places(hashes)
+        assert (np.diff(distinct) > 0).all() and (hashes[place] == distinct).all() and (distinct[number] == hashes).all()
+    long = "x" * 5000
+    docs = spark.createDataFrame([(k, f"{long} {long}, a {long}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_counts.tokenizer_path())
+    want = len(library.encode(f"{long} {long}, a {long}", add_special_tokens=False).ids)
+    assert {r.n_tokens for r in token_counts.count_tokens(docs).collect()} == {want}
