@@ -409,3 +409,54 @@ def test_places_are_those_of_their_hashes(spark):
     library = Tokenizer.from_file(token_counts.tokenizer_path())
     want = len(library.encode(f"{long} {long}, a {long}", add_special_tokens=False).ids)
     assert {r.n_tokens for r in token_counts.count_tokens(docs).collect()} == {want}
+
+
+def pair_rows(n=600):
+    """Both classes have the same words; in toxic texts two of them stand in one order, in the others in the other."""
+    rnd, rows = random.Random(12), []
+    for k in range(n):
+        w, y = [f"w{rnd.randrange(60)}" for _ in range(40)], k % 4 == 0
+        at, other = rnd.sample(range(0, 40, 2), 2)
+        w[at : at + 2] = ["alpha", "beta"] if y else ["beta", "alpha"]
+        w[other : other + 2] = ["beta", "gamma"] if y else ["gamma", "beta"]
+        rows.append((k, " ".join(w), int(y)))
+    return rows
+
+
+@pytest.mark.parametrize("most_sent", [10**9, 0])
+def test_toxicity_scores_bigrams(spark, most_sent):
+    """A text is told by its bigrams where its words tell nothing."""
+    model = toxicity.fit(spark.createDataFrame(pair_rows(), "doc_id long, text string, toxic int"), most_sent=most_sent)
+    fresh = [(1, "w1 w2 alpha beta w3 w4 w5 beta gamma w7"), (2, "w1 w2 beta alpha w3 w4 w5 gamma beta w7")]
+    got = {r.doc_id: r.predicted for r in model.score(spark.createDataFrame(fresh, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_toxicity_bigram_ratios_against_plain_counts(spark):
+    """log p(w|h) of the toxic over the ordinary bigram model, both with the continuation level as backoff."""
+    rnd, texts = random.Random(13), []
+    for k in range(60):
+        texts.append((" ".join(rnd.choice("abcdefgh" if k % 2 else "efghijkl") for _ in range(12)), k % 2))
+    bigrams = lambda t: set(zip([None, *t.split()[:-1]], t.split(), strict=True))
+    n = {y: Counter(b for t, z in texts if z == y for b in bigrams(t)) for y in (0, 1)}
+    words, total = {y: Counter(w for _, w in n[y]) for y in (0, 1)}, {y: len(n[y]) for y in (0, 1)}
+    seen = Counter(w for _, w in set(n[0]) | set(n[1]))
+    q = {w: min(10, k) / sum(min(10, k) for k in seen.values()) for w, k in seen.items()}
+    lower = lambda y, w: max(words[y][w] - 0.75, 0) / total[y] + sum(min(0.75, k) for k in words[y].values()) / total[y] * q[w]
+
+    def p(y, h, w):
+        after = [k for (g, _), k in n[y].items() if g == h]
+        return (max(n[y][h, w] - 1, 0) + len(after) * lower(y, w)) / sum(after) if after else lower(y, w)
+
+    for y in (0, 1):
+        assert abs(sum(p(y, "e", w) for w in seen) - 1) < 1e-9
+    frame = spark.createDataFrame([(t, y, 0) for t, y in texts], "text string, toxic int, held int")
+    share = {0: 1.0, 1: 1.0}
+    pairs = frame.mapInArrow(toxicity.count_bigrams, "h long, w long, t long, o long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counted = pairs.groupBy("w").agg(*toxicity.continuations(share, False))
+    known = toxicity.probabilities(counted)
+    lower_ = counted.select("w", *(known[c].alias(f"p{c}") for c in "to"))
+    joined = pairs.join(lower_, "w").join(pairs.groupBy("h").agg(*toxicity.histories(share, False)), "h")
+    ratio = toxicity.pair_ratio(share, False, {c: F.col(f"p{c}") for c in "to"}, {c: F.col(f"l{c}") for c in "to"}) + toxicity.history_ratio() + F.log(F.col("pt") / F.col("po"))
+    got = sorted(r.x for r in joined.select(ratio.alias("x")).collect())
+    assert np.allclose(got, sorted(math.log(p(1, *b) / p(0, *b)) for b in set(n[0]) | set(n[1])), atol=1e-9)

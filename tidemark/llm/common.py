@@ -50,6 +50,17 @@ def few_files(frame: DataFrame, rows: int, each: int = 500_000) -> DataFrame:
     return frame.coalesce(max(1, frame.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
+def write_and_clear(frame: DataFrame, path: str) -> None:
+    """Writes a frame; the files that it was shuffled through are deleted at the end of the job, not at some later time."""
+    conf, key = frame.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes intermediate tables that nothing reads any more."""
     for path in paths:
@@ -203,8 +214,8 @@ def sums_by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a one-feature logistic curve by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 50, offset: np.ndarray | float = 0.0) -> tuple[float, float]:
+    """Slope and intercept of a one-feature logistic curve by Newton's method; `offset` is what else the curve's argument has."""
     a, b = 0.0, 0.0
     if not len(x):
         return 1.0, 0.0
@@ -212,7 +223,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int =
     z = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w + offset, -30, 30)))
         g = z.T @ (y - p) - ridge * len(x) * w * np.array([1, 0])
         h = (z * (p * (1 - p))[:, None]).T @ z + ridge * len(x) * np.eye(2)
         w = w + np.linalg.solve(h, g)
