@@ -460,3 +460,61 @@ def test_toxicity_bigram_ratios_against_plain_counts(spark):
     ratio = toxicity.pair_ratio(share, False, {c: F.col(f"p{c}") for c in "to"}, {c: F.col(f"l{c}") for c in "to"}) + toxicity.history_ratio() + F.log(F.col("pt") / F.col("po"))
     got = sorted(r.x for r in joined.select(ratio.alias("x")).collect())
     assert np.allclose(got, sorted(math.log(p(1, *b) / p(0, *b)) for b in set(n[0]) | set(n[1])), atol=1e-9)
+
+
+def shuffled_bytes(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+@pytest.mark.parametrize("words", [3000, 12_000])
+def test_token_counts_beyond_the_bound_shuffle_no_texts(spark, words):
+    """Only pre-tokens that are not sent, and no texts, are shuffled for the join; with copies, null ids and special strings."""
+    from tokenizers import Tokenizer
+
+    rnd, library = random.Random(5), Tokenizer.from_file(token_counts.tokenizer_path())
+    common = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(3000)]
+    texts = [" ".join([*rnd.choices(common, k=words), *(f"zq{rnd.randrange(10**6)}x{k}" for _ in range(10)), f"<|endoftext|>zz{k} zz{k}"]) for k in range(30)]
+    rows = [(None if k % 7 == 0 else k % 25, t) for k, t in enumerate([*texts, *texts[:6], "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled_bytes(spark)
+    got = token_counts.count_tokens(docs, most_sent=3200).collect()
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    moved = sum(n for k, n in shuffled_bytes(spark).items() if k not in before)
+    assert moved < (0.3 if words == 3000 else 0.1) * size, (moved, size)
+
+
+def test_least_seen_keeps_the_bound(spark):
+    seen = [*range(1, 3000), *[1] * 500, *[2] * 300, 10**9, 2**40]
+    counts = spark.createDataFrame([(s,) for s in seen], "seen long")
+    for most in (0, 1, 2, 10, 700, 2999, 3000, 10**6):
+        least = token_counts.least_seen(counts, most)
+        sent = 0 if least is None else sum(s >= least for s in seen)
+        assert sent <= most and (most < 700 or sent > 0.6 * min(most, 3000))
+
+
+def test_pretokens_whose_keys_clash_are_told_by_their_strings(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "key_of", lambda t: len(t) if len(t) < 9 else int.from_bytes(t.encode()[:8]))
+    path = token_counts.tokenizer_path()
+    library, special, rnd = Tokenizer.from_file(path), token_counts.special_strings(path), random.Random(2)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 12))) for _ in range(400)]
+    texts = [" ".join(rnd.choices(words, k=50)) + rnd.choice(["", "<|endoftext|>a b", "\n\n x"]) for _ in range(40)]
+    chunker = token_counts.Chunker(special)
+    tokens = {p: len(library.encode(p, add_special_tokens=False)) for t in texts for p in chunker.whole(t)[0]}
+    of = Counter(map(token_counts.key_of, tokens))
+    keys = np.array(sorted(of), np.uint64)
+    clashes = {p: n for p, n in tokens.items() if of[token_counts.key_of(p)] > 1}
+    single = {token_counts.key_of(p): n for p, n in tokens.items() if p not in clashes}
+    assert clashes and single
+    for sent in (keys, keys[::2], keys[:0]):
+        table = (sent, np.array([single.get(int(k), 99) for k in sent], np.int32), clashes)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+        for _, totals, (row, key, n) in token_counts.sums_of_texts([batch], table, special):
+            np.add.at(totals, row, n * np.array([single[int(k)] for k in key], np.int64))
+            assert totals.tolist() == [len(library.encode(t, add_special_tokens=False)) for t in texts]

@@ -6,17 +6,17 @@ import functools
 import json
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path, slices, text_buffer, word_hashes
+from tidemark.llm.common import shared_path, slices, text_buffer, word_hashes, write_and_clear
 
 #: The byte-level pre-tokenizer's pattern (fixed values); White_Space is spelled out as the libraries' \s differ.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
@@ -24,8 +24,10 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 BLANK = np.zeros(256, bool)
 BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 WIDE_BLANKS = [np.array([int.from_bytes(chr(k).encode()) for k in x]) for x in ((0x85, 0xA0), (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
-#: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the join is a shuffle.
+#: Most distinct pre-tokens that are sent to every executor (12 bytes each); above it the rarer ones are joined by a shuffle.
 MOST_SENT = 8_000_000
+#: Rows of a batch of frequencies at the most.
+ROWS = 1 << 16
 #: Chunks (16 bytes each) and pre-tokens that a task remembers, and the bytes of the longest that it does: longer ones
 #: hardly repeat, and whole texts without spaces are chunks too.
 MEMO, SENT, LONG = 600_000, 200_000, 64
@@ -189,8 +191,12 @@ def scan_pretokens(special: list[str]):
     return scan
 
 
+def key_of(pretoken: str) -> int:
+    return xxhash.xxh64_intdigest(pretoken.encode())
+
+
 def count_pieces(path: str):
-    """For mapInArrow: the tokens of each pre-token, as the library gives them, without keeping ids."""
+    """For mapInArrow: the tokens of each pre-token, as the library gives them, without keeping ids; its column `seen` stays."""
 
     def count(batches):
         encode = tokenizer(path).encode
@@ -200,85 +206,169 @@ def count_pieces(path: str):
                 texts = part.to_pylist()
                 words = encode(texts, is_pretokenized=True, add_special_tokens=False).word_ids  # of each token the pre-token
                 sizes = np.bincount(np.array(words, np.int64), minlength=len(texts))
-                keys = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([part, pa.array(keys.view(np.int64)), pa.array(sizes, pa.int32())], ["pretoken", "key", "tokens"])
+                keys = np.fromiter(map(key_of, texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([part, pa.array(keys.view(np.int64)), pa.array(sizes, pa.int32()), batch.column(1).slice(k, 2000)], ["pretoken", "key", "tokens", "seen"])
 
     return count
 
 
 def distinct_pretokens(docs: DataFrame, special: list[str]) -> DataFrame:
-    return docs.select("text").mapInArrow(scan_pretokens(special), "pretoken string").groupBy("pretoken").agg(F.first(F.lit(1)).alias("one"))
+    """Each pre-token and how often tasks gave it: most of them do so once, so those of many tasks are the frequent ones."""
+    return docs.select("text").mapInArrow(scan_pretokens(special), "pretoken string").groupBy("pretoken").agg(F.count(F.lit(1)).alias("seen"))
 
 
 def pretoken_counts(pretokens: DataFrame, path: str) -> DataFrame:
-    return pretokens.select("pretoken").mapInArrow(count_pieces(path), "pretoken string, key long, tokens int")
+    return pretokens.select("pretoken", "seen").mapInArrow(count_pieces(path), "pretoken string, key long, tokens int, seen long")
+
+
+def least_seen(counts: DataFrame, most: int) -> int | None:
+    """The smallest `seen` from which on there are `most` pre-tokens at the most; None if there is none.
+
+    Counts are taken by the four leading bits of `seen`, so a few hundred rows go to the driver whatever the table.
+    """
+    n = {r["least"]: r["count"] for r in counts.groupBy(F.expr("shiftleft(shiftright(seen, greatest(0, length(bin(seen)) - 4)), greatest(0, length(bin(seen)) - 4))").alias("least")).count().collect()}
+    found = None
+    for least in sorted(n, reverse=True):
+        most -= n[least]
+        if most < 0:
+            break
+        found = least
+    return found
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id", text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """`id`, n_bytes and n_tokens of every row, whole texts, without begin, end or added tokens.
 
     The distinct pre-tokens of all texts are found with map-side sets and one shuffle, and the library counts each
-    once. The table of counts is sent to the executors while it has at most `most_sent` rows; a larger one is joined
-    to the (text digest, pre-token, frequency) rows by a shuffle. Null or empty texts have 0 bytes and 0 tokens; null
-    or repeated ids are kept as they are, a row each; other columns are ignored; an empty table gives an empty result.
+    once. The table of counts is sent to the executors while it has at most `most_sent` rows; of a larger one the most
+    frequent pre-tokens are, and the others are joined to (row, key, frequency) rows by a shuffle. Texts are never
+    shuffled. Null or empty texts have 0 bytes and 0 tokens; null or repeated ids are kept as they are, a row each;
+    other columns are ignored; an empty table gives an empty result.
     """
     path = path or tokenizer_path()
     special = special_strings(path)
     spark = docs.sparkSession
     out = shared_path(spark, "pretokens")
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    pretoken_counts(distinct_pretokens(docs, special), path).write.parquet(out)
-    counts = spark.read.schema("pretoken string, key long, tokens int").parquet(out)
+    write_and_clear(pretoken_counts(distinct_pretokens(docs, special), path), out)
+    counts = spark.read.schema("pretoken string, key long, tokens int, seen long").parquet(out)
     rows, keys = counts.agg(F.count(F.lit(1)), F.countDistinct("key")).first()
-    if rows <= most_sent and rows == keys:
-        found = counts.select("key", "tokens").toArrow()
-        keys = found["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        table = spark.sparkContext.broadcast((keys[order], found["tokens"].to_numpy()[order].astype(np.int32)))
+    clashes = {}
+    if rows > keys:  # a handful, if any: their strings tell them apart
+        shared = counts.groupBy("key").count().where("count > 1").select("key")
+        clashes = {r["pretoken"]: r["tokens"] for r in counts.join(shared, "key").select("pretoken", "tokens").collect()}
+    least = 0 if rows <= most_sent else least_seen(counts, most_sent)
+    found = counts.where(F.lit(False) if least is None else F.col("seen") >= least).select("key", "tokens").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    table = spark.sparkContext.broadcast((keys[order], found["tokens"].to_numpy()[order].astype(np.int32), clashes))
+    if rows <= most_sent:
         return _joined_here(docs, table, special, id)
-    return _joined_by_shuffle(docs, counts, special, id)
+    return _joined_by_shuffle(docs, table, counts if least is None else counts.where(F.col("seen") < least), special, id)
+
+
+def frequencies(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (row, key) and how often each stands."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], keys[first], np.diff(np.append(first, len(rows)))
+
+
+def sums_of_texts(batches, table, special: list[str]):
+    """Of each slice of (id, text) batches: the slice, the tokens of each text by the table of keys and counts, and
+    (row, key, frequency) of the pre-tokens that the table doesn't have."""
+    keys, tokens, clashes = table
+    chunker, known, memo = Chunker(special), Known(), {}
+
+    def tokens_of(pretokens: list[str], owner: np.ndarray, n: int):
+        """The number of tokens of each of `n` chunks from their pre-tokens; chunk and key of those without a count."""
+        if len(memo) > SENT:
+            memo.clear()
+        new = [t for t in set(pretokens) if t not in memo]
+        hashes = np.fromiter(map(key_of, new), np.uint64, len(new))
+        order = np.argsort(hashes)
+        found = np.full(len(new), -1, np.int64)
+        if len(new) and len(keys):
+            at = np.minimum(np.searchsorted(keys, hashes[order]), len(keys) - 1)
+            found[order] = np.where(keys[at] == hashes[order], tokens[at], -1)
+        of = dict(zip(new, found.tolist(), strict=True))
+        if clashes:
+            of.update((t, clashes[t]) for t in new if t in clashes)
+        each = np.fromiter((of[t] if t in of else memo[t] for t in pretokens), np.float64, len(pretokens))
+        memo.update((t, k) for t, k in of.items() if len(t) <= LONG)
+        without = np.flatnonzero(each < 0)
+        sums = np.bincount(owner, np.maximum(each, 0), n).astype(np.int64) if n else np.zeros(0, np.int64)
+        return sums, owner[without], np.fromiter((key_of(pretokens[k]) for k in without.tolist()), np.uint64, len(without))
+
+    for piece in slices(batches, "text"):
+        column = piece.column(1)
+        data, starts, ends, hashes, bounds, odd = chunker.cut(column)
+        distinct, first, inverse = places(hashes)
+        counts = known.find(distinct)  # in order, which halves the time of a search
+        long = ends[first] - starts[first] > LONG
+        fresh = np.flatnonzero(long | (counts < 0))
+        at = first[fresh]
+        counts[fresh], owner, left = tokens_of(*chunker.parts(strings(data, starts[at], ends[at])), len(at))
+        order = np.argsort(owner, kind="stable")
+        left, begin = left[order], np.searchsorted(owner[order], np.arange(len(fresh) + 1))
+        size = np.zeros(len(distinct), np.int64)  # of each chunk the pre-tokens without a count; such chunks are not remembered
+        size[fresh] = np.diff(begin)
+        done = fresh[~long[fresh] & (size[fresh] == 0)]
+        known.add(distinct[done], counts[done])
+        counts = counts[inverse]
+        totals = np.concatenate([[0], np.cumsum(counts)])
+        totals = totals[bounds[1:]] - totals[bounds[:-1]]
+        number = np.zeros(len(distinct), np.int64)
+        number[fresh] = begin[:-1]
+        place = np.flatnonzero(size[inverse])
+        many = size[inverse[place]]
+        row = np.searchsorted(bounds, place, "right") - 1
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, key = np.repeat(row, many), left[np.repeat(number[inverse[place]], many) + step]
+        if len(odd):
+            inside = ~np.isin(row, odd)
+            row, key = [row[inside]], [key[inside]]
+            for k in odd.tolist():
+                found, n = chunker.whole(column[k].as_py())
+                sums, owner, left = tokens_of(found, np.zeros(len(found), np.int64), 1)
+                totals[k] = sums[0] + n
+                row.append(np.full(len(left), k))
+                key.append(left)
+            row, key = np.concatenate(row), np.concatenate(key)
+        yield piece, totals, frequencies(row, key)
+
+
+def bytes_of(column) -> pa.Array:
+    return pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
 
 
 def score_texts(table, special: list[str]):
-    """For mapInArrow: (id, bytes, tokens) of each text by the table of key hashes and token counts."""
+    """For mapInArrow: (id, bytes, tokens) of each text; the table has all pre-tokens."""
 
     def score(batches):
-        keys, tokens = table.value
-        chunker, known, memo = Chunker(special), Known(), {}
-
-        def tokens_of(pretokens: list[str], owner: np.ndarray, n: int) -> np.ndarray:
-            """The number of tokens of each of `n` chunks from their pre-tokens."""
-            if len(memo) > SENT:
-                memo.clear()
-            new = [t for t in set(pretokens) if t not in memo]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in new), np.uint64, len(new))
-            order = np.argsort(hashes)
-            found = np.empty(len(new), np.int64)
-            found[order] = tokens[np.searchsorted(keys, hashes[order])] if len(new) else 0
-            of = dict(zip(new, found.tolist(), strict=True))
-            each = np.fromiter((of[t] if t in of else memo[t] for t in pretokens), np.float64, len(pretokens))
-            memo.update((t, k) for t, k in of.items() if len(t) <= LONG)
-            return np.bincount(owner, each, n).astype(np.int64) if n else np.zeros(0, np.int64)
+        for piece, totals, _ in sums_of_texts(batches, table.value, special):
+            yield pa.RecordBatch.from_arrays([piece.column(0), bytes_of(piece.column(1)), pa.array(totals)], ["id", "n_bytes", "n_tokens"])
 
-        for piece in slices(batches, "text"):
-            column = piece.column(1)
-            data, starts, ends, hashes, bounds, odd = chunker.cut(column)
-            distinct, first, inverse = places(hashes)
-            counts = known.find(distinct)  # in order, which halves the time of a search
-            long = ends[first] - starts[first] > LONG
-            fresh = np.flatnonzero(long | (counts < 0))
-            at = first[fresh]
-            counts[fresh] = tokens_of(*chunker.parts(strings(data, starts[at], ends[at])), len(at))
-            fresh = fresh[~long[fresh]]
-            known.add(distinct[fresh], counts[fresh])
-            counts = counts[inverse]
-            totals = np.concatenate([[0], np.cumsum(counts)])
-            totals = totals[bounds[1:]] - totals[bounds[:-1]]
-            for k in odd.tolist():
-                found, n = chunker.whole(column[k].as_py())
-                totals[k] = tokens_of(found, np.zeros(len(found), np.int64), 1)[0] + n
-            sizes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column(0), sizes, pa.array(totals)], ["id", "n_bytes", "n_tokens"])
+    return score
+
+
+def open_sums(table, special: list[str]):
+    """For mapInArrow: (row, id, bytes, tokens by the table) of each text, and (row, key, n) of its other pre-tokens.
+
+    `row` is unique in what a job writes, so that texts need no key of their own.
+    """
+    names = ["row", "id", "n_bytes", "n_tokens", "key", "n"]
+
+    def score(batches):
+        at = TaskContext.get().partitionId() << 40
+        for piece, totals, (row, key, n) in sums_of_texts(batches, table.value, special):
+            size = piece.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(size)), piece.column(0), bytes_of(piece.column(1)), pa.array(totals), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names)
+            for k in range(0, len(row), ROWS):
+                r, x, f = (v[k : k + ROWS] for v in (row, key, n))
+                yield pa.RecordBatch.from_arrays([pa.array(at + r), pa.nulls(len(r), piece.schema.field(0).type), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(x.view(np.int64)), pa.array(f)], names)
+            at += size
 
     return score
 
@@ -288,23 +378,12 @@ def _joined_here(docs: DataFrame, table, special: list[str], id: str) -> DataFra
     return docs.mapInArrow(score_texts(table, special), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id)
 
 
-def _joined_by_shuffle(docs: DataFrame, counts: DataFrame, special: list[str], id: str) -> DataFrame:
-    """A text is known by its digest here, so copies of a text are counted once."""
-
-    def frequencies(batches):
-        chunker = Chunker(special)
-        for piece in slices(batches, "text", 1 << 20):
-            for digest, x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                pretokens, found = chunker.whole(x)
-                freq = Counter(pretokens)
-                if found:
-                    freq[None] = found
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(freq), pa.string()), pa.array(list(freq), pa.string()), pa.array(list(freq.values()), pa.int64())], ["digest", "pretoken", "n"])
-
-    docs = docs.withColumn("digest", F.sha2("text", 256))
-    texts = docs.where("text is not null").dropDuplicates(["digest"]).select("digest", "text")
-    freq = texts.mapInArrow(frequencies, "digest string, pretoken string, n long")
-    plain = freq.where("pretoken is not null").join(counts, "pretoken").select("digest", (F.col("n") * F.col("tokens")).alias("n"))
-    sums = plain.unionByName(freq.where("pretoken is null").select("digest", "n")).groupBy("digest").agg(F.sum("n").alias("n"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return docs.join(sums, "digest", "left").select(F.col("id").alias(id), size, F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"))
+def _joined_by_shuffle(docs: DataFrame, table, counts: DataFrame, special: list[str], id: str) -> DataFrame:
+    """The texts are read once more, and what their rows and frequencies are is written: neither holds a text or a pre-token."""
+    spark = docs.sparkSession
+    out, kind = shared_path(spark, "frequencies"), f"row long, id {docs.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, key long, n long"
+    docs.mapInArrow(open_sums(table, special), kind).write.parquet(out)
+    found = spark.read.schema(kind).parquet(out)
+    more = found.where("key is not null").select("row", "key", "n").join(counts.select("key", "tokens"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
+    rows = found.where("key is null").select("row", "id", "n_bytes", "n_tokens")
+    return rows.join(more, "row", "left").select(F.col("id").alias(id), "n_bytes", (F.col("n_tokens") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
