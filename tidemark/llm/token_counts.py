@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_path, slices, text_buffer, word_hashes, write_and_clear
+from tidemark.llm.common import give_back, shared_path, slices, text_buffer, word_hashes, write_and_clear
 
 #: The byte-level pre-tokenizer's pattern (fixed values); White_Space is spelled out as the libraries' \s differ.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
@@ -236,6 +236,19 @@ def least_seen(counts: DataFrame, most: int) -> int | None:
     return found
 
 
+def sent_table(counts: DataFrame, clashes: dict[str, int]):
+    """Broadcasts keys in order, their tokens, and the tokens of pre-tokens whose keys clash; each step frees what it has used."""
+    found = counts.select("key", "tokens").toArrow()
+    keys, tokens = (found[c].to_numpy() for c in ("key", "tokens"))
+    del found
+    order = np.argsort(keys.view(np.uint64))
+    tokens = tokens[order].astype(np.int32, copy=False)
+    keys = keys.view(np.uint64)[order]
+    del order
+    give_back()
+    return counts.sparkSession.sparkContext.broadcast((keys, tokens, clashes))
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id", text: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """`id`, n_bytes and n_tokens of every row, whole texts, without begin, end or added tokens.
 
@@ -258,10 +271,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, *, id: str = "doc_id"
         shared = counts.groupBy("key").count().where("count > 1").select("key")
         clashes = {r["pretoken"]: r["tokens"] for r in counts.join(shared, "key").select("pretoken", "tokens").collect()}
     least = 0 if rows <= most_sent else least_seen(counts, most_sent)
-    found = counts.where(F.lit(False) if least is None else F.col("seen") >= least).select("key", "tokens").toArrow()
-    keys = found["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[order], found["tokens"].to_numpy()[order].astype(np.int32), clashes))
+    table = sent_table(counts.where(F.lit(False) if least is None else F.col("seen") >= least), clashes)
     if rows <= most_sent:
         return _joined_here(docs, table, special, id)
     return _joined_by_shuffle(docs, table, counts if least is None else counts.where(F.col("seen") < least), special, id)
